@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, toxicity
+from framewright.llm import bpe, langid, toxicity
 from framewright.llm.common import table
 
 
@@ -13,9 +13,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op8_toxicity": op8_toxicity}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op5_language": op5_language, "op8_toxicity": op8_toxicity}
 ORACLE_SQL: dict[str, str] = {}
