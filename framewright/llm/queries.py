@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, langid, toxicity
+from framewright.llm import bpe, langid, lm, toxicity
 from framewright.llm.common import table
 
 
@@ -21,5 +21,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op5_language": op5_language, "op8_toxicity": op8_toxicity}
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op5_language": op5_language, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
 ORACLE_SQL: dict[str, str] = {}
