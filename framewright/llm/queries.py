@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, langid, lm, toxicity
+from framewright.llm import bpe, langid, lm, simhash, toxicity
 from framewright.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,5 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op5_language": op5_language, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op5_language": op5_language, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
 ORACLE_SQL: dict[str, str] = {}
