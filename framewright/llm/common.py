@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,3 +114,11 @@ def subword_buckets(words: list[str], sizes: tuple[int, ...], bits: int, affixes
     f, o = np.concatenate(feats), np.concatenate(owners)
     order = np.argsort(o, kind="stable")
     return (f[order] >> np.uint64(64 - bits)).astype(np.int64), np.bincount(o, minlength=len(raw)).astype(np.int64)
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Write the rows as a compressed table in the shared checkpoint folder and read them from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, langid, lm, simhash, toxicity
+from framewright.llm import bpe, langid, lm, simhash, substrings, toxicity
 from framewright.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op5_language": op5_language, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_suffix_dedup": op4_suffix_dedup, "op5_language": op5_language, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
 ORACLE_SQL: dict[str, str] = {}
