@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, langid, lm, simhash, substrings, toxicity
+from framewright.llm import bpe, langid, lm, mixing, sharding, simhash, substrings, toxicity
 from framewright.llm.common import table
 
 
@@ -25,6 +25,22 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+#: Bytes of a shard at most.
+SHARD_BYTES = 1 << 20
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).select("doc_id", "shard", "depth", "n_bytes")
+
+
+#: Target shares of the languages.
+WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "lang"), WEIGHTS, "lang")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,5 +49,5 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_suffix_dedup": op4_suffix_dedup, "op5_language": op5_language, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_suffix_dedup": op4_suffix_dedup, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
+ORACLE_SQL: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES), "op7_mixing": mixing.oracle(WEIGHTS, "lang")}
