@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, langid, lm, mixing, sharding, simhash, substrings, toxicity
+from framewright.llm import ann, bpe, langid, lm, mixing, sharding, simhash, substrings, toxicity
 from framewright.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_suffix_dedup": op4_suffix_dedup, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op3_ann": op3_ann, "op4_suffix_dedup": op4_suffix_dedup, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
 ORACLE_SQL: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES), "op7_mixing": mixing.oracle(WEIGHTS, "lang")}
