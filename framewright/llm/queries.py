@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import ann, bpe, langid, lm, mixing, sharding, simhash, substrings, toxicity
+from framewright.llm import ann, bpe, chroma, langid, lm, mixing, sharding, simhash, substrings, toxicity
 from framewright.llm.common import table
 
 
@@ -53,5 +53,10 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op3_ann": op3_ann, "op4_suffix_dedup": op4_suffix_dedup, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score}
+def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", as_audio=chroma.render)
+    return chroma.align(prints, lambda i: i % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op3_ann": op3_ann, "op4_suffix_dedup": op4_suffix_dedup, "op5_language": op5_language, "op6_sharding": op6_sharding, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_lm_score": op9_lm_score, "op10_chroma": op10_chroma}
 ORACLE_SQL: dict[str, str] = {"op6_sharding": sharding.oracle(SHARD_BYTES), "op7_mixing": mixing.oracle(WEIGHTS, "lang")}
