@@ -86,7 +86,7 @@ class ByteBPE:
         self.split = regex.compile(pattern).findall
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes, bytes]] = {}
 
     # -- encoding -----------------------------------------------------------------------------------------------
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -170,12 +170,12 @@ class ByteBPE:
         return [x for x in ids if x >= 0]
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that aren't remembered; remember each with its ids as text and their decoded bytes."""
+        """Encode the pieces that aren't remembered; remember each with its ids as text, their decoded bytes, and the ids packed."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [p for p in set(pieces) if p not in self.known]
         for p, ids in zip(new, self.encode_pieces([p.encode("utf-8") for p in new]), strict=True):
-            self.known[p] = (" ".join(map(str, ids)), self.decode(ids))
+            self.known[p] = (" ".join(map(str, ids)), self.decode(ids), np.array(ids, "<i4").tobytes())
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.encode_pieces([p.encode("utf-8") for p in self.split(text)]) for i in ids]
@@ -193,14 +193,14 @@ def load(path: str, pattern: str) -> ByteBPE:
 GROUP = 4 << 20
 
 
-def encode_texts(texts: Iterable[str | None], bpe: ByteBPE) -> Iterator[tuple[str, bytes]]:
-    """For each text its ids as decimals joined by a space, and the bytes that these ids decode to."""
+def encode_texts(texts: Iterable[str | None], bpe: ByteBPE) -> Iterator[tuple[str, bytes, bytes]]:
+    """For each text its ids as decimals joined by a space, the bytes that these ids decode to, and the ids as 32-bit integers."""
 
     def flush():
         bpe.learn({p for pieces in held for p in pieces})
         for pieces in held:
             both = [bpe.known[p] for p in pieces]
-            yield " ".join([a for a, _ in both]), b"".join([b for _, b in both])
+            yield " ".join([x[0] for x in both]), b"".join([x[1] for x in both]), b"".join([x[2] for x in both])
 
     held, chars = [], 0
     for t in texts:
@@ -215,24 +215,26 @@ def encode_texts(texts: Iterable[str | None], bpe: ByteBPE) -> Iterator[tuple[st
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: str = "digest") -> DataFrame:
     """Encode and decode every text.
 
-    ``keep='digest'`` gives (id, n_tokens, ids_sha256, decoded_sha256); ``keep='ids'`` gives (id, n_tokens, ids array<int>,
-    decoded binary).
+    ``keep='digest'`` gives (id, n_tokens, ids_sha256, decoded_sha256), ``keep='packed'`` also the ids themselves, as
+    little-endian 32-bit integers in a binary column; ``keep='ids'`` gives (id, n_tokens, ids array<int>, decoded binary).
     """
-    digest = keep == "digest"
+    digest = keep != "ids"
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary")
+    schema = f"`{id_col}` {id_type}, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary") + (", ids_packed binary" if keep == "packed" else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            n, a, b = [], [], []
-            for ids, raw in encode_texts((x.as_py() for x in batch.column(1)), bpe):
+            n, a, b, c = [], [], [], []
+            for ids, raw, packed in encode_texts((x.as_py() for x in batch.column(1)), bpe):
                 n.append(ids.count(" ") + 1 if ids else 0)
                 a.append(sha(ids.encode("ascii")) if digest else [int(x) for x in ids.split()])
                 b.append(sha(raw) if digest else raw)
+                c.append(packed)
+            more = ([pa.array(c, pa.binary())], ["ids_packed"]) if keep == "packed" else ([], [])
             kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, kinds[0]), pa.array(b, kinds[1])], names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, kinds[0]), pa.array(b, kinds[1]), *more[0]], names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")), *more[1]])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

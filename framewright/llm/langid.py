@@ -229,6 +229,28 @@ def predict(docs: DataFrame, per_lang: int = 400, max_bytes: int = 8_192) -> Dat
     return annotate(docs.select("doc_id", "text", (crc_mod("doc_id", 4) == 2).alias("held_out")), model)
 
 
+def accept(docs: DataFrame, least: float = 0.35, per_lang: int = 400, max_bytes: int = 8_192) -> DataFrame:
+    """The rows, with all their columns, that are in a language: not ``und``, and one language has a mean posterior of ``least``.
+
+    A text in several languages passes as long as one of them has a fair share; what no language claims goes.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, per_lang, max_bytes)))
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lo, size = batch.column(text_at), 0, 0
+            for hi in range(len(texts)):
+                size += len(texts[hi].as_py() or "")
+                if size > 4 << 20 or hi == len(texts) - 1:
+                    part = batch.slice(lo, hi + 1 - lo)
+                    got = model.value.predict(part.column(text_at).to_pylist())
+                    yield part.filter(pa.array([lang != "und" and score >= least for lang, score in got]))
+                    lo, size = hi + 1, 0
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def annotate(docs: DataFrame, model) -> DataFrame:
     """Append lang_pred and score to the rows; ``text`` is dropped."""
     rest = [c for c in docs.columns if c != "text"]

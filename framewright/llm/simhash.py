@@ -62,15 +62,15 @@ def fingerprint(text: bytes, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """(doc_id, fp bigint) for every row."""
+    """(doc_id, text_hash, fp bigint) for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint((t.as_py() or "").encode("utf-8"), size) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint((t.as_py() or "").encode("utf-8"), size) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 # -- the plan ---------------------------------------------------------------------------------------------------
@@ -211,12 +211,30 @@ def near_links(distinct: DataFrame, radius: int = 4, sample_size: int = 20_000,
     return calm.unionByName(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a bigint, b bigint"))
 
 
+def groups(docs: DataFrame, size: int = 4, radius: int = 4, **how) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of every row, and (fp, component) of every distinct fingerprint."""
+    fps = cut(fingerprints(docs, size))
+    distinct = cut(fps.select("fp").distinct())
+    comp = components(near_links(distinct, radius, **how))
+    return fps, distinct.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, **how) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of ``docs``."""
-    fps = cut(fingerprints(docs, size))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    comp = components(near_links(distinct.select("fp"), radius, **how))
-    named = distinct.join(comp.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    name = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    fps, named = groups(docs, size, radius, **how)
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    name = named.join(first, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
     names = named.join(name, "component").select("fp", "component_id")
     return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 4, radius: int = 4, **how) -> DataFrame:
+    """One row of every group of near duplicates, with all its columns: the one with the smallest doc_id.
+
+    Ids may be null or repeated: rows are told apart by (doc_id, text), and of equal ones one stays.
+    """
+    fps, named = groups(docs, size, radius, **how)
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    stay = named.join(first, "fp").groupBy("component").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_h")).distinct()
+    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay._d) & (F.xxhash64(docs.text) == stay._h)).select(docs["*"], "_h")
+    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")

@@ -299,7 +299,8 @@ def strip(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     _, ranges = removed_ranges(docs, length, **how)
     r = ranges.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("ranges").alias("_ranges"))
     both = docs.join(r, docs.doc_id.eqNullSafe(r._d) & (F.xxhash64(docs.text) == r._h), "left").select(docs.columns + ["_ranges"])
-    text_at, n = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    text_at, n = names.index("text"), len(names)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +310,7 @@ def strip(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
                 t, k = x.as_py(), b.column(n)[i].as_py()
                 out.append(_keep(t.encode("utf-8"), k)[0].decode("utf-8", "ignore") if t is not None and k else t)
             cols = [pa.array(out, pa.string()) if c == text_at else b.column(c) for c in range(n)]
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return both.mapInArrow(run, kinds)
 
