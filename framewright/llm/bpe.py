@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 NONE = np.int32(2**31 - 1)
 LONG = 2048
 #: Pieces remembered by one worker before its memory is emptied; it changes speed only.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -190,7 +190,7 @@ def load(path: str, pattern: str) -> ByteBPE:
 
 
 #: Characters of text whose distinct pieces are encoded together.
-GROUP = 4 << 20
+GROUP = 1 << 20
 
 
 def encode_texts(texts: Iterable[str | None], bpe: ByteBPE) -> Iterator[tuple[str, bytes, bytes]]:

@@ -96,8 +96,8 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = [np.zeros((0, len(self.labels)))]
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
             b, n = subword_buckets(part, SIZES, BITS, AFFIXES)
             out.append(segment_sum(self.weights[b], n) + self.in_lexicon(part) @ self.lex)
         return np.concatenate(out)
@@ -242,7 +242,7 @@ def accept(docs: DataFrame, least: float = 0.35, per_lang: int = 400, max_bytes:
             texts, lo, size = batch.column(text_at), 0, 0
             for hi in range(len(texts)):
                 size += len(texts[hi].as_py() or "")
-                if size > 4 << 20 or hi == len(texts) - 1:
+                if size > 1 << 20 or hi == len(texts) - 1:
                     part = batch.slice(lo, hi + 1 - lo)
                     got = model.value.predict(part.column(text_at).to_pylist())
                     yield part.filter(pa.array([lang != "und" and score >= least for lang, score in got]))
@@ -262,7 +262,7 @@ def annotate(docs: DataFrame, model) -> DataFrame:
             got, lo, size = [], 0, 0
             for hi in range(len(texts)):
                 size += len(texts[hi].as_py() or "")
-                if size > 4 << 20 or hi == len(texts) - 1:
+                if size > 1 << 20 or hi == len(texts) - 1:
                     got += model.value.predict(texts.slice(lo, hi + 1 - lo).to_pylist())
                     lo, size = hi + 1, 0
             cols = [batch.column(i) for i in range(len(rest))]

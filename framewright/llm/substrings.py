@@ -159,7 +159,7 @@ def _bytes(b: pa.RecordBatch, i: int) -> list[bytes]:
     return [(x.as_py() or "").encode("utf-8") for x in b.column(i)]
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 4 << 20, hot_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+def removed_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 2 << 20, hot_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
     """The rows as (doc_id, text_hash, text), and (doc_id, text_hash, ranges) of those that lose something."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -181,7 +181,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes:
             texts, s, lo, size = batch.column(1), [], 0, 0
             for hi in range(len(texts)):  # bound the words held at once
                 size += len(texts[hi].as_py() or "")
-                if size > 4 << 20 or hi == len(texts) - 1:
+                if size > 1 << 20 or hi == len(texts) - 1:
                     s += model.value.score(texts.slice(lo, hi + 1 - lo).to_pylist())
                     lo, size = hi + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
