@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.common import tidied
+
 
 def knn_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of every row."""
@@ -183,7 +185,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, samp
                 part = shared.value.order(_matrix(b.column(1)))[:, 0]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32))], names=["vec_id", "vec", "part"])
 
-    placed = v.mapInArrow(place, "vec_id bigint, vec array<double>, part int")
+    placed = v.mapInArrow(tidied(place), "vec_id bigint, vec array<double>, part int")
     sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one number a part
     blocks = {p: max(1, -(-n // block)) for p, n in sizes.items()}
     queries = v.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
@@ -210,7 +212,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, samp
 
     n_blocks = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("part"))
     right = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
-    left = queries.mapInArrow(visit, "query_id bigint, vec array<double>, part int, block int").withColumn("hall", F.pmod(F.xxhash64("query_id"), F.lit(halls)).cast("int"))
+    left = queries.mapInArrow(tidied(visit), "query_id bigint, vec array<double>, part int, block int").withColumn("hall", F.pmod(F.xxhash64("query_id"), F.lit(halls)).cast("int"))
     right = right.withColumn("hall", F.explode(F.sequence(F.lit(0), F.lit(halls - 1))))
 
     def rerank(q: pa.Table, rows: pa.Table) -> pa.Table:

@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.common import tidied
+
 NONE = np.int32(2**31 - 1)
 LONG = 2048
 #: Pieces remembered by one worker before its memory is emptied; it changes speed only.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -190,7 +192,7 @@ def load(path: str, pattern: str) -> ByteBPE:
 
 
 #: Characters of text whose distinct pieces are encoded together.
-GROUP = 1 << 20
+GROUP = 2 << 20
 
 
 def encode_texts(texts: Iterable[str | None], bpe: ByteBPE) -> Iterator[tuple[str, bytes, bytes]]:
@@ -235,8 +237,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             more = ([pa.array(c, pa.binary())], ["ids_packed"]) if keep == "packed" else ([], [])
             kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, kinds[0]), pa.array(b, kinds[1]), *more[0]], names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")), *more[1]])
+        bpe.known.clear()  # the worker outlives the task
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidied(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -249,4 +252,4 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             raw = [bpe.decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=[id_col, "decoded"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {id_type}, decoded binary")
+    return encoded.select(id_col, ids_col).mapInArrow(tidied(run), f"`{id_col}` {id_type}, decoded binary")

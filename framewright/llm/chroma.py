@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import stash
+from framewright.llm.common import stash, tidied
 
 RATE = 5512
 FRAME = 2048
@@ -144,7 +144,7 @@ def fingerprints(rows: DataFrame, id_col: str, audio_col: str, rate: int = RATE,
                     fp.append(fingerprint(s, rate))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.float64()), pa.array(fp, pa.list_(pa.int32()))], names=["id", "n_seconds", "fp"])
 
-    return rows.select(id_col, audio_col).mapInArrow(run, f"id {kind}, n_seconds double, fp array<int>")
+    return rows.select(id_col, audio_col).mapInArrow(tidied(run), f"id {kind}, n_seconds double, fp array<int>")
 
 
 def _errors(a: str, b: str, offset: str, n: str) -> F.Column:

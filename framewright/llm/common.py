@@ -122,3 +122,27 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidied(run):
+    """A worker's function for mapInArrow that gives freed memory back when its task ends: workers live on, stage after stage."""
+
+    def inner(batches):
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass

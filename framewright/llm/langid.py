@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import crc_mod, ragged, segment_sum, subword_buckets
+from framewright.llm.common import crc_mod, ragged, segment_sum, subword_buckets, tidied
 
 BITS = 18
 SIZES = (2, 3)
@@ -248,7 +248,7 @@ def accept(docs: DataFrame, least: float = 0.35, per_lang: int = 400, max_bytes:
                     yield part.filter(pa.array([lang != "und" and score >= least for lang, score in got]))
                     lo, size = hi + 1, 0
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def annotate(docs: DataFrame, model) -> DataFrame:
@@ -268,4 +268,4 @@ def annotate(docs: DataFrame, model) -> DataFrame:
             cols = [batch.column(i) for i in range(len(rest))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*rest, "lang_pred", "score"])
 
-    return docs.select(*rest, "text").mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*rest, "text").mapInArrow(tidied(run), f"{kinds}, lang_pred string, score double")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import crc_mod, cut, segment_sum
+from framewright.llm.common import crc_mod, cut, segment_sum, tidied
 
 ORDER = 5
 END, START = 256, 257
@@ -200,7 +200,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 for lo in range(0, len(u), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + 100_000]), pa.array(c[lo : lo + 100_000])], names=["gram", "count"])
 
-    top = docs.mapInArrow(run, "gram bigint, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
+    top = docs.mapInArrow(tidied(run), "gram bigint, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("order"), F.col("gram").bitwiseAND(F.lit((1 << (SHIFT * (n + 1))) - 1)).alias("g")) for n in range(ORDER + 1)]))
     return top.select(each.alias("x"), "count").groupBy("x.order", "x.g").agg(F.sum("count").alias("count")).select("order", F.col("g").alias("gram"), "count")
 
@@ -265,12 +265,12 @@ def score(docs: DataFrame, max_nodes: int = 1_000_000) -> DataFrame:
     id_kind = to_arrow_type(docs.schema["doc_id"].dataType)
     by_word = Window.partitionBy("word")
     counts = (
-        rows.mapInArrow(words, "word bigint, chunk bigint, n bigint")
+        rows.mapInArrow(tidied(words), "word bigint, chunk bigint, n bigint")
         .withColumn("c", F.sum("n").over(by_word))
         .withColumn("first", F.row_number().over(by_word.orderBy("chunk")) == 1)
         .select("chunk", "word", "c", (F.col("first") & (F.col("c") > 0)).alias("distinct"))
     )
-    text = rows.mapInArrow(carry, f"chunk bigint, doc_id {kind}, text binary, held_out boolean")
+    text = rows.mapInArrow(tidied(carry), f"chunk bigint, doc_id {kind}, text binary, held_out boolean")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right.column("word").to_numpy()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import cut
+from framewright.llm.common import cut, tidied
 from framewright.llm.graph import components
 
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
             fp = np.fromiter((fingerprint((t.as_py() or "").encode("utf-8"), size) for t in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tidied(run), f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 # -- the plan ---------------------------------------------------------------------------------------------------

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import MIX, mix64, stash
+from framewright.llm.common import MIX, mix64, stash, tidied
 from framewright.llm.esais import Suffixes
 
 LENGTH = 400
@@ -179,7 +179,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 2 <
                     names=["doc_id", "text_hash", "name", "digest", "start", "windows", "twice"],
                 )
 
-    found = stash(rows.mapInArrow(cut_up, f"doc_id {kind}, text_hash bigint, name bigint, digest bigint, start bigint, windows int, twice boolean"))
+    found = stash(rows.mapInArrow(tidied(cut_up), f"doc_id {kind}, text_hash bigint, name bigint, digest bigint, start bigint, windows int, twice boolean"))
     # one row for each different region of a name, with one of the places where it stands
     content = found.groupBy("name", "digest").agg(F.count("*").alias("times"), F.min(F.struct("start", "text_hash", "doc_id")).alias("at"), F.first("windows").alias("windows"), F.bool_or("twice").alias("twice"))
     names = content.groupBy("name").agg(F.count("*").alias("different"), F.sum("times").alias("total"), F.sum(F.col("windows") + length - 1).alias("size"), F.bool_or("twice").alias("any_twice")).where("total > 1 or any_twice")
@@ -215,7 +215,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 2 <
 
     n_bytes = kept.where("open").agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0))).first()[0]
     shards = max(1, -(-int(n_bytes) // shard_bytes))
-    bodies = texts.mapInArrow(take_out, f"doc_id {kind}, text_hash bigint, start bigint, name bigint, body binary, sure boolean")
+    bodies = texts.mapInArrow(tidied(take_out), f"doc_id {kind}, text_hash bigint, start bigint, name bigint, body binary, sure boolean")
 
     def sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One shard: its bodies go to disk, only their places stay in memory."""
@@ -255,7 +255,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 2 <
         col = lambda x: pa.chunked_array(x).combine_chunks().take(take)
         yield pa.RecordBatch.from_arrays([col(ids), col(hashes), pa.array(np.concatenate(lo)[keep]), pa.array(np.concatenate(hi)[keep])], names=["doc_id", "text_hash", "lo", "hi"])
 
-    single = bodies.repartition(shards, "name").mapInArrow(sort_shard, f"doc_id {kind}, text_hash bigint, lo bigint, hi bigint")
+    single = bodies.repartition(shards, "name").mapInArrow(tidied(sort_shard), f"doc_id {kind}, text_hash bigint, lo bigint, hi bigint")
     ranges = whole.unionByName(single).groupBy("doc_id", "text_hash", "lo").agg(F.max("hi").alias("hi"))  # repeated rows give the same ranges
     return rows, ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
@@ -288,7 +288,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
                 sha.append(hashlib.sha256(left).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return both.mapInArrow(tidied(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
@@ -312,7 +312,7 @@ def strip(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
             cols = [pa.array(out, pa.string()) if c == text_at else b.column(c) for c in range(n)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return both.mapInArrow(run, kinds)
+    return both.mapInArrow(tidied(run), kinds)
 
 
 def brute(texts: list[bytes], length: int) -> list[tuple[int, int, bytes]]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import crc_mod, ragged, segment_sum, subword_buckets
+from framewright.llm.common import crc_mod, ragged, segment_sum, subword_buckets, tidied
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -186,4 +186,4 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes:
                     lo, size = hi + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out")).mapInArrow(tidied(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
