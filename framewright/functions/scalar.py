@@ -13,10 +13,19 @@ def col(x: str | Column | float) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
-def clamp01(x: str | Column) -> Column:
-    """Within 0 and 1; null, NaN and infinities are 0."""
+def finite(x: str | Column) -> Column:
+    """Null instead of NaN and infinities; for columns on entry."""
     c = col(x)
-    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
+def clamp01(x: str | Column) -> Column:
+    """Within 0 and 1; null and NaN are 0, and so are infinities in a column given by name.
+
+    An expression stands in the result only once: these nest, and copies of it would multiply at every level.
+    """
+    c = finite(x) if isinstance(x, str) else F.nanvl(x.cast("double"), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
 
 
 def weighted(values: Sequence[tuple[str | Column, float]]) -> Column:

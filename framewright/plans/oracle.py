@@ -160,3 +160,133 @@ select job_id, sum(duration_seconds) as total_duration_seconds, coalesce(sum(dur
   coalesce(sum(duration_seconds) filter (where state in ('MAJOR_TRANSITION', 'BLACK_TRANSITION')), 0) as transition_duration_seconds, coalesce(sum(duration_seconds) filter (where state = 'INVALID'), 0) as invalid_duration_seconds,
   count(*) filter (where state = 'STABLE') as stable_segment_count, count(*) filter (where state = 'CHANGING') as changing_segment_count, count(*) filter (where state in ('MAJOR_TRANSITION', 'BLACK_TRANSITION')) as transition_segment_count, count(*) filter (where state = 'INVALID') as invalid_segment_count
 from seg group by job_id)""")
+
+# -- stability windows, boundaries, candidates -------------------------------------------------------------------
+step("sw0", """
+select *, row_number() over (partition by job_id order by segment_id) as window_id from (
+  select job_id, segment_id, state, start_timestamp_seconds as start_seconds, end_timestamp_seconds as end_seconds, duration_seconds, start_frame_index, end_frame_index, lag(state) over w as previous_segment_state, lag(duration_seconds) over w as pd, lag(end_frame_index) over w as previous_end_frame_index,
+    lead(state) over w as next_segment_state
+  from seg window w as (partition by job_id order by segment_id)) where state = 'STABLE'""")
+step("swc", """
+select w.job_id, window_id, count(*) as comparison_count, avg(difference_score) as mean_difference_score, quantile_cont(difference_score, 0.5) as median_difference_score, max(difference_score) as max_difference_score, stddev_pop(difference_score) as difference_stddev
+from sw0 w join ds on w.job_id = ds.job_id and difference_score is not null and current_timestamp_seconds >= start_seconds - 1e-9::double and current_timestamp_seconds <= end_seconds + 1e-9::double group by 1, 2""")
+step("swf", """
+select w.job_id, window_id, count(*) as frame_count, avg(is_valid::int::double) as valid_frame_ratio, avg(is_black::int::double) as black_frame_ratio, avg(is_blurry::int::double) as blurry_frame_ratio, avg(is_low_information::int::double) as low_information_ratio,
+  avg(quality_score) filter (where is_valid) as aq, avg(sharpness_score) filter (where is_valid) as average_sharpness
+from sw0 w join fr on w.job_id = fr.job_id and timestamp_seconds >= start_seconds - 1e-9::double and timestamp_seconds <= end_seconds + 1e-9::double group by 1, 2""")
+step("sw1", """
+select w.*, coalesce(comparison_count, 0) as comparison_count, coalesce(frame_count, 0) as frame_count, coalesce(mean_difference_score, 0) as mean_difference_score, coalesce(median_difference_score, 0) as median_difference_score, coalesce(max_difference_score, 0) as max_difference_score,
+  coalesce(difference_stddev, 0) as difference_stddev, coalesce(valid_frame_ratio, 0) as valid_frame_ratio, coalesce(black_frame_ratio, 0) as black_frame_ratio, coalesce(blurry_frame_ratio, 0) as blurry_frame_ratio, coalesce(low_information_ratio, 0) as low_information_ratio, coalesce(aq, 0) as aq, average_sharpness,
+  case when frame_count > 0 then 1.0::double - valid_frame_ratio else 0.0::double end as invalid_frame_ratio, greatest(1e-6::double, enter_stable_threshold) as en, greatest(1e-6::double, enter_stable_threshold, exit_stable_threshold) as ex, major_threshold as mt
+from sw0 w left join swc using (job_id, window_id) left join swf using (job_id, window_id) join lim using (job_id)""")
+_long = c01(f"duration_seconds / {P.window_duration_saturation!r}::double")
+step("sw2", f"""
+select *, {wsum(("aq", .55), ("valid_frame_ratio", .20), ("1.0::double - blurry_frame_ratio", .10), ("1.0::double - low_information_ratio", .10), ("1.0::double - black_frame_ratio", .05))} * case when black_frame_ratio > {P.window_max_black_ratio}::double then 0.25::double else 1.0::double end as quality_score,
+  {wsum(("1.0::double - mean_difference_score / ex", P.stability_difference_weight), ("1.0::double - difference_stddev / greatest(en * 2.0::double, 1e-6::double)", P.stability_variance_weight), ("1.0::double - max_difference_score / greatest(ex * 2.0::double, 1e-6::double)", P.stability_spike_weight), (_long, P.stability_duration_weight))} as stability_score
+from sw1""")
+step("sw", f"""
+select *, len(rejection_reasons) = 0 as is_valid from (
+select *, {wsum(("stability_score", .5), ("quality_score", .25), ("valid_frame_ratio", .15), (_long, .1))} as window_confidence,
+  list_filter([case when duration_seconds < {P.window_min_duration}::double then 'TOO_SHORT' end, case when invalid_frame_ratio > {P.window_max_invalid_ratio}::double then 'TOO_MANY_INVALID_FRAMES' end, case when black_frame_ratio > {P.window_max_black_ratio}::double then 'TOO_MANY_BLACK_FRAMES' end, case when comparison_count = 0 then 'INSUFFICIENT_VALID_COMPARISONS' end], lambda x: x is not null) as rejection_reasons,
+  start_seconds - (select max(timestamp_seconds) from evs where evs.job_id = sw2.job_id and timestamp_seconds <= start_seconds) as seconds_since_previous_major_transition,
+  (select min(timestamp_seconds) from evs where evs.job_id = sw2.job_id and timestamp_seconds >= end_seconds) - end_seconds as seconds_until_next_major_transition
+from sw2)""")
+_q = lambda c, x: f"coalesce(quantile_cont({c}, {x}) filter (where is_valid), 0)"
+step("swst", f"""
+select job_id, count(*) as total_stable_segments, count(*) filter (where is_valid) as valid_windows, count(*) filter (where not is_valid) as rejected_windows, sum(duration_seconds) as total_stable_seconds, coalesce(sum(duration_seconds) filter (where is_valid), 0) as valid_stable_seconds,
+  coalesce(avg(duration_seconds) filter (where is_valid), 0) as mean_window_seconds, {_q("duration_seconds", .5)} as median_window_seconds, {_q("duration_seconds", .9)} as p90_window_seconds, coalesce(avg(stability_score) filter (where is_valid), 0) as mean_stability_score, {_q("stability_score", .5)} as median_stability_score,
+  count(*) filter (where list_contains(rejection_reasons, 'TOO_SHORT')) as rejected_too_short, count(*) filter (where list_contains(rejection_reasons, 'TOO_MANY_BLACK_FRAMES')) as rejected_black, count(*) filter (where list_contains(rejection_reasons, 'TOO_MANY_INVALID_FRAMES')) as rejected_invalid
+from sw group by job_id""")
+step("bo0", f"""
+select *, row_number() over (partition by job_id order by window_id) as boundary_id, case when previous_segment_state in ('CHANGING', 'MAJOR_TRANSITION', 'BLACK_TRANSITION', 'INVALID') then previous_segment_state || '_TO_STABLE' when previous_segment_state is null and start_seconds <= 1e-6::double then 'STABLE_AT_VIDEO_START' else 'OTHER_TO_STABLE' end as boundary_type,
+  greatest(0.0::double, start_seconds - {P.boundary_context!r}::double) as lo, least(end_seconds, start_seconds + {P.boundary_context!r}::double) as hi
+from sw where is_valid""")
+step("bom", """
+select b.job_id, boundary_id, count(*) filter (where c <= t + 1e-9::double) as n_pre, count(*) filter (where c >= t - 1e-9::double and c <= hi + 1e-9::double) as n_post, avg(sc) filter (where c <= t + 1e-9::double) as pre_mean, max(sc) filter (where c <= t + 1e-9::double) as pre_max,
+  avg(sc) filter (where c >= t - 1e-9::double and c <= hi + 1e-9::double) as post_mean, max(sc) filter (where c >= t - 1e-9::double and c <= hi + 1e-9::double) as post_max
+from (select *, start_seconds as t from bo0) b join (select job_id, current_timestamp_seconds as c, difference_score as sc from ds where difference_score is not null) d on b.job_id = d.job_id and c >= lo - 1e-9::double and c <= greatest(hi, t) + 1e-9::double group by 1, 2""")
+step("bo1", f"""
+select *, case boundary_type when 'CHANGING_TO_STABLE' then 1.0::double when 'MAJOR_TRANSITION_TO_STABLE' then 0.95::double when 'BLACK_TRANSITION_TO_STABLE' then 0.85::double when 'STABLE_AT_VIDEO_START' then 0.45::double when 'INVALID_TO_STABLE' then 0.0::double else 0.20::double end as prior,
+  {c01("greatest(0.0::double, pre_mean - post_mean) / scale")} as activity_drop_score, {c01("greatest(pre_mean, pre_max * 0.65::double) / scale")} as preceding_activity_score, case when previous_segment_state = 'CHANGING' then pd else 0.0::double end as preceding_changing_duration_seconds
+from (select b.* , coalesce(n_pre, 0) as n_pre, coalesce(n_post, 0) as n_post, coalesce(pre_mean, 0) as pre_mean, coalesce(pre_max, 0) as pre_max, coalesce(post_mean, 0) as post_mean, coalesce(post_max, 0) as post_max, greatest(en, mt, 1e-6::double) as scale from bo0 b left join bom using (job_id, boundary_id))""")
+step("bo", f"""
+select *, len(rejection_reasons) = 0 as is_valid from (select *, list_filter([case when boundary_type in ('INVALID_TO_STABLE', 'OTHER_TO_STABLE') then 'UNTRUSTED_PREVIOUS_STATE' end,
+  case when boundary_type not in ('STABLE_AT_VIDEO_START', 'INVALID_TO_STABLE') and n_pre = 0 then 'INSUFFICIENT_PRE_BOUNDARY_DATA' end, case when boundary_type not in ('STABLE_AT_VIDEO_START', 'INVALID_TO_STABLE') and activity_drop_score < {P.boundary_min_drop}::double then 'NO_MEANINGFUL_ACTIVITY_DROP' end,
+  case when n_post = 0 then 'INSUFFICIENT_POST_BOUNDARY_DATA' end, case when quality_score <= 0.05::double then 'STABLE_WINDOW_LOW_QUALITY' end, case when stability_score <= 0.05::double then 'STABLE_WINDOW_TOO_WEAK' end,
+  case when boundary_score < {P.boundary_min_score}::double and boundary_type <> 'STABLE_AT_VIDEO_START' then 'BOUNDARY_SCORE_TOO_LOW' end], lambda x: x is not null) as rejection_reasons from (
+select * exclude (is_valid, rejection_reasons), window_id as stable_window_id, start_seconds as timestamp_seconds, case when previous_segment_state = 'CHANGING' then previous_end_frame_index end as last_changing_frame_index, {c01(wsum(("activity_drop_score", P.boundary_drop_weight), ("stability_score", P.boundary_stability_weight), ("quality_score", P.boundary_quality_weight), (f"duration_seconds / {P.boundary_duration_saturation!r}::double", P.boundary_duration_weight), ("prior", P.boundary_type_weight)) + " * (1.0::double - 0.30::double * low_information_ratio)")} as boundary_score from bo1))""")
+step("bost", """
+select job_id, count(*) as total_boundaries, count(*) filter (where is_valid) as valid_boundaries, count(*) filter (where is_valid and boundary_type = 'CHANGING_TO_STABLE') as changing_to_stable, count(*) filter (where is_valid and boundary_type = 'MAJOR_TRANSITION_TO_STABLE') as major_to_stable,
+  count(*) filter (where is_valid and boundary_type = 'BLACK_TRANSITION_TO_STABLE') as black_to_stable, count(*) filter (where is_valid and boundary_type = 'STABLE_AT_VIDEO_START') as at_start, coalesce(avg(boundary_score) filter (where is_valid), 0) as mean_boundary_score, coalesce(quantile_cont(boundary_score, 0.9) filter (where is_valid), 0) as p90_boundary_score,
+  coalesce(avg(activity_drop_score) filter (where is_valid), 0) as mean_activity_drop
+from bo group by job_id""")
+step("rq0", f"""
+select *, start_seconds + {P.settle_delay!r}::double as u0, end_seconds - {P.exit_margin!r}::double as u1, least(case when duration_seconds < {P.short_window!r}::double then 1 when duration_seconds < {P.medium_window!r}::double then 2 when duration_seconds < {P.long_window!r}::double then 3 else 5 end, {P.max_per_window}) as want from sw where is_valid""")
+step("rq1", """
+select *, case when u0 > u1 then [{'k': 'MID_STABLE', 'a': (start_seconds + end_seconds) / 2.0::double}] when want = 1 then [{'k': 'MID_STABLE', 'a': u0 + (u1 - u0) * 0.5::double}] when want = 2 then [{'k': 'SETTLED_START', 'a': u0 + (u1 - u0) * 0.0::double}, {'k': 'MID_STABLE', 'a': u0 + (u1 - u0) * 0.5::double}]
+  when want = 3 then [{'k': 'SETTLED_START', 'a': u0 + (u1 - u0) * 0.0::double}, {'k': 'MID_STABLE', 'a': u0 + (u1 - u0) * 0.5::double}, {'k': 'PRE_EXIT', 'a': u1}]
+  else [{'k': 'SETTLED_START', 'a': u0 + (u1 - u0) * 0.0::double}, {'k': 'EARLY_STABLE', 'a': u0 + (u1 - u0) * 0.25::double}, {'k': 'MID_STABLE', 'a': u0 + (u1 - u0) * 0.5::double}, {'k': 'LATE_STABLE', 'a': u0 + (u1 - u0) * 0.78::double}, {'k': 'PRE_EXIT', 'a': u1}] end as places from rq0""")
+# requests stand in rising order, and the spacing is far below their distance but for three in a short window: there the last goes if it is too near the one before
+step("rq2", "select job_id, window_id, generate_subscripts(places, 1) as request, unnest(places) as r, * exclude (job_id, window_id, places) from rq1")
+step("rqk", f"""
+with recursive keep as (
+  select job_id, window_id, request, r.a as a, r.k as k, request as last, r.a as la from rq2 where request = 1
+  union all
+  select q.job_id, q.window_id, q.request, q.r.a, q.r.k, case when abs(q.r.a - keep.la) >= {P.min_spacing!r}::double - 1e-9::double then q.request else keep.last end, case when abs(q.r.a - keep.la) >= {P.min_spacing!r}::double - 1e-9::double then q.r.a else keep.la end
+  from keep join rq2 q on q.job_id = keep.job_id and q.window_id = keep.window_id and q.request = keep.request + 1)
+select job_id, window_id, row_number() over (partition by job_id, window_id order by request) - 1 as request, a as requested_timestamp_seconds, k as candidate_type from keep where last = request""")
+step("rq", "select rqk.*, sw.* exclude (job_id, window_id) from rqk join sw using (job_id, window_id)")
+step("nf", f"""
+select * from (select rq.job_id, rq.window_id, rq.request, fr.index as frame_index, fr.timestamp_seconds as ft, fr.source_path, fr.processed_path, fr.brightness, fr.contrast, fr.sharpness_score, fr.edge_density, fr.entropy, fr.quality_score as frame_quality_score, fr.is_blurry, fr.is_low_information,
+  row_number() over (partition by rq.job_id, rq.window_id, rq.request order by round(abs(fr.timestamp_seconds - requested_timestamp_seconds), 9), -fr.quality_score, -fr.timestamp_seconds, fr.index) as k
+  from rq join fr on rq.job_id = fr.job_id and fr.is_valid and not fr.is_black and fr.timestamp_seconds >= greatest(start_seconds, requested_timestamp_seconds - {P.search_radius!r}::double) - 1e-9::double and fr.timestamp_seconds <= least(end_seconds, requested_timestamp_seconds + {P.search_radius!r}::double) + 1e-9::double) where k = 1""")
+step("ge0", """
+select rq.job_id, rq.window_id, rq.request, candidate_type, requested_timestamp_seconds, rq.start_seconds, rq.end_seconds, rq.duration_seconds, rq.stability_score, rq.quality_score as window_quality_score, b.boundary_id, b.boundary_type, coalesce(b.boundary_score, 0) as boundary_score, coalesce(b.activity_drop_score, 0) as activity_drop_score,
+  coalesce(b.preceding_activity_score, 0) as preceding_activity_score, coalesce(b.preceding_changing_duration_seconds, 0) as preceding_changing_duration_seconds, b.timestamp_seconds as bat, nf.* exclude (job_id, window_id, request, k), coalesce(ft, requested_timestamp_seconds) as pos,
+  case candidate_type when 'SETTLED_START' then 0 when 'MID_STABLE' then 1 when 'LATE_STABLE' then 2 when 'PRE_EXIT' then 3 else 4 end as ord,
+  list_filter([case when requested_timestamp_seconds < start_seconds - 1e-9::double or requested_timestamp_seconds > end_seconds + 1e-9::double then 'OUTSIDE_WINDOW' end, case when frame_index is null then 'NO_VALID_FRAME_NEAR_TIMESTAMP' end], lambda x: x is not null) as y0
+from rq left join (select job_id, window_id, boundary_id, boundary_type, boundary_score, activity_drop_score, preceding_activity_score, preceding_changing_duration_seconds, timestamp_seconds from bo where is_valid) b on rq.job_id = b.job_id and rq.window_id = b.window_id left join nf on rq.job_id = nf.job_id and rq.window_id = nf.window_id and rq.request = nf.request""")
+step("ge1", "select *, case when len(y0) = 0 and row_number() over (partition by job_id, window_id, frame_index, len(y0) = 0 order by ord, request) > 1 then ['DUPLICATE_TIMESTAMP'] else y0 end as y1 from ge0")
+step("ge2", f"select *, case when len(y1) = 0 and row_number() over (partition by job_id, len(y1) = 0 order by boundary_score desc, stability_score desc, window_quality_score desc, pos, window_id, request) > {P.max_total_candidates} then ['GLOBAL_CANDIDATE_CAP'] else y1 end as rejection_reasons from ge1")
+step("ge", f"""
+select *, row_number() over (partition by job_id order by pos, window_id, ord, request) as candidate_id, window_id as stable_window_id, len(rejection_reasons) = 0 as is_valid, case when boundary_id is not null then 'BOUNDARY' else 'WINDOW_ONLY' end as source_type, ft as frame_timestamp_seconds,
+  {c01("(pos - start_seconds) / greatest(duration_seconds, 1e-9::double)")} as relative_position, case when boundary_id is not null then greatest(0.0::double, pos - bat) end as seconds_after_boundary, greatest(0.0::double, end_seconds - pos) as seconds_before_stable_exit from ge2""")
+step("gest", "select job_id, count(*) as candidates_generated, count(*) filter (where is_valid) as valid_candidates, count(*) filter (where not is_valid) as rejected_candidates, count(distinct stable_window_id) as windows, count(*) filter (where abs(frame_timestamp_seconds - requested_timestamp_seconds) > 1e-6::double) as shifted_to_nearby_frame, count(*) filter (where is_valid) / count(distinct stable_window_id) as mean_candidates_per_window from ge group by job_id")
+step("loc", f"""select ge.job_id, candidate_id, avg(difference_score) as lm, max(difference_score) as lx from ge join ds on ge.job_id = ds.job_id and ge.is_valid and difference_score is not null and current_timestamp_seconds >= ft - {P.local_context!r}::double - 1e-9::double and current_timestamp_seconds <= ft + {P.local_context!r}::double + 1e-9::double group by 1, 2""")
+_bq = f"(case when brightness is null then 0.0::double when brightness between 0.12::double and 0.88::double then 1.0::double when brightness < 0.12::double then {c01('brightness / 0.12::double')} else {c01('(1.0::double - brightness) / 0.12::double')} end)"
+_con = c01("coalesce(contrast, 0) * 2.0::double")
+_sm = repr(P.safe_margin) + "::double"
+step("sc0", f"""
+select *, case when is_valid then {c01(wsum((f"coalesce(sharpness_score, 0) / {P.sharpness_saturation}::double", .35), (_bq, .15), (_con, .15), ("coalesce(frame_quality_score, 0)", .35)) + " * case when is_blurry then 0.75::double else 1.0::double end")} else 0.0::double end as visual_quality_score,
+  case when is_valid then {c01(wsum(("coalesce(edge_density, 0) * 8.0::double", .55), (_con, .20), ("coalesce(entropy, 0)", .25)) + " * case when is_low_information then 0.60::double else 1.0::double end")} else 0.0::double end as content_density_score,
+  case when is_valid then {c01("1.0::double - coalesce(lm, 0) / greatest(1e-6::double, exit_stable_threshold)")} else 0.0::double end as local_stability_score,
+  case when is_valid then {wsum((f"case when seconds_after_boundary is null then 0.20::double else 1.0::double - seconds_after_boundary / {_sm} end", .35), (f"1.0::double - seconds_before_stable_exit / {_sm}", .35), ("coalesce(lx, 0) / greatest(exit_stable_threshold, major_threshold, 1e-6::double)", .30))} else 1.0::double end as transition_risk_score,
+  case when is_valid then {wsum(("preceding_activity_score", .75), (f"preceding_changing_duration_seconds / {P.boundary_duration_saturation!r}::double", .25))} else 0.0::double end as preceding_activity_strength, {c01("1.0::double - abs(relative_position - 0.65::double) / 0.70::double")} as positional_completeness_score
+from ge left join loc using (job_id, candidate_id) join lim using (job_id)""")
+step("sc1", """
+select *, case when is_valid then 1.0::double - transition_risk_score else 0.0::double end as transition_safety_score, first_value(content_density_score) over w as d0, first_value(coalesce(edge_density, 0)) over w as e0 from sc0 window w as (partition by job_id, stable_window_id, is_valid order by pos, candidate_id rows between unbounded preceding and current row)""")
+step("sc2", f"""
+select *, case when is_valid then {c01("(content_density_score - d0) / greatest(0.10::double, 1.0::double - d0)")} else 0.0::double end as relative_content_gain, case when is_valid then {c01("(coalesce(edge_density, 0) - e0) / greatest(0.02::double, 1.0::double - e0)")} else 0.0::double end as eg from sc1""")
+step("sc3", f"select *, case when is_valid then {wsum(('relative_content_gain', .65), ('eg', .35))} else 0.0::double end as content_accumulation_score from sc2")
+_cn = ("case when source_type = 'BOUNDARY' then boundary_score else 0.15::double end", "local_stability_score", "preceding_activity_strength", "content_accumulation_score", "content_density_score", "positional_completeness_score", "visual_quality_score", "transition_safety_score")
+step("sc", f"select *, {wsum(*zip(_cn, P.completeness_weights))} as completeness_heuristic_score from sc3")
+_rn = ("visual_quality_score", "completeness_heuristic_score", "transition_safety_score", "local_stability_score", "boundary_score", "content_density_score", "content_accumulation_score")
+step("ra0", f"""select *, {c01(wsum(*zip(_rn, P.rank_weights)) + " + case candidate_type when 'SETTLED_START' then 0.006::double when 'EARLY_STABLE' then 0.002::double when 'MID_STABLE' then 0.010::double when 'LATE_STABLE' then 0.008::double else 0.0::double end + case when source_type = 'BOUNDARY' then 0.008::double else 0.0::double end")} as ranking_score from sc where is_valid""")
+_lv = lambda c: f"round(({c}) / {P.tie_epsilon!r}::double)"
+step("ra1", f"""select *, row_number() over (partition by job_id, stable_window_id order by {", ".join(_lv(c) + " desc" for c in ("ranking_score", "transition_safety_score", "visual_quality_score", "completeness_heuristic_score", "local_stability_score"))}, {_lv("abs(relative_position - 0.65::double)")}, {_lv("frame_timestamp_seconds")}, candidate_id) as rank_within_window from ra0""")
+step("ra", f"""
+select *, case when best < {P.min_primary_score}::double then 'NONE' when rank_within_window = 1 then 'PRIMARY' when rank_within_window <= {P.top_per_window} and ranking_score >= {P.min_alternate_score}::double then 'ALTERNATE' else 'NONE' end as selection_role, {c01("best - ranking_score")} as score_gap_from_best
+from (select *, max(case when rank_within_window = 1 then ranking_score end) over (partition by job_id, stable_window_id) as best from ra1)""")
+step("se", f"""
+select *, primary_candidate_id is not null and second_best_score is not null and score_gap <= {P.ambiguous_gap}::double as is_ambiguous, primary_candidate_id is not null and primary_score >= 0.60::double and (second_best_score is null or score_gap > {P.ambiguous_gap * 2!r}::double) as clear_winner,
+  case when primary_candidate_id is not null then {wsum(("primary_score", .7), (f"score_gap / {max(P.ambiguous_gap * 4, 1e-6)!r}::double", .3))} else 0.0::double end as selection_confidence, case when primary_candidate_id is null and valid_candidate_count = 0 then 'NO_VALID_CANDIDATES' when primary_candidate_id is null then 'ALL_CANDIDATES_BELOW_MINIMUM' end as failure_reason
+from (select *, case when primary_candidate_id is not null and s2 is not null then {c01("s1 - s2")} when primary_candidate_id is not null then s1 else 0.0::double end as score_gap, case when primary_candidate_id is not null then s1 else 0.0::double end as primary_score, case when primary_candidate_id is not null then s2 end as second_best_score from (
+select w.job_id, w.window_id as stable_window_id, coalesce(n, 0) as candidate_count, coalesce(m, 0) as valid_candidate_count, primary_candidate_id, s1, s2, coalesce(alt, []::bigint[]) as alternate_candidate_ids
+from sw w left join (select job_id, stable_window_id as window_id, count(*) as n from ge group by 1, 2) g on w.job_id = g.job_id and w.window_id = g.window_id
+left join (select job_id, stable_window_id as window_id, count(*) as m, max(case when selection_role = 'PRIMARY' then candidate_id end) as primary_candidate_id, max(case when rank_within_window = 1 then ranking_score end) as s1, max(case when rank_within_window = 2 then ranking_score end) as s2,
+  list(candidate_id order by rank_within_window) filter (where selection_role = 'ALTERNATE') as alt from ra group by 1, 2) r on w.job_id = r.job_id and w.window_id = r.window_id where w.is_valid))""")
+step("sest", """
+select s.*, coalesce(a, 0) as mean_ranking_score, coalesce(b, 0) as median_ranking_score, coalesce(c, 0) as p90_ranking_score, ambiguous_windows / windows_considered as ambiguity_ratio from (
+select job_id, count(*) as windows_considered, count(primary_candidate_id) as windows_with_primary, sum(len(alternate_candidate_ids))::bigint as alternate_candidates, count(*) filter (where is_ambiguous) as ambiguous_windows, count(*) filter (where clear_winner) as clear_winner_windows, coalesce(avg(score_gap) filter (where primary_candidate_id is not null), 0) as mean_score_gap from se group by job_id) s
+left join (select job_id, avg(ranking_score) as a, quantile_cont(ranking_score, 0.5) as b, quantile_cont(ranking_score, 0.9) as c from ra group by job_id) using (job_id)""")
+step("ho", "select ra.*, se.selection_confidence, se.is_ambiguous, ra.frame_timestamp_seconds as timestamp_seconds from ra join se on ra.job_id = se.job_id and ra.stable_window_id = se.stable_window_id where selection_role in ('PRIMARY', 'ALTERNATE')")

@@ -2,27 +2,84 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
-from framewright.operators import change, timeline
+from framewright.operators import candidates, change, stability, timeline
 from framewright.plans.adapters import EVENTS as P
 from framewright.plans.adapters import differences, frames
 from framewright.plans.oracle import rounded
 from framewright.queries import register, show
+from framewright.sources.tables import keep
 
 
 class Visual:
-    """The chain's tables over one folder; each is a lazy plan, and a query uses those it needs."""
+    """The chain's tables over one folder, each made when it is first asked for.
+
+    Later stages read earlier ones several times, so those are written as tables: else every stage would plan and run all
+    stages before it again for each use.
+    """
 
     def __init__(self, spark, sf_dir):
-        self.frames = frames(spark, sf_dir)
-        self.pairs = differences(self.frames)
-        self.thresholds = change.change_thresholds(self.pairs, P)
-        self.events = change.change_events(self.pairs, self.thresholds, P)
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def frames(self):
+        return keep(frames(self.spark, self.sf_dir))
+
+    @cached_property
+    def pairs(self):
+        return keep(differences(self.frames))
+
+    @cached_property
+    def thresholds(self):
+        return keep(change.change_thresholds(self.pairs, P))
+
+    @cached_property
+    def events(self):
+        return keep(change.change_events(self.pairs, self.thresholds, P))
+
+    @cached_property
+    def limits(self):
         scored = change.scored(self.pairs).groupBy("job_id").agg(F.count("*").alias("n"))
-        self.limits = timeline.timeline_thresholds(self.thresholds, scored, P)
-        self.states = timeline.pair_states(self.pairs, self.events, self.limits, P)
-        self.segments = timeline.timeline_segments(self.states, P)
+        return keep(timeline.timeline_thresholds(self.thresholds, scored, P))
+
+    @cached_property
+    def states(self):
+        return timeline.pair_states(self.pairs, self.events, self.limits, P)
+
+    @cached_property
+    def segments(self):
+        return keep(timeline.timeline_segments(self.states, P))
+
+    @cached_property
+    def windows(self):
+        return keep(stability.stability_windows(self.segments, self.pairs, self.frames, self.events, self.limits, P))
+
+    @cached_property
+    def bounds(self):
+        return keep(stability.boundaries(self.windows, self.pairs, self.limits, P))
+
+    @cached_property
+    def candidates(self):
+        return keep(candidates.generate(self.windows, self.bounds, self.frames, P))
+
+    @cached_property
+    def scores(self):
+        return keep(candidates.score(self.candidates, self.pairs, self.limits, P))
+
+    @cached_property
+    def ranked(self):
+        return keep(candidates.rank(self.scores, P))
+
+    @cached_property
+    def selected(self):
+        return keep(candidates.selections(self.windows, self.candidates, self.ranked, P))
+
+    @cached_property
+    def handoff(self):
+        return candidates.handoff(self.selected, self.ranked)
 
 
 def add(name, build, columns, numbers, step):
@@ -41,3 +98,15 @@ add("pair_states", lambda v: v.states, "job_id, current_frame_index, state", "cu
 SEG = "start_timestamp_seconds, end_timestamp_seconds, duration_seconds, mean_difference_score, median_difference_score, min_difference_score, max_difference_score, change_intensity"
 add("activity_timeline", lambda v: v.segments, "job_id, segment_id, state, start_frame_index, end_frame_index, comparison_count", SEG, "seg")
 add("timeline_stats", lambda v: timeline.timeline_stats(v.segments), "job_id, stable_segment_count, changing_segment_count, transition_segment_count, invalid_segment_count", "total_duration_seconds, stable_duration_seconds, changing_duration_seconds, transition_duration_seconds, invalid_duration_seconds, stable_ratio, changing_ratio, invalid_ratio", "segst")
+add("stability_windows", lambda v: v.windows, "job_id, window_id, comparison_count, frame_count, previous_segment_state, next_segment_state, is_valid, rejection_reasons", "duration_seconds, mean_difference_score, difference_stddev, stability_score, quality_score, window_confidence, valid_frame_ratio, black_frame_ratio, average_sharpness, seconds_since_previous_major_transition, seconds_until_next_major_transition", "sw")
+add("window_stats", lambda v: stability.window_stats(v.windows), "job_id, total_stable_segments, valid_windows, rejected_windows, rejected_too_short, rejected_black, rejected_invalid", "total_stable_seconds, valid_stable_seconds, mean_window_seconds, median_window_seconds, p90_window_seconds, mean_stability_score, median_stability_score", "swst")
+add("boundaries", lambda v: v.bounds, "job_id, boundary_id, boundary_type, stable_window_id, last_changing_frame_index, is_valid, rejection_reasons", "timestamp_seconds, pre_mean, pre_max, post_mean, post_max, activity_drop_score, preceding_activity_score, preceding_changing_duration_seconds, boundary_score", "bo")
+add("boundary_stats", lambda v: stability.boundary_stats(v.bounds), "job_id, total_boundaries, valid_boundaries, changing_to_stable, major_to_stable, black_to_stable, at_start", "mean_boundary_score, p90_boundary_score, mean_activity_drop", "bost")
+add("candidate_positions", lambda v: candidates.requested_positions(v.windows, P).withColumn("request", F.col("request").cast("bigint")), "job_id, window_id, request, candidate_type", "requested_timestamp_seconds", "rq")
+add("generated_candidates", lambda v: v.candidates, "job_id, candidate_id, stable_window_id, boundary_id, candidate_type, source_type, frame_index, is_valid, rejection_reasons", "requested_timestamp_seconds, frame_timestamp_seconds, relative_position, seconds_after_boundary, seconds_before_stable_exit, frame_quality_score", "ge")
+add("generation_stats", lambda v: candidates.generation_stats(v.candidates), "job_id, candidates_generated, valid_candidates, rejected_candidates, windows, shifted_to_nearby_frame", "mean_candidates_per_window", "gest")
+add("candidate_scores", lambda v: v.scores, "job_id, candidate_id", "visual_quality_score, content_density_score, local_stability_score, transition_risk_score, transition_safety_score, preceding_activity_strength, positional_completeness_score, relative_content_gain, content_accumulation_score, completeness_heuristic_score", "sc")
+add("ranked_candidates", lambda v: v.ranked, "job_id, candidate_id, stable_window_id, rank_within_window, selection_role", "ranking_score, score_gap_from_best", "ra")
+add("window_selections", lambda v: v.selected, "job_id, stable_window_id, candidate_count, valid_candidate_count, primary_candidate_id, alternate_candidate_ids, is_ambiguous, clear_winner, failure_reason", "primary_score, second_best_score, score_gap, selection_confidence", "se")
+add("ranking_stats", lambda v: candidates.ranking_stats(v.selected, v.ranked), "job_id, windows_considered, windows_with_primary, alternate_candidates, ambiguous_windows, clear_winner_windows", "mean_score_gap, mean_ranking_score, median_ranking_score, p90_ranking_score, ambiguity_ratio", "sest")
+add("candidate_handoff", lambda v: v.handoff, "job_id, candidate_id, stable_window_id, selection_role, is_ambiguous", "timestamp_seconds, ranking_score, selection_confidence", "ho")
