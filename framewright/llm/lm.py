@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import crc_mod, cut, segment_sum, tidied
+from framewright.llm.common import crc_mod, cut, give_back, segment_sum, tidied
 
 ORDER = 5
 END, START = 256, 257
@@ -294,13 +294,16 @@ def score(docs: DataFrame, max_nodes: int = 1_000_000) -> DataFrame:
         worker = Scorer(scorer.value)
         # the last row says how many distinct words this chunk is the first to have
         n = len(texts)
+        scores = worker.score(texts)
+        del worker, at, index, count, log
+        give_back()
         return pa.table({
             "doc_id": pa.array([*left.column("doc_id").to_pylist(), None], id_kind),
             "held_out": pa.array([*left.column("held_out").to_pylist(), None], pa.bool_()),
             "n_tokens": pa.array([*n_tokens, None], pa.int64()),
             "n_known": pa.array([*n_known, None], pa.int64()),
             "logs": pa.array([*logs, None], pa.float64()),
-            "score": pa.array([*worker.score(texts), None], pa.float64()),
+            "score": pa.array([*scores, None], pa.float64()),
             "first_seen": pa.array([None] * n + [int(np.count_nonzero(right.column("distinct").to_numpy(zero_copy_only=False)))], pa.int64()),
         })
 
