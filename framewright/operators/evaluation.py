@@ -41,7 +41,7 @@ def temporal_match(states: DataFrame, predictions: DataFrame) -> DataFrame:
 
     Greedy over one sample and level, which is a bounded group: every state's choice depends on those before it.
     """
-    levels = predictions.select("sample_id", "level").distinct()
+    levels = predictions.select(F.col("sample_id").alias("sample_id"), F.col("level").alias("level")).distinct()  # new columns: both sides are cogrouped
     s = states.join(levels, "sample_id")
     schema = "sample_id string, level string, kind string, state_id string, prediction_id string, error double"
 
