@@ -14,6 +14,7 @@ from framewright.plans.speech import judged
 from framewright.plans.visual import Visual
 from framewright.operators.semantic import COMPLETION, decide
 from framewright.queries import register, show
+from framewright.sources import media
 from framewright.sources.tables import keep
 
 
@@ -195,3 +196,27 @@ register("missing_rows_incremental", lambda spark, sf: (lambda i, c: lineage.row
 register("orphans", lambda spark, sf: (lambda i, c: lineage.orphans(c, i, ["id"]))(*cache_of(spark, sf)), "select -o_orderkey as id, o_custkey as fingerprint from orders where o_orderkey % 100 = 0 and o_orderkey > 0")
 register("duplicate_ids", lambda spark, sf: lineage.repeated_ids(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey"]), "select l_orderkey, l_partkey, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
 register("redaction", lambda spark, sf: table(spark, sf, "events").select("event_id", F.map_entries(T.redact(F.create_map(F.lit("api_key"), F.lit("k"), F.col("event_type"), F.col("props")))).alias("props")))
+
+
+# -- sources: links and files as the documents table would give them ------------------------------------------------------
+def links(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    forms = ["https://www.youtube.com/watch?v=", "https://youtu.be/", "http://m.youtube.com/shorts/", "https://youtube.com/embed/", "ftp://youtube.com/watch?v=", "https://example.org/watch?v=", "https://www.youtube.com/live/"]
+    u = F.concat(F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("doc_id") % 7 + 1).cast("int")), F.lit("v"), F.lpad(F.col("doc_id").cast("string"), 10, "0"))
+    return d.withColumn("url", u)
+
+
+def video_links(spark, sf):
+    i, e = media.video_link(F.col("url"))
+    return links(spark, sf).select("doc_id", i.alias("video_id"), e.alias("error"))
+
+
+register("video_links", video_links, "select doc_id, case when doc_id % 7 in (4, 5) then null else 'v' || lpad(doc_id::varchar, 10, '0') end as video_id, case doc_id % 7 when 4 then 'UNSUPPORTED_SCHEME' when 5 then 'UNSUPPORTED_HOST' end as error from documents")
+
+
+def grid(spark, sf):
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), (F.col("o_orderkey") % 40 + 0.5).alias("duration_seconds"))
+    return media.sampling_grid(d, P).groupBy("job_id").agg(F.count("*").alias("frames"), F.max("timestamp_seconds").alias("last_seconds"))
+
+
+register("sampling_grid", grid, "select cast(o_orderkey as varchar) as job_id, sum(o_orderkey % 40 + 1)::bigint as frames, max(o_orderkey % 40)::double as last_seconds from orders group by 1")

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewright.functions.text import word_count
-from framewright.operators import semantic, transcript
+from framewright.operators import neighbours, semantic, transcript
 from framewright.params import DEFAULT
-from framewright.plans.adapters import table
-from framewright.plans.oracle import r6, rounded, step
+from framewright.plans.adapters import EVENTS, table
+from framewright.plans.oracle import rounded, step
 from framewright.plans.visual import Visual
 from framewright.queries import register, show
 from framewright.sources.tables import keep
@@ -116,4 +116,26 @@ step("wd", f"""select job_id, stable_window_id, p as primary_candidate_id, case
 from (select *, case when n_ok = 0 then null when n_ok = 1 then o when stays then p else ba end as w from wd1)""")
 register("decision_scores", lambda spark, sf: show(semantic.decide(judged(Visual(spark, sf)), P), "job_id, candidate_id, decision, eligible, reason_codes", "semantic_decision_score"), rounded("job_id, candidate_id, decision, eligible, reason_codes", "de", "semantic_decision_score"))
 register("window_decisions", lambda spark, sf: show(semantic.window_decisions(semantic.decide(judged(Visual(spark, sf)), P), P), "job_id, stable_window_id, primary_candidate_id, alternate_candidate_id, selected_candidate_id, decision, is_semantically_ambiguous, reason_codes", "score_gap"), rounded("job_id, stable_window_id, primary_candidate_id, alternate_candidate_id, selected_candidate_id, decision, is_semantically_ambiguous, reason_codes", "wd", "score_gap"))
-__all__ = ["r6", "segments"]
+
+
+def neighbour_candidates(v: Visual):
+    level = v.frames.select("job_id", F.col("index").alias("frame_index"), "level")
+    b = v.bounds.select("job_id", "boundary_id", F.col("timestamp_seconds").alias("boundary_seconds"))
+    h = v.handoff.select("job_id", "candidate_id", "timestamp_seconds", "frame_index", "boundary_id", F.col("stable_window_start_seconds").alias("window_start"), F.col("stable_window_end_seconds").alias("window_end"))
+    return h.join(level, ["job_id", "frame_index"]).join(b, ["job_id", "boundary_id"], "left")
+
+
+def temporal_neighbours(spark, sf):
+    v = Visual(spark, sf)
+    return show(neighbours.choose(neighbour_candidates(v), v.frames, v.segments, EVENTS), "job_id, candidate_id, role, frame_index", "frame_seconds")
+
+
+_E = EVENTS
+step("fst", "select f.job_id, f.index, arg_min(s.state, s.segment_id) as st from fr f join seg s on f.job_id = s.job_id and f.timestamp_seconds >= s.start_timestamp_seconds - 1e-6::double and f.timestamp_seconds <= s.end_timestamp_seconds + 1e-6::double group by 1, 2")
+step("nc", "select h.job_id, h.candidate_id, h.timestamp_seconds as t, h.frame_index, f.level, b.timestamp_seconds as bs, h.start_seconds as w0, h.end_seconds as w1 from ho h join fr f on f.job_id = h.job_id and f.index = h.frame_index left join bo b on b.job_id = h.job_id and b.boundary_id = h.boundary_id")
+step("nb", f"""select * from (select c.job_id, c.candidate_id, case when f.timestamp_seconds < t then 'PREVIOUS' else 'NEXT' end as role, f.index as frame_index, f.timestamp_seconds as frame_seconds, row_number() over (partition by c.job_id, c.candidate_id, f.timestamp_seconds < t order by
+  case when f.timestamp_seconds < t then case when coalesce(st = 'CHANGING', false) then 0 else 1 end else case when f.timestamp_seconds >= w0 and f.timestamp_seconds <= w1 then 0 else 1 end end, case when f.timestamp_seconds < t then case when coalesce(f.timestamp_seconds < bs, false) then 0 else 1 end else case when coalesce(st = 'CHANGING', false) then 0 else 1 end end,
+  abs(abs(t - f.timestamp_seconds) - {_E.neighbour_preferred_gap!r}::double), -f.quality_score, case when f.timestamp_seconds < t then -f.timestamp_seconds else f.timestamp_seconds end, f.index) as k
+from nc c join fr f on f.job_id = c.job_id and f.is_valid and not f.is_black and f.index <> c.frame_index and f.timestamp_seconds <> t and f.timestamp_seconds >= greatest(0.0::double, t - {_E.neighbour_before!r}::double) and f.timestamp_seconds <= t + {_E.neighbour_after!r}::double and abs(t - f.timestamp_seconds) >= {_E.neighbour_min_gap!r}::double - 1e-6::double
+  and abs(f.level - c.level) > {_E.neighbour_duplicate_difference}::double left join fst on fst.job_id = f.job_id and fst.index = f.index where coalesce(st not in ('INVALID', 'BLACK_TRANSITION'), true)) where k = 1""")
+register("temporal_neighbours", temporal_neighbours, rounded("job_id, candidate_id, role, frame_index", "nb", "frame_seconds"))
