@@ -15,7 +15,6 @@ if only one class was seen every text scores as that class; repeated rows score
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import crc_mod, ragged, segment_sum, subword_buckets, tidied
+from framewright.llm.common import crc_mod, give_back, ragged, segment_sum, subword_buckets, tidied
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -67,26 +66,26 @@ class Model:
 
 
 def train(rows: list[tuple[str | None, int]], epochs: int = 24, seed: int = 7) -> Model:
-    rows = [(t, int(y)) for t, y in rows]
-    docs = [words_of(t) for t, _ in rows]
-    y = np.array([r[1] for r in rows], np.int64)
-    base = float(y.mean()) if len(y) else 0.0
-    zero = Model(np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 2)), np.zeros(2), base)
-    keep = [i for i, d in enumerate(docs) if d]
-    if len({int(y[i]) for i in keep}) < 2:
-        zero.only = int(y[0]) if len(y) else 0
-        return zero
-    docs, y = [docs[i] for i in keep], y[keep]
+    index: dict[str, int] = {}
+    at, y, seen = [], [], []
+    for text, label in rows:  # a document is kept as the numbers of its words
+        ids = np.fromiter((index.setdefault(w, len(index)) for w in words_of(text)), np.int32)
+        seen.append(int(label))
+        if len(ids):
+            at.append(ids)
+            y.append(int(label))
+    base = float(np.mean(seen)) if seen else 0.0
+    if len(set(y)) < 2:
+        return Model(np.zeros((1 << BITS, DIM), np.float32), np.zeros((DIM, 2)), np.zeros(2), base, only=seen[0] if seen else 0)
+    y = np.array(y)
     # document frequencies by class choose the first bag of each document
-    df = [Counter(), Counter()]
-    for d, c in zip(docs, y, strict=True):
-        df[c].update(set(d))
+    df = np.zeros((2, len(index)))
+    for a, c in zip(at, y, strict=True):
+        df[c, np.unique(a)] += 1
     n = np.bincount(y, minlength=2)
-    telling = {w: np.log((df[1][w] + 0.1) / (n[1] + 0.2)) - np.log((df[0][w] + 0.1) / (n[0] + 0.2)) for w in df[1] | df[0]}
-    vocab = list(telling)
-    index = {w: i for i, w in enumerate(vocab)}
-    tell = np.array([telling[w] * np.log1p(df[1][w] + df[0][w]) for w in vocab])
-    at = [np.array([index[w] for w in d]) for d in docs]
+    telling = np.log((df[1] + 0.1) / (n[1] + 0.2)) - np.log((df[0] + 0.1) / (n[0] + 0.2))
+    tell = telling * np.log1p(df.sum(axis=0))
+    vocab = list(index)
     bags, size = subword_buckets(vocab, SIZES, BITS)
     first = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
@@ -167,13 +166,14 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -
     ids = [rows.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
     picked = F.broadcast(ids[0].unionAll(ids[1]))  # 2 x per_class small rows at most
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.octet_length("_text") <= max_bytes)
-    return [(r._text, r._y) for r in texts.join(picked, "_id").collect()]
+    got = texts.join(picked, "_id").select("_text", "_y").toArrow()
+    return list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 16_384) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 16_384) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    got = sorted(sample(docs, labels, per_class, max_bytes))
-    model = docs.sparkSession.sparkContext.broadcast(train(got))
+    model = docs.sparkSession.sparkContext.broadcast(train(sorted(sample(docs, labels, per_class, max_bytes))))
+    give_back()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
