@@ -6,10 +6,11 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from framewright.functions.scalar import reasons
 from framewright.operators import candidates, change, stability, timeline
 from framewright.plans.adapters import EVENTS as P
 from framewright.plans.adapters import differences, frames
-from framewright.plans.oracle import rounded
+from framewright.plans.oracle import chain, r6, rounded
 from framewright.queries import register, show
 from framewright.sources.tables import keep
 
@@ -110,3 +111,31 @@ add("ranked_candidates", lambda v: v.ranked, "job_id, candidate_id, stable_windo
 add("window_selections", lambda v: v.selected, "job_id, stable_window_id, candidate_count, valid_candidate_count, primary_candidate_id, alternate_candidate_ids, is_ambiguous, clear_winner, failure_reason", "primary_score, second_best_score, score_gap, selection_confidence", "se")
 add("ranking_stats", lambda v: candidates.ranking_stats(v.selected, v.ranked), "job_id, windows_considered, windows_with_primary, alternate_candidates, ambiguous_windows, clear_winner_windows", "mean_score_gap, mean_ranking_score, median_ranking_score, p90_ranking_score, ambiguity_ratio", "sest")
 add("candidate_handoff", lambda v: v.handoff, "job_id, candidate_id, stable_window_id, selection_role, is_ambiguous", "timestamp_seconds, ranking_score, selection_confidence", "ho")
+
+
+# -- one wide row a job: the statistics of all stages ------------------------------------------------------------------------
+SUMMARY = "major_events, very_major_events, black_transitions, invalid_gaps, stable_segment_count, changing_segment_count, valid_windows, rejected_windows, valid_boundaries, candidates_generated, valid_candidates, windows_with_primary, ambiguous_windows"
+
+
+def job_summary(spark, sf):
+    """Left joins of the stage statistics on job_id: jobs without rows of a stage have nulls there."""
+    v = Visual(spark, sf)
+    out = change.event_stats(v.pairs, v.events)
+    for one in (timeline.timeline_stats(v.segments), stability.window_stats(v.windows), stability.boundary_stats(v.bounds), candidates.generation_stats(v.candidates), candidates.ranking_stats(v.selected, v.ranked)):
+        out = out.join(one, "job_id", "left")
+    return show(out, f"job_id, {SUMMARY}", "stable_ratio, mean_stability_score, mean_boundary_score, mean_ranking_score")
+
+
+register("job_summary", job_summary, chain(f"select evst.job_id, {SUMMARY}, " + ", ".join(f"{r6(c)} as {c}" for c in ("stable_ratio", "mean_stability_score", "mean_boundary_score", "mean_ranking_score")) + " from evst left join segst using (job_id) left join swst using (job_id) left join bost using (job_id) left join gest using (job_id) left join sest using (job_id)"))
+
+
+def timeline_quality(spark, sf):
+    """Densities and warnings of each job's timeline."""
+    v = Visual(spark, sf)
+    x = change.event_stats(v.pairs, v.events).join(timeline.timeline_stats(v.segments), "job_id")
+    major = F.col("major_events") + F.col("very_major_events")
+    x = x.withColumn("major_per_minute", F.coalesce(F.try_divide(major * 60.0, F.col("total_duration_seconds")), F.lit(0.0)))
+    return show(x.withColumn("warnings", reasons((F.col("event_ratio") > 0.30, "MANY_MAJOR_EVENTS"), (F.col("stable_ratio") == 0, "NO_STABLE_SEGMENT"), (F.col("invalid_ratio") > 0.5, "MOSTLY_INVALID"))), "job_id, warnings", "major_per_minute, event_ratio, stable_ratio")
+
+
+register("timeline_quality", timeline_quality, chain(f"select job_id, list_filter([case when event_ratio > 0.30::double then 'MANY_MAJOR_EVENTS' end, case when stable_ratio = 0 then 'NO_STABLE_SEGMENT' end, case when invalid_ratio > 0.5::double then 'MOSTLY_INVALID' end], lambda x: x is not null) as warnings, {r6('coalesce((major_events + very_major_events) * 60.0::double / nullif(total_duration_seconds, 0), 0)')} as major_per_minute, {r6('event_ratio')} as event_ratio, {r6('stable_ratio')} as stable_ratio from evst join segst using (job_id)"))
