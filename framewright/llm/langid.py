@@ -215,10 +215,14 @@ def train(rows: list[tuple[str, str]], chains: int = 6000, length: int = 40, epo
 
 def sample(docs: DataFrame, per_lang: int, max_bytes: int) -> list[tuple[str, str]]:
     """At most ``per_lang`` documents of each language that may be learned from, as (text, language)."""
-    rows = docs.select(F.col("lang").alias("_l"), F.col("text").alias("_t"), F.xxhash64("doc_id").alias("_h")).where(
-        F.col("_l").isNotNull() & F.col("_t").isNotNull() & (F.octet_length("_t") <= max_bytes) & crc_mod(docs["doc_id"], 4).isin(0, 1, 3)
-    )
-    # the window's group limit keeps per_lang rows of each language in every task before the shuffle
+    may = F.col("_l").isNotNull() & crc_mod("_id", 4).isin(0, 1, 3)
+    ids = docs.select(F.col("lang").alias("_l"), F.col("doc_id").alias("_id"), F.col("text").alias("_t"), F.xxhash64("doc_id").alias("_h")).where(may)
+    # of a frequent language only a share by hash goes further, twice what is wanted: no task meets a language's rows
+    sizes = {r._l: r.n for r in ids.groupBy("_l").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(1.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("_l") == lang, F.lit(min(1.0, 2.0 * per_lang / n))).otherwise(share)
+    rows = ids.where((F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000) & F.col("_t").isNotNull() & (F.octet_length("_t") <= max_bytes))
     first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_t"))).where(F.col("_k") <= per_lang)
     return sorted((r._t, r._l) for r in first.select("_t", "_l").collect())
 
