@@ -47,7 +47,8 @@ def normalize(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """De-duplicated, split and merged segments of each job.
 
     Each step depends on what the steps before made of the segments so far, so a job is one Python group; a job is one
-    recording and has bounded length.
+    recording and has bounded length.  ``words`` (word, start_seconds, end_seconds) may be a column; without it overlong
+    segments are kept whole.
     """
     cols = ["job_id", "segment_id", "chunk_id", "source_ordinal", "absolute_start_seconds", "absolute_end_seconds", "text", "avg_logprob", "no_speech_prob", "is_within_logical_range"]
     schema = "job_id string, segment_id bigint, start_seconds double, end_seconds double, text string, source_segment_ids array<string>, source_chunk_ids array<bigint>, word_count bigint, avg_logprob double, no_speech_prob double, normalization_flags array<string>"
@@ -60,7 +61,7 @@ def normalize(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
             columns=[c.split()[0] for c in schema.split(", ")],
         )
 
-    return raw.select(*cols).groupBy("job_id").applyInPandas(one, schema)
+    return raw.select(*cols, *[c for c in ("words",) if c in raw.columns]).groupBy("job_id").applyInPandas(one, schema)
 
 
 def _number(x):
@@ -86,7 +87,7 @@ def drop_repeats(rows: list[dict], p: Params = DEFAULT) -> list[dict]:
         text = " ".join((r["text"] or "").split())
         if not text:
             continue
-        item = {"raw": r, "start": r["absolute_start_seconds"], "end": r["absolute_end_seconds"], "text": text, "ids": [r["segment_id"]], "chunks": [int(r["chunk_id"])], "logprob": _number(r["avg_logprob"]), "silence": _number(r["no_speech_prob"]), "flags": {"TRIMMED_WHITESPACE"} if text != r["text"] else set()}
+        item = {"raw": r, "start": r["absolute_start_seconds"], "end": r["absolute_end_seconds"], "text": text, "ids": [r["segment_id"]], "chunks": [int(r["chunk_id"])], "logprob": _number(r["avg_logprob"]), "silence": _number(r["no_speech_prob"]), "words": [dict(w) for w in (r["words"] if r.get("words") is not None else [])], "flags": {"TRIMMED_WHITESPACE"} if text != r["text"] else set()}
         twin = None
         for k in range(len(kept) - 1, -1, -1):
             if r["absolute_start_seconds"] - kept[k]["raw"]["absolute_end_seconds"] > p.transcript_tolerance:
@@ -105,12 +106,30 @@ def drop_repeats(rows: list[dict], p: Params = DEFAULT) -> list[dict]:
     return kept
 
 
+def split_long(s: dict, p: Params = DEFAULT) -> list[dict]:
+    """An overlong segment cut between words, as late as its bounds allow; one without words, or of one piece, is flagged."""
+    if s["end"] - s["start"] <= p.max_segment_duration:
+        return [s]
+    parts: list[list[dict]] = []
+    chars = 0
+    for w in s.get("words") or []:
+        if parts and w["end_seconds"] - parts[-1][0]["start_seconds"] <= p.max_segment_duration and chars + len(w["word"]) <= p.max_segment_characters:
+            parts[-1].append(w)
+        else:
+            parts.append([w])
+            chars = 0
+        chars += len(w["word"])
+    texts = [" ".join("".join(w["word"] for w in g).split()) for g in parts]
+    if len(parts) < 2 or not any(texts):
+        s["flags"].add("LONG_SEGMENT_PRESERVED")
+        return [s]
+    return [{**s, "start": g[0]["start_seconds"], "end": g[-1]["end_seconds"], "text": t, "words": g, "flags": set(s["flags"])} for g, t in zip(parts, texts, strict=True) if t]
+
+
 def merge_segments(items: list[dict], p: Params = DEFAULT) -> list[dict]:
-    """Neighbours joined while the gap, the joint duration and the joint text stay within bounds."""
+    """Overlong segments split, then neighbours joined while the gap, the joint duration and the joint text stay within bounds."""
     out: list[dict] = []
-    for s in sorted(items, key=lambda s: (s["start"], s["end"], s["ids"])):
-        if s["end"] - s["start"] > p.max_segment_duration:
-            s["flags"].add("LONG_SEGMENT_PRESERVED")
+    for s in sorted((part for s in items for part in split_long(s, p)), key=lambda s: (s["start"], s["end"], s["ids"])):
         if out:
             last = out[-1]
             text = f"{last['text']} {s['text']}"
@@ -224,3 +243,27 @@ def context(moments: DataFrame, segments: DataFrame, p: Params = DEFAULT) -> Dat
     out = moments.select("job_id", "candidate_id").join(g, ["job_id", "candidate_id"], "left")
     fill = {c: F.coalesce(F.col(c), none) for c in ("current_segment_ids", "before_segment_ids", "after_segment_ids")} | {c: F.coalesce(F.col(c), F.lit(False)) for c in ("truncated_before", "truncated_after", "context_over_budget_due_to_current")} | {c: F.coalesce(F.col(c), F.lit(0)) for c in ("characters", "words")}
     return out.withColumns(fill).withColumn("is_sparse_context", F.col("words") < p.context_sparse_words).drop("cur", "rest", "_tb", "_ta", "_start", "_end")
+
+
+def nearest_words(aligned: DataFrame, words: DataFrame) -> DataFrame:
+    """The word at or nearest to each moment, among those of the segment there and the ones before and after.
+
+    ``words`` has job_id, segment_id, word, start_seconds and end_seconds; of equals the earliest, then the first by text.
+    """
+    near = F.array_distinct(F.array_compact(F.array("primary_segment_id", "previous_segment_id", "next_segment_id")))
+    m = aligned.select("job_id", "candidate_id", "timestamp_seconds", F.explode(near).alias("segment_id"))
+    t, s, e = F.col("timestamp_seconds"), F.col("start_seconds"), F.col("end_seconds")
+    x = m.join(words, ["job_id", "segment_id"]).withColumn("gap", F.when((s <= t) & (t <= e), 0.0).otherwise(F.least(F.abs(t - s), F.abs(t - e))))
+    best = F.min(F.struct("gap", "start_seconds", "end_seconds", "word"))
+    return x.groupBy("job_id", "candidate_id").agg(best.alias("b")).select("job_id", "candidate_id", F.col("b.word").alias("nearest_word"), F.col("b.gap").alias("nearest_word_gap_seconds"), F.col("b.start_seconds").alias("nearest_word_start_seconds"), (F.col("b.gap") == 0).alias("candidate_overlaps_word"))
+
+
+def windows_with_speech(windows: DataFrame, segments: DataFrame, width: float = 60.0) -> DataFrame:
+    """Windows (job_id, window_id, start_seconds, end_seconds) with ``has_speech``: whether a segment touches them."""
+    b = lambda c: F.floor(c / F.lit(width))
+    w = windows.select("job_id", "window_id", F.col("start_seconds").alias("_w0"), F.col("end_seconds").alias("_w1"))
+    w = w.withColumn("_b", F.explode(F.sequence(b(F.col("_w0")), F.greatest(b(F.col("_w0")), b(F.col("_w1"))))))
+    s = segments.select("job_id", F.col("start_seconds").alias("_s0"), F.col("end_seconds").alias("_s1"))
+    s = s.withColumn("_b", F.explode(F.sequence(b(F.col("_s0")), F.greatest(b(F.col("_s0")), b(F.col("_s1"))))))
+    hit = w.join(s, ["job_id", "_b"]).where((F.col("_s1") >= F.col("_w0")) & (F.col("_s0") <= F.col("_w1"))).select("job_id", "window_id", F.lit(True).alias("_hit")).distinct()
+    return windows.join(hit, ["job_id", "window_id"], "left").withColumn("has_speech", F.coalesce("_hit", F.lit(False))).drop("_hit")

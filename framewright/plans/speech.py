@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from framewright.functions.text import word_count
+from framewright.functions.text import word_count, words
 from framewright.operators import neighbours, semantic, transcript
 from framewright.params import DEFAULT
 from framewright.plans.adapters import EVENTS, table
@@ -75,6 +75,19 @@ select *, ps as primary_segment_id, coalesce(greatest(0.0::double, 1.0::double -
 select *, case when ps is not null then 'OVERLAPPING_SPEECH' when pe is null then 'BEFORE_FIRST_SPEECH' when ns is null then 'AFTER_LAST_SPEECH' else 'BETWEEN_SPEECH' end as alignment_type, case when ps is not null then 0.0::double when pe is null then next_gap_seconds when ns is null then previous_gap_seconds else least(previous_gap_seconds, next_gap_seconds) end as near,
   case when ps is not null then 'OVERLAPPING' when pe is null and ns is null then 'NONE' when pe is null then 'AFTER' when ns is null then 'BEFORE' when abs(next_gap_seconds - previous_gap_seconds) <= {_e} then 'EQUAL_DISTANCE' when previous_gap_seconds < next_gap_seconds then 'BEFORE' else 'AFTER' end as nearest_speech_direction from al1)""")
 add("transcript_alignment", lambda s: transcript.align(moments(s), s, P), "job_id, candidate_id, alignment_type, overlapping_segment_ids, primary_segment_id, previous_segment_id, next_segment_id, nearest_speech_direction", "previous_gap_seconds, next_gap_seconds, nearest_speech_gap_seconds, speech_proximity_score, segment_relative_position", "al")
+
+
+def spoken_words(s):
+    """Each word of the steady pace."""
+    w = s.select("job_id", "segment_id", "start_seconds", F.posexplode(words(F.regexp_replace("text", "[ \t\n\r\f\x0b]+", " "))).alias("k", "word"))
+    return w.select("job_id", "segment_id", "word", (F.col("start_seconds") + F.col("k") * 0.4).alias("start_seconds"), (F.col("start_seconds") + (F.col("k") + 1) * 0.4).alias("end_seconds"))
+
+
+step("sp", "select job_id, segment_id, word, start_seconds + k * 0.4::double as ws, start_seconds + (k + 1) * 0.4::double as we from (select job_id, segment_id, start_seconds, unnest(l) as word, generate_subscripts(l, 1) - 1 as k from (select *, list_filter(string_split(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '), lambda x: x <> '') as l from ts))")
+step("nw", "select job_id, candidate_id, word as nearest_word, g as nearest_word_gap_seconds, g = 0 as candidate_overlaps_word from (select a.job_id, a.candidate_id, word, case when ws <= timestamp_seconds and timestamp_seconds <= we then 0.0::double else least(abs(timestamp_seconds - ws), abs(timestamp_seconds - we)) end as g, row_number() over (partition by a.job_id, a.candidate_id order by case when ws <= timestamp_seconds and timestamp_seconds <= we then 0.0::double else least(abs(timestamp_seconds - ws), abs(timestamp_seconds - we)) end, ws, we, word) as k from al a join sp on sp.job_id = a.job_id and sp.segment_id in (primary_segment_id, previous_segment_id, next_segment_id)) where k = 1")
+add("nearest_word", lambda s: transcript.nearest_words(transcript.align(moments(s), s, P), spoken_words(s)), "job_id, candidate_id, nearest_word, candidate_overlaps_word", "nearest_word_gap_seconds", "nw")
+step("hw", "select job_id, window_id, exists(select 1 from ts where ts.job_id = w.job_id and ts.end_seconds >= w.a and ts.start_seconds <= w.b) as has_speech from (select job_id, candidate_id as window_id, timestamp_seconds as a, timestamp_seconds + 0.2::double as b from tm) w")
+add("window_has_speech", lambda s: transcript.windows_with_speech(moments(s).select("job_id", F.col("candidate_id").alias("window_id"), F.col("timestamp_seconds").alias("start_seconds"), (F.col("timestamp_seconds") + 0.2).alias("end_seconds")), s), "job_id, window_id, has_speech", "", "hw")
 register("context_budget", lambda spark, sf: (lambda s: transcript.context(moments(s), s, P))(keep(segments(spark, sf))))
 
 

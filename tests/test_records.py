@@ -33,6 +33,14 @@ def test_transcript_dedup_and_merge(spark):
     assert got[0].normalization_flags == ["TRIMMED_WHITESPACE"] and got[1].word_count == 8
 
 
+def test_long_segments_split_between_words():
+    words = [{"word": f" w{i}", "start_seconds": 5.0 * i, "end_seconds": 5.0 * i + 4} for i in range(10)]
+    item = {"start": 0.0, "end": 49.0, "text": "x", "ids": ["1:0"], "chunks": [1], "logprob": None, "silence": None, "words": words, "flags": set()}
+    got = transcript.split_long(item, P)
+    assert [s["text"] for s in got] == ["w0 w1 w2 w3", "w4 w5 w6 w7", "w8 w9"] and all(s["end"] - s["start"] <= 20 for s in got)
+    assert transcript.split_long({**item, "words": [], "flags": set()}, P)[0]["flags"] == {"LONG_SEGMENT_PRESERVED"}
+
+
 def test_chunks_and_counts(spark):
     c = transcript.chunk_plan(spark.createDataFrame([("j", 14.0)], "job_id string, duration_seconds double"), Params(chunk_seconds=6.0, chunk_overlap=1.0))
     got = sorted(c.collect(), key=lambda r: r.chunk_id)
