@@ -1,0 +1,140 @@
+"""Near duplicates by the exact similarity of their word shingles.
+
+Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles is ``least`` or more.  Every set is put in one
+order, the same for all; two sets that similar share one of the first ``n - ceil(least * n) + 1`` shingles of each, so those
+are the keys under which candidates meet.  No link is missed, whatever the order; rare shingles stand first in it, so few sets meet in
+vain.  A pair also needs sizes and places of a shared shingle that leave room for the similarity.  What is common is counted on a bounded sample of the rows: that changes the speed, never the links.
+
+Equal sets are one row.  Under each key all sets are first compared with one of them; then only sets of different components
+are, so a large group of near copies is linked in proportion to its members.  Every candidate is verified on its whole sets.
+
+Defined cases: null text is text without words, and texts without words are copies of each other; fewer words than a shingle make
+one shingle; ids may be null or repeated: rows are told apart by (doc_id, text), and of equal ones one stays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from framewright.llm.common import cut, stash, tidied
+from framewright.llm.graph import components
+from framewright.llm.simhash import shingle_hashes
+
+#: Rows of the sample, and different shingles kept of it.
+SAMPLE, COMMON = 8_000, 200_000
+#: Sets are compared with one set of each key for so many rounds at most, or until few enough pairs are left.
+ROUNDS, PAIRS = 5, 8
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The different shingles of a text as sorted hashes."""
+    return np.unique(np.array(shingle_hashes((text or "").encode("utf-8"), size), np.uint64)).view(np.int64)
+
+
+def lead(found: np.ndarray, least: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set; ``common`` is sorted, and ``times`` says how often each of it was seen."""
+    if not len(found):
+        return found
+    n = len(found) - ceil(round(least * len(found), 9)) + 1
+    at = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
+    seen = np.where(common[at] == found, times[at], 0) if len(common) else np.zeros(len(found), np.int64)
+    return found[np.lexsort((found, seen))[:n]]
+
+
+def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(1, n)) * 1_000_000)).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size))], names=["key"])
+
+    rows = some.mapInArrow(tidied(run), "key bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    key, times = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], times[order]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that are similar enough."""
+    x = sets.select(F.col("s").alias("a"), F.col("found").alias("x"))
+    y = sets.select(F.col("s").alias("b"), F.col("found").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("i") >= F.lit(least) * (F.size("x") + F.size("y") - F.col("i")) - 1e-9).select("a", "b").distinct()
+
+
+def _possible(least: float):
+    """Sets of n and m shingles with one in common at places i and j, if it is their first, share no more than what follows."""
+    most = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    return most >= F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-9
+
+
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of every group of near duplicates, with all its columns: the one with the smallest doc_id."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = docs.sparkSession.sparkContext.broadcast(_common(docs, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            name, first, size_of = [], [], []
+            for t in b.column(2):
+                found = shingle_set(t.as_py(), size)
+                name.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                size_of.append(len(found))
+                first.append(lead(found, least, *known.value))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(size_of, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "s", "n", "lead"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    named = rows.mapInArrow(tidied(run), f"doc_id {kind}, text_hash bigint, s bigint, n int, lead array<bigint>")
+    ours = stash(named.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.first("n").alias("n"), F.first("lead").alias("lead")))
+    index = ours.select("s", "n", F.posexplode("lead").alias("i", "key"))
+    met = index.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key")
+    member = stash(index.join(met, "key"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), size) for t in part.column(1)], pa.list_(pa.int64()))], names=["s", "found"])
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+        wanted = ours.join(ids, "s").select("s", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_h"))
+        texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted._d) & (rows.text_hash == wanted._h)).select("s", "text")
+        return stash(texts.mapInArrow(tidied(whole), "s bigint, found array<bigint>"))
+
+    links, label, limit = None, None, PAIRS * member.count()
+    for k in range(ROUNDS + 1):
+        here = member.withColumn("c", F.col("s")) if label is None else member.join(label, "s", "left").withColumn("c", F.coalesce("c", "s"))
+        here = cut(here)
+        split = here.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
+        left = split.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0))).first()[0]
+        if not left:
+            break
+        here = here.join(split.select("key"), "key")
+        last = k == ROUNDS or left <= limit
+        if last:
+            other = here.select("key", F.col("s").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"))
+            pairs = here.withColumnRenamed("s", "a").join(other, "key").where("a < b and c <> d")
+        else:
+            centre = here.groupBy("key").agg(F.min(F.struct(F.xxhash64("s", F.lit(k)).alias("h"), F.col("s").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"))).alias("x")).select("key", "x.b", "x.d", "x.m", "x.j")
+            pairs = here.withColumnRenamed("s", "a").join(centre, "key").where("c <> d")
+        pairs = stash(pairs.where(_possible(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        new = _verified(pairs, sets_of(pairs), least)
+        links = cut(new if links is None else links.unionByName(new))
+        label = components(links).select(F.col("node").alias("s"), F.col("component").alias("c"))
+        if last:
+            break
+    group = ours if label is None else ours.join(label, "s", "left")
+    group = group.withColumn("g", F.col("s") if label is None else F.coalesce("c", "s"))
+    stay = group.groupBy("g").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_h")).distinct()
+    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay._d) & (F.xxhash64(docs.text) == stay._h)).select(docs["*"], "_h")
+    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")

@@ -1,0 +1,60 @@
+from itertools import combinations
+
+import numpy as np
+
+import corpus_pipeline
+from framewright.llm import overlap
+
+
+def brute_kept(rows, size=5, least=0.8):
+    """The ids that stay, comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    group = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
+            x, y = group[a], group[b]
+            group = [x if g == y else g for g in group]
+    first = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        first[g] = min(first.get(g, i), i)
+    return sorted(first.values())
+
+
+def edited(text, r, n):
+    w = text.split()
+    for k in r.choice(len(w), n, replace=False):
+        w[k] = f"changed{int(r.integers(1000))}"
+    return " ".join(w)
+
+
+def test_near_copies_of_five_words_and_a_similarity_of_four_fifths(spark, make_docs, prose, tmp_path):
+    r = np.random.default_rng(5)
+    rows = [(i, prose(i, 160)) for i in range(12)]
+    rows += [(100 + 20 * n + i, edited(rows[i][1], r, n)) for n in (1, 2, 3, 4, 5) for i in range(12)]
+    rows += [(300 + i, edited(rows[0][1], r, 2)) for i in range(40)] + [(400, None), (401, ""), (402, "a b"), (403, "A  b")]
+    kept = corpus_pipeline.near_duplicates(spark, make_docs(rows), str(tmp_path))
+    got = sorted(x.doc_id for x in kept.collect())
+    assert got == brute_kept(rows)
+
+
+def test_rounds_and_repeated_rows(spark, make_docs, prose, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, edited(prose(1, 120), r, int(r.integers(1, 4)))) for i in range(60)] + [(100, prose(2)), (100, prose(2))]
+    for limit in (0, 10**6):
+        monkeypatch.setattr(overlap, "PAIRS", limit)
+        assert sorted(x.doc_id for x in overlap.keep_one(make_docs(rows)).collect()) == brute_kept(rows)
+    assert overlap.keep_one(make_docs(rows).limit(0)).count() == 0
+
+
+def test_similar_sets_share_a_leading_shingle():
+    r = np.random.default_rng(7)
+    common = np.unique(r.integers(0, 400, 100))
+    times = r.integers(1, 9, len(common))
+    for _ in range(300):
+        x = np.unique(r.integers(0, 400, int(r.integers(1, 60))))
+        y = np.unique(np.append(r.permutation(x)[int(r.integers(0, 8)) :], r.integers(0, 400, int(r.integers(0, 8)))))
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9:
+            assert len(np.intersect1d(overlap.lead(x, 0.8, common, times), overlap.lead(y, 0.8, common, times)))
