@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages of 400 bytes or more that stand more than once; n_chars follows the text."""
-    left = substrings.strip(docs)
+    """All documents without the passages of more than 50 words that stand more than once; n_chars follows the text."""
+    left = substrings.strip(docs, 51, words=True)
     return left.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

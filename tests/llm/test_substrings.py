@@ -68,3 +68,30 @@ def test_regions_name_every_window_once(texts):
         s, n = start[owner == i][k], size[owner == i][k]
         assert n.sum() == max(0, len(t) - 399)
         assert (s[1:] == (s + n)[:-1]).all()
+
+
+def brute_words(texts, length):
+    """What is left of each text's words without those in a string of ``length`` words that stands more than once."""
+    seen = {}
+    split = [(t or "").encode().split() for t in texts]
+    for w in split:
+        for i in range(len(w) - length + 1):
+            k = tuple(w[i : i + length])
+            seen[k] = seen.get(k, 0) + 1
+    out = []
+    for w in split:
+        gone = {j for i in range(len(w) - length + 1) if seen[tuple(w[i : i + length])] > 1 for j in range(i, i + length)}
+        out.append([x.decode() for j, x in enumerate(w) if j not in gone])
+    return out
+
+
+@pytest.mark.parametrize("how", [{}, {"hot_bytes": 500, "shard_bytes": 4096}])
+def test_passages_of_more_than_fifty_words_go_and_shorter_ones_stay(spark, make_docs, prose, how):
+    w = [prose(50 + i, 200).split() for i in range(8)]
+    join = lambda *x: " ".join(a for b in x for a in b)
+    texts = [join(w[0]), join(w[1][:40], w[0][20:71], w[1][40:]), join(w[2], w[0][100:150]), join(w[3]), join(w[3]).replace(" ", "\n  ", 90)]
+    texts += [join(w[4][:60]), "un" + join(w[4][:60]), join(w[5], list("abc") * 30), join(w[6], ["a"] * 120), "  " + join(w[7], w[7][10:90]) + "\t", join(["x"] * 51), join(["é"] * 50), "", None, " "]
+    assert len(join(w[0][20:71])) < 400
+    got = {r.doc_id: r.text for r in substrings.strip(make_docs(list(enumerate(texts))), 51, words=True, **how).collect()}
+    assert [(got[i] or "").split() for i in range(len(texts))] == brute_words(texts, 51)
+    assert got[2] == texts[2] and got[13] is None
