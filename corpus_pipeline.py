@@ -32,8 +32,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target shares of the languages, in a global shuffle."""
-    return mixing.mix(docs, WEIGHTS, "lang").select(docs.columns)
+    """Documents repeated to the target shares of the languages, in a global shuffle; other languages, and none, keep their share."""
+    return mixing.mix(docs, WEIGHTS, "lang", others=True).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ The mean repetition rate of a document is its group's target share over its pres
 hash of the document is put through the inverse of the Poisson distribution of that mean; the document is repeated that
 often (perhaps never), and all copies are shuffled globally by a hash.  The same seed gives the same mixture on any cluster.
 
-Shares count rows.  Groups without a stated weight share what the stated ones leave in proportion to their rows.
+Shares count rows.  Groups without a stated weight share what the stated ones leave in proportion to their rows; with
+``others`` they keep the share they have, and the stated ones present divide the rest by their weights.
 
 Defined cases: a null group is a group of its own (without a stated weight); documents with the same id and text are
 repeated alike; an empty table gives an empty mixture; columns named like the added ones are replaced.
@@ -21,7 +22,7 @@ def uniform(text: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def rates(docs: DataFrame, weights: dict[str, float], group: str) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float], group: str, others: bool = False) -> DataFrame:
     """(group, rate): one row for each group, its mean number of copies."""
     count = docs.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"))
     named = F.lit(0.0)
@@ -32,6 +33,10 @@ def rates(docs: DataFrame, weights: dict[str, float], group: str) -> DataFrame:
     total = count.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("w") == 0, F.col("n"))).alias("other"))
     both = count.join(F.broadcast(total))  # total is one row
     rate = F.when(F.col("w") > 0, F.col("w") * F.col("all") / F.col("n")).otherwise(F.lit(rest) * F.col("all") / F.col("other"))
+    if others:
+        both = count.join(F.broadcast(total.join(count.agg(F.sum("w").alias("stated")))))
+        ours = F.col("all") - F.coalesce("other", F.lit(0))
+        rate = F.when(F.col("w") > 0, F.col("w") / F.col("stated") * ours / F.col("n")).otherwise(F.lit(1.0))
     return both.select("_g", rate.alias("_rate"))
 
 
@@ -48,13 +53,13 @@ def thresholds(rate: DataFrame) -> DataFrame:
     return out.select("_g", F.when(F.col("_rate") > 0, F.col("_steps")).otherwise(F.array(F.lit(1.0))).alias("_steps"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float], group: str, seed: str = "mix", key: str = "doc_id", text: str = "text", shuffle: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], group: str, seed: str = "mix", key: str = "doc_id", text: str = "text", shuffle: bool = True, others: bool = False) -> DataFrame:
     """The rows of ``docs``, each as often as its draw says, with ``copy`` (from 0), ``copies`` and ``shuffle_key``.
 
     The distribution is one short array for each group, as many as there are groups; it is joined, and broadcast only if
     Spark measures it to be small.
     """
-    steps = thresholds(rates(docs, weights, group))
+    steps = thresholds(rates(docs, weights, group, others))
     salt = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))
     drawn = docs.join(steps, docs[group].eqNullSafe(steps["_g"])).withColumn("_u", uniform(salt))
     n = F.size(F.filter("_steps", lambda s: s < F.col("_u")))
