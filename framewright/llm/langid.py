@@ -6,7 +6,8 @@ labels of neighbouring words are learned with the feature weights; forward-backw
 
 Learning documents are labelled as a whole, so learning chains are spliced from runs of words of several documents: the
 transitions then know what switching looks like.  The model is fitted on a bounded sample: ``per_lang`` documents of each
-language of at most ``max_bytes``, the first by a hash of their id.  Every whole text is labelled.
+language of at most ``max_bytes``, the first by a hash of their id; a language short of such documents is also learned from
+runs of words of its longer ones, one of each, from a place given by the hash.  Every whole text is labelled.
 
 A document's language is the one with the largest mean posterior over its words; that mean is its score.
 
@@ -217,13 +218,21 @@ def sample(docs: DataFrame, per_lang: int, max_bytes: int) -> list[tuple[str, st
     """At most ``per_lang`` documents of each language that may be learned from, as (text, language)."""
     may = F.col("_l").isNotNull() & crc_mod("_id", 4).isin(0, 1, 3)
     ids = docs.select(F.col("lang").alias("_l"), F.col("doc_id").alias("_id"), F.col("text").alias("_t"), F.xxhash64("doc_id").alias("_h")).where(may)
+    ids = ids.where(F.col("_t").isNotNull()).withColumn("_long", F.octet_length("_t") > max_bytes)
     # of a frequent language only a share by hash goes further, twice what is wanted: no task meets a language's rows
-    sizes = {r._l: r.n for r in ids.groupBy("_l").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(1.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("_l") == lang, F.lit(min(1.0, 2.0 * per_lang / n))).otherwise(share)
-    rows = ids.where((F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000) & F.col("_t").isNotNull() & (F.octet_length("_t") <= max_bytes))
-    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_t"))).where(F.col("_k") <= per_lang)
+    sizes = {(r._l, r._long): r.n for r in ids.groupBy("_l", "_long").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0.0)
+    for (lang, long), n in sizes.items():
+        want = max(0, per_lang - sizes.get((lang, False), 0)) if long else per_lang
+        share = F.when((F.col("_l") == lang) & (F.col("_long") == long), F.lit(min(1.0, (2.0 * want + 50) / n) if want else 0.0)).otherwise(share)
+    rows = ids.where(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000)
+    # a long document gives a run of its words: the whole words of so many characters that they fit in max_bytes
+    room = max_bytes // 4
+    start = (F.pmod(F.xxhash64("_h"), F.lit(1 << 30)) % F.greatest(F.lit(1), F.length("_t") - room + 1)).cast("int") + 1
+    run = F.substring(F.col("_t"), F.greatest(F.lit(1), start), F.lit(room))
+    whole = F.regexp_replace(run, r"^\S+\s+|\s+\S+$", "")
+    rows = rows.withColumn("_t", F.when(F.col("_long"), whole).otherwise(F.col("_t")))
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_long", "_h", "_t"))).where(F.col("_k") <= per_lang)
     return sorted((r._t, r._l) for r in first.select("_t", "_l").collect())
 
 
