@@ -161,16 +161,17 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 24, seed: int = 7) -
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` labelled texts of each class; the ids are chosen from the labels alone, then joined."""
+    """At most ``per_class`` labelled texts of each class; the ids are chosen among those with a text of ``max_bytes`` at most, then joined."""
     rows = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & (crc_mod("_id", 5) > 0))
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.octet_length("_text") <= max_bytes)
+    rows = rows.join(texts.select("_id"), "_id", "left_semi")
     ids = [rows.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
     picked = F.broadcast(ids[0].unionAll(ids[1]))  # 2 x per_class small rows at most
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.octet_length("_text") <= max_bytes)
     got = texts.join(picked, "_id").select("_text", "_y").toArrow()
     return list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 16_384) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 16_384) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(train(sorted(sample(docs, labels, per_class, max_bytes))))
     give_back()
