@@ -3,16 +3,20 @@
 The byte model is a trie of contexts of up to ORDER bytes counted over all learning texts.  A symbol's code length walks
 from the longest known context down: escape method C (an escape weighs as much as the distinct symbols seen), and at each
 shorter context the symbols that the longer one could have coded are excluded.  Every text ends with an end symbol, so
-the log-probability is that of the whole text.  Counting covers every learning text; the trie that scoring keeps is the
-most frequent part of it, at most ``max_nodes`` nodes (every count above a threshold, so contexts stay closed under
-taking suffixes), which bounds what is broadcast.
+the log-probability is that of the whole text.  Counting covers every learning text, and every node counts: the trie is a
+table, as large as the corpus makes it, and is never gathered in one place.
 
-The base counts words over all learning texts.  Tokens travel as 64-bit hashes, once for each chunk of text that has
-them: a frequent word costs a row for each chunk and not for each document.  The chunk is given by the input split and
-the bytes read so far, so that both passes over the input cut it alike.
+A code depends on a symbol and the ORDER symbols before it alone.  So one pass over the texts writes, for each chunk of
+about CHUNK_BYTES, its texts, its different strings of ORDER + 1 symbols and its different words, each with its count.
+The codes of the strings and the counts of the words are worked out by joins on the trie, joined to the chunks that have
+them, and a chunk's worker sums them over its texts.  A node has at most ALPHABET children and as many longer contexts, so
+no join on the trie has a hot key; a frequent string or word costs a row for each chunk, not for each document.
+
+The pass writes the texts with the rows made from them in one table, so a task that is run again cannot part them.
 
 Defined cases: null text is the empty text (one token, the end); a null id counts as learning; repeated rows are learned
-and scored each; with nothing to learn from the base is 0 a token and the byte model is uniform.
+and scored each; with nothing to learn from the base is 0 a token and the byte model is uniform; texts of any length are
+handled in pieces of PIECE_BYTES; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,52 +28,71 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from framewright.llm.common import crc_mod, cut, give_back, segment_sum, tidied
+from framewright.llm.common import crc_mod, cut, give_back, segment_sum, stash, tidied
 
 ORDER = 5
 END, START = 256, 257
 SHIFT = 9  # bits of a symbol
 ALPHABET = 257  # bytes and the end
 CHUNK_BYTES = 16 << 20
-BLOCK_BYTES = 2 << 20
+#: Bytes of texts that are packed at once.
+PIECE_BYTES = 1 << 20
 #: Stands for the end in the hash of words; no UTF-8 word has this byte.
 END_WORD = b"\xff"
+TEXT, GRAM, WORD = 0, 1, 2
+
+#: A part of a text: its number, what stands before it, its bytes, whether the text ends with it.
+Piece = tuple[int, bytes, bytes, bool]
+
+
+def pieces(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[list[Piece]]:
+    """All texts, cut up where they are longer than ``limit``, in groups of about that many bytes."""
+    held: list[Piece] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for lo in range(0, max(1, len(t)), limit):
+            body = t[lo : lo + limit]
+            held.append((i, t[max(0, lo - ORDER) : lo], body, lo + limit >= len(t)))
+            size += len(body)
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol of each text, its end included, packed with the ORDER symbols before it; symbols per text."""
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    total = int(lens.sum()) + len(texts) * (ORDER + 1)
-    sym = np.full(total, START, np.int64)
-    begin = np.cumsum(lens + ORDER + 1) - (lens + 1)
-    place = np.ones(total, bool)
+def grams(part: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol of each piece, a text's end included, packed with the ORDER symbols before it; symbols per piece."""
+    lens = np.fromiter((len(p[2]) + p[3] for p in part), np.int64, len(part))
+    sym = np.frombuffer(b"".join(p[1].rjust(ORDER, b"\0") + p[2] + b"\0" * p[3] for p in part), np.uint8).astype(np.int64)
+    begin = np.cumsum(lens + ORDER) - lens
+    known = np.fromiter((len(p[1]) for p in part), np.int64, len(part))
+    ok = np.ones(len(sym), bool)
     for k in range(1, ORDER + 1):
-        place[begin - k] = False
-    place[begin + lens] = False
-    sym[begin + lens] = END
-    sym[place] = np.frombuffer(b"".join(texts), np.uint8)
+        sym[begin[known < k] - k] = START
+        ok[begin - k] = False
+    last = np.fromiter((p[3] for p in part), bool, len(part))
+    sym[(begin + lens - 1)[last]] = END
     g = sym.copy()
     for k in range(1, ORDER + 1):
         g[k:] |= sym[:-k] << (SHIFT * k)
-    ok = np.ones(total, bool)
-    for k in range(1, ORDER + 1):
-        ok[begin - k] = False
-    return g[ok], lens + 1
+    return g[ok], lens
 
 
-def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def words_of(text: bytes, limit: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z lower-cased, in lists from about ``limit`` bytes each; no word is cut."""
+    lo = 0
+    while len(text) - lo > limit:
+        hi = lo + limit
+        while hi < len(text) and text[hi] not in b" \t\n\r\x0b\x0c":
+            hi += 1
+        yield text[lo:hi].lower().split()
+        lo = hi
+    yield text[lo:].lower().split()
 
 
 def find(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,242 +103,233 @@ def find(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == q
 
 
-class Trie:
-    """Pretrained contexts with escapes and exclusion; ``log10`` codes packed symbols."""
-
-    def __init__(self, order: np.ndarray, gram: np.ndarray, count: np.ndarray):
-        self.keys, self.count, self.ctx, self.total, self.kinds, self.lost = [], [], [], [], [], []
-        for n in range(ORDER + 1):
-            at = np.flatnonzero(order == n)
-            at = at[np.argsort(gram[at], kind="stable")]
-            k, c = gram[at], count[at].astype(np.float64)
-            ctx, first = np.unique(k >> SHIFT, return_index=True)
-            size = np.diff(np.append(first, len(k)))
-            self.keys.append(k)
-            self.count.append(c)
-            self.ctx.append(ctx)
-            self.total.append(segment_sum(c, size))
-            self.kinds.append(size.astype(np.float64))
-            # what the symbols of this context weigh in the context one shorter, where they are excluded
-            if n:
-                at, ok = find(self.keys[n - 1], k & ((1 << (SHIFT * n)) - 1))
-                self.lost.append(segment_sum(np.where(ok, self.count[n - 1][at] if len(self.count[n - 1]) else 0.0, 0.0), size))
-            else:
-                self.lost.append(np.zeros(len(ctx)))
-
-    def log10(self, g: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(g))
-        todo = np.arange(len(g))
-        came = np.full(len(g), -1, np.int64)  # the longer context that was left by an escape
-        for n in range(ORDER, -1, -1):
-            part = g[todo] & ((1 << (SHIFT * (n + 1))) - 1)
-            c, known = find(self.ctx[n], part >> SHIFT)
-            if not known.any():
-                continue
-            k = np.flatnonzero(known)
-            c = c[k]
-            t, d = self.total[n][c].copy(), self.kinds[n][c].copy()
-            up = came[todo[k]]
-            x = np.flatnonzero(up >= 0)
-            if len(x):
-                t[x] -= self.lost[n + 1][up[x]]
-                d[x] -= self.kinds[n + 1][up[x]]
-            at, hit = find(self.keys[n], part[k])
-            both = t + d
-            out[todo[k[hit]]] += np.log10(self.count[n][at[hit]] / both[hit])
-            esc = ~hit & (d > 0)
-            out[todo[k[esc]]] += np.log10(d[esc] / both[esc])
-            came[todo[k]] = c
-            stay = np.ones(len(todo), bool)
-            stay[k[hit]] = False
-            todo = todo[stay]
-        left = ALPHABET - (self.kinds[0][0] if len(self.kinds[0]) else 0.0)
-        out[todo] -= np.log10(max(1.0, left))
-        return out
-
-
-class Scorer:
-    """A trie behind a direct-mapped memory of codes already worked out."""
+class Codes:
+    """Different packed symbols -> their codes, by linear probing; what is asked for must be there."""
 
-    def __init__(self, trie: Trie, bits: int = 20):
-        self.trie, self.bits = trie, bits
-        self.seen = np.full(1 << bits, -1, np.int64)
-        self.code = np.zeros(1 << bits)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.5))))
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last stays
+            won = self.keys[slot] == keys
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], self._next(slot[~won])
 
-    def codes(self, g: np.ndarray) -> np.ndarray:
+    def _slot(self, k: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            slot = ((g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.code[slot]
-        miss = np.flatnonzero(self.seen[slot] != g)
-        if len(miss):
-            u, inv = np.unique(g[miss], return_inverse=True)
-            v = self.trie.log10(u)
-            out[miss] = v[inv]
-            s = slot[miss]
-            self.seen[s], self.code[s] = g[miss], out[miss]
+            return ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        slot = self._slot(g)
+        out = self.values[slot]
+        at = np.flatnonzero(self.keys[slot] != g)
+        while len(at):
+            slot_at = slot[at] = self._next(slot[at])
+            hit = self.keys[slot_at] == g[at]
+            out[at[hit]] = self.values[slot_at[hit]]
+            if (self.keys[slot_at] == -1).any():
+                raise ValueError("a string of symbols has no code: the texts are not those that were counted")
+            at = at[~hit]
         return out
 
-    def score(self, texts: list[bytes]) -> list[float]:
-        out: list[float] = []
-        for part in blocks(texts):
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for part in pieces(texts):
             g, lens = grams(part)
-            out += segment_sum(self.codes(g), lens).tolist()
+            np.add.at(out, np.fromiter((p[0] for p in part), np.int64, len(part)), segment_sum(self(g), lens))
         return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        ids, texts, held = b.column(0), b.column(1), b.column(2)
-        for i in range(b.num_rows):
-            yield ids[i].as_py(), (texts[i].as_py() or "").encode("utf-8"), held[i].as_py()
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Runs of rows of about CHUNK_BYTES, numbered from the input split; the same in every pass over the input."""
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
-    for row in _rows(batches):
-        held.append(row)
-        size += len(row[1])
-        if size >= CHUNK_BYTES:
-            yield number, held
-            number, held, size = number + 1, [], 0
-    if held:
-        yield number, held
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(order, gram, count) over every learning text."""
-
-    def run(batches):
-        for _, rows in _chunks(batches):
-            found = []
-            for part in blocks([t for _, t, out in rows if not out]):
-                g = np.sort(grams(part)[0])
-                first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                found.append((g[first], np.diff(np.append(first, len(g)))))
-            if found:
-                g, c = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                u, inv = np.unique(g, return_inverse=True)
-                c = np.bincount(inv, c, len(u)).astype(np.int64)
-                for lo in range(0, len(u), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + 100_000]), pa.array(c[lo : lo + 100_000])], names=["gram", "count"])
-
-    top = docs.mapInArrow(tidied(run), "gram bigint, count bigint").groupBy("gram").agg(F.sum("count").alias("count"))
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("order"), F.col("gram").bitwiseAND(F.lit((1 << (SHIFT * (n + 1))) - 1)).alias("g")) for n in range(ORDER + 1)]))
-    return top.select(each.alias("x"), "count").groupBy("x.order", "x.g").agg(F.sum("count").alias("count")).select("order", F.col("g").alias("gram"), "count")
-
-
-def fit(docs: DataFrame, max_nodes: int) -> Trie:
-    """Count everything; keep the nodes whose count is at least the least threshold that leaves max_nodes or fewer."""
-    nodes = cut(count_grams(docs))
-    # how many nodes have each count, in 1/16 octaves above 64: a few hundred rows
-    level = F.when(F.col("count") <= 64, F.col("count")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("count") * 16) / 16)))
-    rows = sorted(((int(r.level), r.n) for r in nodes.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, kept = None, 0
-    for lv, n in rows:
-        if kept + n > max_nodes:
-            break
-        least, kept = lv, kept + n
-    if least is None:
-        return Trie(*(np.zeros(0, np.int64) for _ in range(3)))
-    t = nodes.where(F.col("count") >= least).toArrow()
-    return Trie(*(t.column(c).to_numpy().astype(np.int64) for c in ("order", "gram", "count")))
-
-
 def _hash(words: list[bytes]) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     return np.fromiter((h(w) for w in words), np.uint64, len(words)).view(np.int64)
 
 
-def score(docs: DataFrame, max_nodes: int = 1_000_000) -> DataFrame:
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys with the sums of their counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c[order], first) if len(k) else c
+
+
+def _chunk_grams(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Different strings of a chunk with how often learning texts have them."""
+    keys, counts, held = [], [], 0
+    for learn in (True, False):
+        for part in pieces([t for _, t, out in rows if out is not learn]):
+            g = np.sort(grams(part)[0])
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            keys.append(g[first])
+            counts.append(np.diff(np.append(first, len(g))) * int(learn))
+            held += len(first)
+            if held > 2_000_000:
+                keys, counts = ([x] for x in _summed(keys, counts))
+                held = len(keys[0])
+    return _summed(keys, counts)
+
+
+def _chunk_words(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Different words of a chunk, by their hashes, with how often learning texts have them."""
+    seen: Counter[bytes] = Counter()
+    other: set[bytes] = set()
+    for _, text, held in rows:
+        for w in words_of(text):
+            if held:
+                other.update(w)
+            else:
+                seen.update(w)
+        if held:
+            other.add(END_WORD)
+        else:
+            seen[END_WORD] += 1
+    other.difference_update(seen)
+    return _hash([*seen, *other]), np.fromiter((*seen.values(), *([0] * len(other))), np.int64, len(seen) + len(other))
+
+
+def survey(rows: DataFrame) -> DataFrame:
+    """(chunk, kind, key, n, doc_id, text, held_out): the texts, and the different strings and words of every chunk with their counts."""
+    id_type = rows.schema["doc_id"].dataType
+    id_kind = to_arrow_type(id_type)
+    names = ["chunk", "kind", "key", "n", "doc_id", "text", "held_out"]
+
+    def batch(chunk: int, kind: int, rows: int, **given) -> pa.RecordBatch:
+        kinds = {"key": pa.int64(), "n": pa.int64(), "doc_id": id_kind, "text": pa.binary(), "held_out": pa.bool_()}
+        cols = [given[c] if c in given else pa.nulls(rows, t) for c, t in kinds.items()]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows, chunk)), pa.array(np.full(rows, kind, np.int32)), *cols], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(held), 256):
+                p = held[lo : lo + 256]
+                yield batch(number, TEXT, len(p), doc_id=pa.array([x[0] for x in p], id_kind), text=pa.array([x[1] for x in p], pa.binary()), held_out=pa.array([x[2] for x in p]))
+            for kind, made in ((GRAM, _chunk_grams), (WORD, _chunk_words)):
+                keys, counts = made(held)
+                for lo in range(0, len(keys), 100_000):
+                    yield batch(number, kind, len(keys[lo : lo + 100_000]), key=pa.array(keys[lo : lo + 100_000]), n=pa.array(counts[lo : lo + 100_000]))
+
+        for b in batches:
+            for i in range(b.num_rows):
+                held.append((b.column(0)[i].as_py(), (b.column(1)[i].as_py() or "").encode("utf-8"), b.column(2)[i].as_py()))
+                size += len(held[-1][1])
+                if size >= CHUNK_BYTES:
+                    yield from flush()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from flush()
+
+    return stash(rows.mapInArrow(tidied(run), f"chunk bigint, kind int, key bigint, n bigint, doc_id {id_type.simpleString()}, text binary, held_out boolean"))
+
+
+def trie(top: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (order, gram, n) and contexts (order, ctx, t, d, den, esc) of learned strings (key, n).
+
+    ``t`` and ``d`` are a context's symbols and different symbols; ``den`` and ``esc`` what its suffix, one shorter, weighs
+    without the symbols that this context could have coded, and how much of it is the escape.
+    """
+    mask = lambda order: F.expr(f"shiftleft(1L, {SHIFT} * ({order} + 1)) - 1L")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit((1 << (SHIFT * (k + 1))) - 1)).alias("gram")) for k in range(ORDER + 1)]))
+    nodes = cut(top.select(each.alias("x"), "n").groupBy("x.order", "x.gram").agg(F.sum("n").alias("n")))
+    low = nodes.select((F.col("order") + 1).alias("order"), F.col("gram").alias("short"), F.col("n").alias("low"))
+    both = nodes.withColumn("short", F.when(F.col("order") > 0, F.col("gram").bitwiseAND(mask("order - 1")))).join(low, ["order", "short"], "left")
+    ctx = F.shiftright("gram", SHIFT).alias("ctx")
+    sums = cut(both.groupBy("order", ctx).agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.sum(F.coalesce("low", F.lit(0))).alias("lost")))
+    shorter = sums.select((F.col("order") + 1).alias("order"), F.col("ctx").alias("short"), F.col("t").alias("t0"), F.col("d").alias("d0"))
+    linked = sums.withColumn("short", F.when(F.col("order") > 0, F.col("ctx").bitwiseAND(mask("order - 2")))).join(shorter, ["order", "short"], "left")
+    esc = F.col("d0") - F.col("d")
+    return nodes, cut(linked.select("order", "ctx", "t", "d", (F.col("t0") - F.col("lost") + esc).alias("den"), esc.alias("esc")))
+
+
+def codes(top: DataFrame) -> DataFrame:
+    """(key, value): log10 of the probability of each string's last symbol after the ones before it, of strings (key, n)."""
+    nodes, contexts = trie(top.where("n > 0"))
+    at_top = contexts.where(F.col("order") == ORDER).select("ctx", "t", "d")
+    learned = top.where("n > 0").withColumn("ctx", F.shiftright("key", SHIFT)).join(at_top, "ctx").select("key", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("value"))
+    # the others walk down: their six suffixes with what the trie knows of each, one bounded array a string
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit((1 << (SHIFT * (k + 1))) - 1)).alias("gram")) for k in range(ORDER + 1)]))
+    walk = top.where("n = 0").select("key", each.alias("x")).select("key", "x.*").withColumn("ctx", F.shiftright("gram", SHIFT))
+    walk = walk.join(nodes, ["order", "gram"], "left").join(contexts, ["order", "ctx"], "left")
+    found = walk.groupBy("key").agg(
+        F.max(F.when(F.col("n").isNotNull(), F.col("order"))).alias("h"), F.max(F.when(F.col("t").isNotNull(), F.col("order"))).alias("m"), F.collect_list(F.struct("order", "n", "t", "d", "den", "esc")).alias("steps")
+    )
+    total = lambda f: F.aggregate("steps", F.lit(0.0), lambda s, x: s + F.coalesce(f(x), F.lit(0.0)))
+    h, m = F.coalesce("h", F.lit(-1)), F.coalesce("m", F.lit(-1))
+    at_m = total(lambda x: F.when(x["order"] == m, F.log10(F.when(h == m, x["n"]).otherwise(x["d"]) / (x["t"] + x["d"]))))
+    escapes = total(lambda x: F.when((x["order"] >= h + 2) & (x["order"] <= m) & (x["esc"] > 0), F.log10(x["esc"] / x["den"])))
+    count = F.aggregate("steps", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["order"] == h, x["n"]).otherwise(F.lit(0).cast("bigint")))
+    at_h = total(lambda x: F.when((x["order"] == h + 1) & (h < m) & (h >= 0), F.log10(F.col("_count") / x["den"])))
+    kinds = total(lambda x: F.when(x["order"] == 0, x["d"].cast("double")))
+    unseen = F.when(h < 0, -F.log10(F.greatest(F.lit(1.0), F.lit(float(ALPHABET)) - kinds))).otherwise(F.lit(0.0))
+    rest = found.withColumn("_count", count).select("key", (at_m + escapes + at_h + unseen).alias("value"))
+    return learned.unionByName(rest)
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
-    scorer = spark.sparkContext.broadcast(fit(rows, max_nodes))
-
-    def words(batches):
-        for chunk, part in _chunks(batches):
-            seen: Counter[bytes] = Counter()
-            other: set[bytes] = set()
-            for _, text, held in part:
-                w = text.lower().split()
-                if held:
-                    other.update(w)
-                else:
-                    seen.update(w)
-                    seen[END_WORD] += 1
-            if any(p[2] for p in part):
-                other.add(END_WORD)
-            other.difference_update(seen)
-            keys = _hash([*seen, *other])
-            n = np.fromiter((*seen.values(), *([0] * len(other))), np.int64, len(keys))
-            for lo in range(0, len(keys), 100_000):
-                k = keys[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), chunk)), pa.array(n[lo : lo + 100_000])], names=["word", "chunk", "n"])
-
-    def carry(batches):
-        for chunk, part in _chunks(batches):
-            for lo in range(0, len(part), 512):
-                p = part[lo : lo + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(p), pa.int64()), pa.array([x[0] for x in p], id_kind), pa.array([x[1] for x in p], pa.binary()), pa.array([x[2] for x in p])], names=["chunk", "doc_id", "text", "held_out"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    by_word = Window.partitionBy("word")
-    counts = (
-        rows.mapInArrow(tidied(words), "word bigint, chunk bigint, n bigint")
-        .withColumn("c", F.sum("n").over(by_word))
-        .withColumn("first", F.row_number().over(by_word.orderBy("chunk")) == 1)
-        .select("chunk", "word", "c", (F.col("first") & (F.col("c") > 0)).alias("distinct"))
-    )
-    text = rows.mapInArrow(tidied(carry), f"chunk bigint, doc_id {kind}, text binary, held_out boolean")
+    made = survey(docs.select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out")))
+    counts = lambda k: made.where(F.col("kind") == k).groupBy("key").agg(F.sum("n").alias("n"))
+    coded = cut(codes(cut(counts(GRAM))))
+    words = cut(counts(WORD))
+    n_train, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    base = float(np.log10(n_train + n_words + 1))
+    known = coded.select(F.lit(GRAM).alias("kind"), "key", "value").unionByName(words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")))
+    facts = made.where(F.col("kind") != TEXT).select("kind", "key", "chunk").join(known, ["kind", "key"]).select("chunk", "kind", "key", "value")
+    texts = made.where(F.col("kind") == TEXT).select(F.col("chunk").alias("at"), "doc_id", "text", "held_out")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = right.column("word").to_numpy()
-        order = np.argsort(keys)
-        keys, c = keys[order], right.column("c").to_numpy()[order]
-        texts = left.column("text").to_pylist()
-        n_tokens, n_known, logs = [], [], []
-        index: dict[bytes, int] = {}
-        at = []
-        for t in texts:
-            w = t.lower().split()
-            w.append(END_WORD)
-            at.append(np.fromiter([index.setdefault(x, len(index)) for x in w], np.int64, len(w)))
-        pos, ok = find(keys, _hash(list(index)))
-        count = np.where(ok, c[pos] if len(c) else 0, 0)
+        of = right.column("kind").to_numpy()
+        keys, value = right.column("key").to_numpy(), right.column("value").to_numpy()
+        w = np.flatnonzero(of == WORD)
+        w = w[np.argsort(keys[w])]
+        names, count = keys[w], value[w].astype(np.int64)
         log = np.log10(count + 1.0)
-        for a in at:
-            n_tokens.append(len(a))
-            n_known.append(int((count[a] > 0).sum()))
-            logs.append(float(log[a].sum()))
-        worker = Scorer(scorer.value)
-        # the last row says how many distinct words this chunk is the first to have
-        n = len(texts)
-        scores = worker.score(texts)
-        del worker, at, index, count, log
-        give_back()
-        return pa.table({
-            "doc_id": pa.array([*left.column("doc_id").to_pylist(), None], id_kind),
-            "held_out": pa.array([*left.column("held_out").to_pylist(), None], pa.bool_()),
-            "n_tokens": pa.array([*n_tokens, None], pa.int64()),
-            "n_known": pa.array([*n_known, None], pa.int64()),
-            "logs": pa.array([*logs, None], pa.float64()),
-            "score": pa.array([*scores, None], pa.float64()),
-            "first_seen": pa.array([None] * n + [int(np.count_nonzero(right.column("distinct").to_numpy(zero_copy_only=False)))], pa.int64()),
+        lookup = Codes(keys[of == GRAM], value[of == GRAM])
+        del keys, value, of, right
+        place: dict[bytes, int] = {}  # of a word in the chunk's counts
+        n_tokens, n_known, base_score, scores = [], [], [], []
+        for lo in range(0, left.num_rows, 256):
+            texts = [x.as_py() for x in left.column("text").slice(lo, 256)]
+            for t in texts:
+                n, k, s = 0, 0, 0.0
+                for w in [*words_of(t), [END_WORD]]:
+                    new = [x for x in set(w) if x not in place]
+                    place.update(zip(new, find(names, _hash(new))[0].tolist(), strict=True))
+                    at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
+                    n, k, s = n + len(w), k + int((count[at] > 0).sum()), s + float(log[at].sum())
+                n_tokens.append(n)
+                n_known.append(k)
+                base_score.append(s - n * base)
+            scores.append(lookup.score(texts))
+        out = pa.table({
+            "doc_id": left.column("doc_id"),
+            "held_out": left.column("held_out"),
+            "n_tokens": pa.array(n_tokens, pa.int64()),
+            "n_known": pa.array(n_known, pa.int64()),
+            "train_tokens": pa.array([int(n_train)] * left.num_rows, pa.int64()),
+            "base_score": pa.array(base_score, pa.float64()),
+            "score": pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64()),
         })
+        del lookup, place, names, count, log, left
+        give_back()
+        return out
 
-    made = cut(text.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(both, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, first_seen bigint"))
-    total, distinct = made.agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)), F.coalesce(F.sum("first_seen"), F.lit(0))).first()
-    return made.where(F.col("first_seen").isNull()).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"), "score"
-    )
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return texts.groupBy("at").cogroup(facts.groupBy("chunk")).applyInArrow(both, schema)
 
 
 def brute_log10(learn: list[bytes], text: bytes) -> float:
-    """The same code length from dictionaries, one symbol after the other, without a node limit; for tests."""
+    """The same code length from dictionaries, one symbol after the other; for tests."""
     seen: list[dict[tuple, Counter]] = [{} for _ in range(ORDER + 1)]
     pad = lambda t: [START] * ORDER + list(t) + [END]
     for t in learn:
@@ -343,4 +357,4 @@ def brute_log10(learn: list[bytes], text: bytes) -> float:
     return out
 
 
-__all__ = ["Scorer", "Trie", "brute_log10", "count_grams", "fit", "score"]
+__all__ = ["Codes", "brute_log10", "codes", "score", "survey", "trie"]

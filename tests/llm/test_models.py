@@ -106,17 +106,35 @@ def test_lm_against_dictionaries(spark, make_docs, prose):
     assert (none.train_tokens, none.base_score) == (0, 0.0)
 
 
-def test_codes_sum_to_one(prose):
-    g, _ = lm.grams([prose(i).encode() for i in range(5)])
-    gram = [np.unique(g & ((1 << (9 * (n + 1))) - 1), return_counts=True) for n in range(6)]
-    # some nodes missing, as with a node limit: those seen twice or more
-    o = np.concatenate([np.full(int((c > 1).sum()), n) for n, (_, c) in enumerate(gram)])
-    trie = lm.Trie(o, np.concatenate([k[c > 1] for k, c in gram]), np.concatenate([c[c > 1] for _, c in gram]))
+def test_codes_sum_to_one(spark, prose):
+    """Over all symbols that may follow a context, known or not, with the trie as the table that scoring uses."""
+    g, _ = lm.grams([(i, b"", prose(i).encode(), True) for i in range(5)])
+    seen = dict(zip(*(x.tolist() for x in np.unique(g, return_counts=True)), strict=True))
     for ctx in (b"the o", b"xxxxx", b"ing t"):
         base = 0
         for b in ctx:
             base = base << 9 | b
-        assert (10 ** trie.log10(((base << 9) | np.arange(257)).astype(np.int64))).sum() == pytest.approx(1)
+        keys = [base << 9 | s for s in range(lm.ALPHABET)]
+        top = spark.createDataFrame([(k, n) for k, n in seen.items()] + [(k, 0) for k in keys if k not in seen], "key bigint, n bigint")
+        got = {r.key: r.value for r in lm.codes(top).collect()}
+        assert sum(10 ** got[k] for k in keys) == pytest.approx(1.0, abs=1e-9)
+
+
+def test_pieces_of_long_texts():
+    texts = [b"", b"ab", bytes(range(97, 123)) * 3, b"x" * 5]
+    whole, lens = lm.grams([(i, b"", t, True) for i, t in enumerate(texts)])
+    for limit in (5, 7, 26, 1000):
+        parts = list(lm.pieces(texts, limit))
+        assert np.concatenate([lm.grams(p)[0] for p in parts]).tolist() == whole.tolist()
+        owner = [x[0] for p in parts for x in p]
+        size = np.concatenate([lm.grams(p)[1] for p in parts])
+        assert np.bincount(owner, size).tolist() == lens.tolist()
+    text = b"Some words  of\tsome LENGTH and averylongword that is not cut\n"
+    assert [w for part in lm.words_of(text, 4) for w in part] == text.lower().split()
+    codes = lm.Codes(np.arange(0, 9000, 3), np.arange(3000) / 7)
+    assert codes(np.array([3, 0, 8997, 300])).tolist() == [1 / 7, 0.0, 2999 / 7, 100 / 7]
+    with pytest.raises(ValueError):
+        codes(np.array([1]))
 
 
 def test_neighbours_against_brute_force(spark):
