@@ -3,14 +3,17 @@
 The byte model is a trie of contexts of up to ORDER bytes counted over all learning texts.  A symbol's code length walks
 from the longest known context down: escape method C (an escape weighs as much as the distinct symbols seen), and at each
 shorter context the symbols that the longer one could have coded are excluded.  Every text ends with an end symbol, so
-the log-probability is that of the whole text.  Counting covers every learning text, and every node counts: the trie is a
-table, as large as the corpus makes it, and is never gathered in one place.
+the log-probability is that of the whole text.  Counting covers every learning text, and every node counts.
 
 A code depends on a symbol and the ORDER symbols before it alone.  So one pass over the texts writes, for each chunk of
 about CHUNK_BYTES, its texts, its different strings of ORDER + 1 symbols and its different words, each with its count.
-The codes of the strings and the counts of the words are worked out by joins on the trie, joined to the chunks that have
-them, and a chunk's worker sums them over its texts.  A node has at most ALPHABET children and as many longer contexts, so
-no join on the trie has a hot key; a frequent string or word costs a row for each chunk, not for each document.
+Counts are summed by string.  Strings whose contexts end with the same two bytes have all their nodes of two symbols or
+more of context among themselves, so the trie is built and walked in parts, one for each such ending (a few hundredths of
+the different strings at most in prose); shorter contexts, 257 x 257 nodes at most, go to all parts.
+
+The codes go back to the chunks that have the strings.  Those that most chunks have, HOT at most, are broadcast; all others
+are joined to their chunks, so no limit leaves anything out.  A chunk's worker sums the codes over its texts.  A frequent
+string or word costs a row for each chunk, not for each document.
 
 The pass writes the texts with the rows made from them in one table, so a task that is run again cannot part them.
 
@@ -32,18 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from framewright.llm.common import crc_mod, cut, give_back, segment_sum, stash, tidied
+from framewright.llm.common import crc_mod, give_back, segment_sum, stash, tidied
 
 ORDER = 5
 END, START = 256, 257
 SHIFT = 9  # bits of a symbol
 ALPHABET = 257  # bytes and the end
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 #: Bytes of texts that are packed at once.
 PIECE_BYTES = 1 << 20
+#: Strings and words that are broadcast with their codes at most: 16 bytes each.
+HOT = 1 << 20
+#: Different strings in a part of the trie, about.
+PART = 1 << 20
 #: Stands for the end in the hash of words; no UTF-8 word has this byte.
 END_WORD = b"\xff"
-TEXT, GRAM, WORD = 0, 1, 2
+#: Kinds of rows: texts, strings and words, and strings of two symbols.
+TEXT, LONG, SHORT = 0, 1, 2
 
 #: A part of a text: its number, what stands before it, its bytes, whether the text ends with it.
 Piece = tuple[int, bytes, bytes, bool]
@@ -103,8 +111,62 @@ def find(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == q
 
 
+class Trie:
+    """Pretrained contexts with escapes and exclusion; ``log10`` codes packed symbols."""
+
+    def __init__(self, order: np.ndarray, gram: np.ndarray, count: np.ndarray):
+        self.keys, self.count, self.ctx, self.total, self.kinds, self.lost = [], [], [], [], [], []
+        for n in range(ORDER + 1):
+            at = np.flatnonzero(order == n)
+            at = at[np.argsort(gram[at], kind="stable")]
+            k, c = gram[at], count[at].astype(np.float64)
+            ctx, first = np.unique(k >> SHIFT, return_index=True)
+            size = np.diff(np.append(first, len(k)))
+            self.keys.append(k)
+            self.count.append(c)
+            self.ctx.append(ctx)
+            self.total.append(segment_sum(c, size))
+            self.kinds.append(size.astype(np.float64))
+            # what the symbols of this context weigh in the context one shorter, where they are excluded
+            if n:
+                at, ok = find(self.keys[n - 1], k & ((1 << (SHIFT * n)) - 1))
+                self.lost.append(segment_sum(np.where(ok, self.count[n - 1][at] if len(self.count[n - 1]) else 0.0, 0.0), size))
+            else:
+                self.lost.append(np.zeros(len(ctx)))
+
+    def log10(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(g))
+        todo = np.arange(len(g))
+        came = np.full(len(g), -1, np.int64)  # the longer context that was left by an escape
+        for n in range(ORDER, -1, -1):
+            part = g[todo] & ((1 << (SHIFT * (n + 1))) - 1)
+            c, known = find(self.ctx[n], part >> SHIFT)
+            if not known.any():
+                continue
+            k = np.flatnonzero(known)
+            c = c[k]
+            t, d = self.total[n][c].copy(), self.kinds[n][c].copy()
+            up = came[todo[k]]
+            x = np.flatnonzero(up >= 0)
+            if len(x):
+                t[x] -= self.lost[n + 1][up[x]]
+                d[x] -= self.kinds[n + 1][up[x]]
+            at, hit = find(self.keys[n], part[k])
+            both = t + d
+            out[todo[k[hit]]] += np.log10(self.count[n][at[hit]] / both[hit])
+            esc = ~hit & (d > 0)
+            out[todo[k[esc]]] += np.log10(d[esc] / both[esc])
+            came[todo[k]] = c
+            stay = np.ones(len(todo), bool)
+            stay[k[hit]] = False
+            todo = todo[stay]
+        left = ALPHABET - (self.kinds[0][0] if len(self.kinds[0]) else 0.0)
+        out[todo] -= np.log10(max(1.0, left))
+        return out
+
+
 class Codes:
-    """Different packed symbols -> their codes, by linear probing; what is asked for must be there."""
+    """Different 64-bit keys -> numbers, by linear probing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.5))))
@@ -124,30 +186,52 @@ class Codes:
     def _next(self, slot: np.ndarray) -> np.ndarray:
         return (slot + 1) & ((1 << self.bits) - 1)
 
-    def __call__(self, g: np.ndarray) -> np.ndarray:
-        slot = self._slot(g)
-        out = self.values[slot]
-        at = np.flatnonzero(self.keys[slot] != g)
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each key (0 where there is none), and whether there is one."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        found = there == keys
+        out = np.where(found, self.values[slot], 0.0)
+        at = np.flatnonzero(~found & (there != -1))
+        slot = slot[at]
         while len(at):
-            slot_at = slot[at] = self._next(slot[at])
-            hit = self.keys[slot_at] == g[at]
-            out[at[hit]] = self.values[slot_at[hit]]
-            if (self.keys[slot_at] == -1).any():
-                raise ValueError("a string of symbols has no code: the texts are not those that were counted")
-            at = at[~hit]
-        return out
+            slot = self._next(slot)
+            there = self.keys[slot]
+            hit = there == keys[at]
+            out[at[hit]], found[at[hit]] = self.values[slot[hit]], True
+            go = ~hit & (there != -1)
+            at, slot = at[go], slot[go]
+        return out, found
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for part in pieces(texts):
-            g, lens = grams(part)
-            np.add.at(out, np.fromiter((p[0] for p in part), np.int64, len(part)), segment_sum(self(g), lens))
-        return out
+
+class Frequent:
+    """The broadcast codes; a worker makes its table of them once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self.table = keys, values, None
+
+    def codes(self) -> Codes:
+        if self.table is None:
+            self.table = Codes(self.keys, self.values)
+        return self.table
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "values": self.values, "table": None}
+
+
+def looked_up(keys: np.ndarray, first: Codes, then: Codes) -> np.ndarray:
+    out, found = first(keys)
+    rest = np.flatnonzero(~found)
+    out[rest], found = then(keys[rest])
+    if not found.all():
+        raise ValueError("a string has no code: the texts are not those that were counted")
+    return out
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """Hashes of words as negative numbers; packed symbols are positive."""
     h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for w in words), np.uint64, len(words)).view(np.int64)
+    return (np.fromiter((h(w) for w in words), np.uint64, len(words)) | np.uint64(1 << 63)).view(np.int64)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,19 +274,25 @@ def _chunk_words(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         else:
             seen[END_WORD] += 1
     other.difference_update(seen)
-    return _hash([*seen, *other]), np.fromiter((*seen.values(), *([0] * len(other))), np.int64, len(seen) + len(other))
+    return word_keys([*seen, *other]), np.fromiter((*seen.values(), *([0] * len(other))), np.int64, len(seen) + len(other))
 
 
 def survey(rows: DataFrame) -> DataFrame:
-    """(chunk, kind, key, n, doc_id, text, held_out): the texts, and the different strings and words of every chunk with their counts."""
-    id_type = rows.schema["doc_id"].dataType
-    id_kind = to_arrow_type(id_type)
-    names = ["chunk", "kind", "key", "n", "doc_id", "text", "held_out"]
-
-    def batch(chunk: int, kind: int, rows: int, **given) -> pa.RecordBatch:
-        kinds = {"key": pa.int64(), "n": pa.int64(), "doc_id": id_kind, "text": pa.binary(), "held_out": pa.bool_()}
-        cols = [given[c] if c in given else pa.nulls(rows, t) for c, t in kinds.items()]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(rows, chunk)), pa.array(np.full(rows, kind, np.int32)), *cols], names=names)
+    """(chunk, kind, key, n, blob): the texts, the different strings and words of every chunk with their counts, and the short strings'."""
+    id_kind = to_arrow_type(rows.schema["doc_id"].dataType)
+    shape = pa.schema([("doc_id", id_kind), ("text", pa.binary()), ("held_out", pa.bool_())])
+    names = ["chunk", "kind", "key", "n", "blob"]
+
+    def out(chunk: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(keys), 100_000):
+            k = keys[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(counts[lo : lo + 100_000]), pa.nulls(len(k), pa.binary())], names=names)
+
+    def blob(part: list[tuple]) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, shape, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+            f.write_batch(pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], shape.field(c).type) for c in range(3)], schema=shape))
+        return sink.getvalue().to_pybytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -210,13 +300,19 @@ def survey(rows: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lo in range(0, len(held), 256):
-                p = held[lo : lo + 256]
-                yield batch(number, TEXT, len(p), doc_id=pa.array([x[0] for x in p], id_kind), text=pa.array([x[1] for x in p], pa.binary()), held_out=pa.array([x[2] for x in p]))
-            for kind, made in ((GRAM, _chunk_grams), (WORD, _chunk_words)):
-                keys, counts = made(held)
-                for lo in range(0, len(keys), 100_000):
-                    yield batch(number, kind, len(keys[lo : lo + 100_000]), key=pa.array(keys[lo : lo + 100_000]), n=pa.array(counts[lo : lo + 100_000]))
+            part, room = [], 0
+            for x in held:
+                part.append(x)
+                room += len(x[1])
+                if room >= PIECE_BYTES or x is held[-1]:
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([TEXT], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob(part)], pa.binary())], names=names)
+                    part, room = [], 0
+            keys, counts = _chunk_grams(held)
+            yield from out(number, LONG, keys, counts)
+            some = np.flatnonzero(counts)
+            yield from out(number, SHORT, *_summed([keys[some] & ((1 << (2 * SHIFT)) - 1)], [counts[some]]))
+            del keys, counts, some
+            yield from out(number, LONG, *_chunk_words(held))
 
         for b in batches:
             for i in range(b.num_rows):
@@ -228,101 +324,151 @@ def survey(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return stash(rows.mapInArrow(tidied(run), f"chunk bigint, kind int, key bigint, n bigint, doc_id {id_type.simpleString()}, text binary, held_out boolean"))
+    return stash(rows.mapInArrow(tidied(run), "chunk bigint, kind int, key bigint, n bigint, blob binary"))
+
+
+def codes(strings: DataFrame, short: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, value, m): log10 of the probability of a string's last symbol after the others, of different strings (key, n, m).
+
+    ``n`` is how often learning texts have the string (perhaps never), ``m`` is carried along; ``short`` is the strings of
+    two symbols, sorted, with their counts.
+    """
+    pairs, times = short
+    lone, total = _summed([pairs & ((1 << SHIFT) - 1)], [times])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        key, n, m = (np.concatenate([g[i] for g in got]) for i in range(3))
+        del got
+        order, gram, count = [np.zeros(len(lone), np.int64), np.ones(len(pairs), np.int64)], [lone, pairs], [total, times]
+        learned = np.flatnonzero(n)
+        k, c = key[learned], n[learned]
+        for size in range(ORDER, 1, -1):
+            k, c = _summed([k & ((1 << (SHIFT * (size + 1))) - 1)], [c])
+            order.append(np.full(len(k), size))
+            gram.append(k)
+            count.append(c)
+        trie = Trie(np.concatenate(order), np.concatenate(gram), np.concatenate(count))
+        del order, gram, count, k, c
+        for lo in range(0, len(key), 100_000):
+            part = key[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(trie.log10(part)), pa.array(m[lo : lo + 100_000])], names=["key", "value", "m"])
+
+    spark = strings.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), strings.count() // PART)
+    ending = F.shiftright("key", SHIFT).bitwiseAND(F.lit((1 << (2 * SHIFT)) - 1))
+    return strings.select("key", "n", "m").repartition(parts, ending).mapInArrow(tidied(run), "key bigint, value double, m bigint")
+
+
+def _frequent(known: DataFrame, most: int) -> tuple[Frequent, int]:
+    """Keys that the most chunks have, ``most`` at most, with their numbers; and how many chunks the others are below."""
+    level = F.floor(F.log2("m")).cast("int")
+    rows = sorted(((r.l, r.n) for r in known.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)  # a row for each power of two
+    least, held = 64, 0
+    for at, n in rows:
+        if held + n > most or at == 0:
+            break
+        least, held = at, held + n
+    t = known.where(F.col("m") >= (1 << min(least, 62))).select("key", "value").toArrow()
+    return Frequent(t.column(0).to_numpy(), t.column(1).to_numpy()), 1 << min(least, 62)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows (chunk, key, value) as few rows (chunk, n, blob) of sorted keys and their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            chunk, key, value = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.lexsort((key, chunk))
+            chunk, key, value = chunk[order], key[order], value[order]
+            at = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+            ends = np.append(at[1:], len(chunk))
+            blobs = [pa.compress(np.diff(key[a:z], prepend=0).tobytes() + value[a:z].tobytes(), codec="zstd", asbytes=True) for a, z in zip(at.tolist(), ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[at]), pa.array(ends - at), pa.array(blobs, pa.binary())], names=["chunk", "n", "blob"])
+
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append([c.to_numpy() for c in b.columns])
+                size += b.num_rows
+            if size > 2_000_000:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(tidied(run), "chunk bigint, n bigint, blob binary")
 
 
-def trie(top: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (order, gram, n) and contexts (order, ctx, t, d, den, esc) of learned strings (key, n).
+def score(docs: DataFrame, frequent: int = HOT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
-    ``t`` and ``d`` are a context's symbols and different symbols; ``den`` and ``esc`` what its suffix, one shorter, weighs
-    without the symbols that this context could have coded, and how much of it is the escape.
+    ``frequent`` bounds what is broadcast; it changes the speed, never the result.
     """
-    mask = lambda order: F.expr(f"shiftleft(1L, {SHIFT} * ({order} + 1)) - 1L")
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit((1 << (SHIFT * (k + 1))) - 1)).alias("gram")) for k in range(ORDER + 1)]))
-    nodes = cut(top.select(each.alias("x"), "n").groupBy("x.order", "x.gram").agg(F.sum("n").alias("n")))
-    low = nodes.select((F.col("order") + 1).alias("order"), F.col("gram").alias("short"), F.col("n").alias("low"))
-    both = nodes.withColumn("short", F.when(F.col("order") > 0, F.col("gram").bitwiseAND(mask("order - 1")))).join(low, ["order", "short"], "left")
-    ctx = F.shiftright("gram", SHIFT).alias("ctx")
-    sums = cut(both.groupBy("order", ctx).agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.sum(F.coalesce("low", F.lit(0))).alias("lost")))
-    shorter = sums.select((F.col("order") + 1).alias("order"), F.col("ctx").alias("short"), F.col("t").alias("t0"), F.col("d").alias("d0"))
-    linked = sums.withColumn("short", F.when(F.col("order") > 0, F.col("ctx").bitwiseAND(mask("order - 2")))).join(shorter, ["order", "short"], "left")
-    esc = F.col("d0") - F.col("d")
-    return nodes, cut(linked.select("order", "ctx", "t", "d", (F.col("t0") - F.col("lost") + esc).alias("den"), esc.alias("esc")))
-
-
-def codes(top: DataFrame) -> DataFrame:
-    """(key, value): log10 of the probability of each string's last symbol after the ones before it, of strings (key, n)."""
-    nodes, contexts = trie(top.where("n > 0"))
-    at_top = contexts.where(F.col("order") == ORDER).select("ctx", "t", "d")
-    learned = top.where("n > 0").withColumn("ctx", F.shiftright("key", SHIFT)).join(at_top, "ctx").select("key", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("value"))
-    # the others walk down: their six suffixes with what the trie knows of each, one bounded array a string
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit((1 << (SHIFT * (k + 1))) - 1)).alias("gram")) for k in range(ORDER + 1)]))
-    walk = top.where("n = 0").select("key", each.alias("x")).select("key", "x.*").withColumn("ctx", F.shiftright("gram", SHIFT))
-    walk = walk.join(nodes, ["order", "gram"], "left").join(contexts, ["order", "ctx"], "left")
-    found = walk.groupBy("key").agg(
-        F.max(F.when(F.col("n").isNotNull(), F.col("order"))).alias("h"), F.max(F.when(F.col("t").isNotNull(), F.col("order"))).alias("m"), F.collect_list(F.struct("order", "n", "t", "d", "den", "esc")).alias("steps")
-    )
-    total = lambda f: F.aggregate("steps", F.lit(0.0), lambda s, x: s + F.coalesce(f(x), F.lit(0.0)))
-    h, m = F.coalesce("h", F.lit(-1)), F.coalesce("m", F.lit(-1))
-    at_m = total(lambda x: F.when(x["order"] == m, F.log10(F.when(h == m, x["n"]).otherwise(x["d"]) / (x["t"] + x["d"]))))
-    escapes = total(lambda x: F.when((x["order"] >= h + 2) & (x["order"] <= m) & (x["esc"] > 0), F.log10(x["esc"] / x["den"])))
-    count = F.aggregate("steps", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["order"] == h, x["n"]).otherwise(F.lit(0).cast("bigint")))
-    at_h = total(lambda x: F.when((x["order"] == h + 1) & (h < m) & (h >= 0), F.log10(F.col("_count") / x["den"])))
-    kinds = total(lambda x: F.when(x["order"] == 0, x["d"].cast("double")))
-    unseen = F.when(h < 0, -F.log10(F.greatest(F.lit(1.0), F.lit(float(ALPHABET)) - kinds))).otherwise(F.lit(0.0))
-    rest = found.withColumn("_count", count).select("key", (at_m + escapes + at_h + unseen).alias("value"))
-    return learned.unionByName(rest)
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = survey(docs.select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out")))
-    counts = lambda k: made.where(F.col("kind") == k).groupBy("key").agg(F.sum("n").alias("n"))
-    coded = cut(codes(cut(counts(GRAM))))
-    words = cut(counts(WORD))
+    pairs = made.where(F.col("kind") == LONG)
+    sums = stash(pairs.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("m")))
+    few = made.where(F.col("kind") == SHORT).groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # 257 x 257 rows at most
+    short = few.column(0).to_numpy(), few.column(1).to_numpy()
+    words = sums.where("key < 0")
     n_train, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     base = float(np.log10(n_train + n_words + 1))
-    known = coded.select(F.lit(GRAM).alias("kind"), "key", "value").unionByName(words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")))
-    facts = made.where(F.col("kind") != TEXT).select("kind", "key", "chunk").join(known, ["kind", "key"]).select("chunk", "kind", "key", "value")
-    texts = made.where(F.col("kind") == TEXT).select(F.col("chunk").alias("at"), "doc_id", "text", "held_out")
+    known = stash(codes(sums.where("key >= 0"), short).unionByName(words.select("key", F.col("n").cast("double").alias("value"), "m")))
+    hot, below = _frequent(known, frequent)
+    table = spark.sparkContext.broadcast(hot)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~table.value.codes()(b.column(1).to_numpy())[1]))
+
+    cold = pairs.select("chunk", "key").mapInArrow(others, "chunk bigint, key bigint").join(known.where(F.col("m") < below).select("key", "value"), "key").select("chunk", "key", "value")
+    facts = _packed(cold)
+    texts = made.where(F.col("kind") == TEXT).select(F.col("chunk").alias("at"), "blob")
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        of = right.column("kind").to_numpy()
-        keys, value = right.column("key").to_numpy(), right.column("value").to_numpy()
-        w = np.flatnonzero(of == WORD)
-        w = w[np.argsort(keys[w])]
-        names, count = keys[w], value[w].astype(np.int64)
-        log = np.log10(count + 1.0)
-        lookup = Codes(keys[of == GRAM], value[of == GRAM])
-        del keys, value, of, right
-        place: dict[bytes, int] = {}  # of a word in the chunk's counts
-        n_tokens, n_known, base_score, scores = [], [], [], []
-        for lo in range(0, left.num_rows, 256):
-            texts = [x.as_py() for x in left.column("text").slice(lo, 256)]
+        keys, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for n, b in zip(right.column("n").to_pylist(), right.column("blob"), strict=True):
+            raw = pa.decompress(b.as_buffer(), decompressed_size=16 * n, codec="zstd")
+            keys.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
+            values.append(np.frombuffer(raw, np.float64, n, 8 * n))
+        first, then = table.value.codes(), Codes(np.concatenate(keys), np.concatenate(values))
+        del keys, values, right
+        count: dict[bytes, float] = {}  # of the chunk's words
+        out = []
+        for b in left.column("blob"):
+            part = pa.ipc.open_stream(b.as_buffer()).read_all()
+            texts = [x.as_py() for x in part.column("text")]
+            score = np.zeros(len(texts))
+            for piece in pieces(texts):
+                g, lens = grams(piece)
+                np.add.at(score, np.fromiter((p[0] for p in piece), np.int64, len(piece)), segment_sum(looked_up(g, first, then), lens))
+            n_tokens, n_known, logs = [], [], []
             for t in texts:
                 n, k, s = 0, 0, 0.0
                 for w in [*words_of(t), [END_WORD]]:
-                    new = [x for x in set(w) if x not in place]
-                    place.update(zip(new, find(names, _hash(new))[0].tolist(), strict=True))
-                    at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-                    n, k, s = n + len(w), k + int((count[at] > 0).sum()), s + float(log[at].sum())
+                    if new := [x for x in set(w) if x not in count]:
+                        count.update(zip(new, looked_up(word_keys(new), first, then).tolist(), strict=True))
+                    c = np.fromiter(map(count.__getitem__, w), float, len(w))
+                    n, k, s = n + len(w), k + int((c > 0).sum()), s + float(np.log10(c + 1.0).sum())
                 n_tokens.append(n)
                 n_known.append(k)
-                base_score.append(s - n * base)
-            scores.append(lookup.score(texts))
-        out = pa.table({
-            "doc_id": left.column("doc_id"),
-            "held_out": left.column("held_out"),
-            "n_tokens": pa.array(n_tokens, pa.int64()),
-            "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([int(n_train)] * left.num_rows, pa.int64()),
-            "base_score": pa.array(base_score, pa.float64()),
-            "score": pa.array(np.concatenate([np.zeros(0), *scores]), pa.float64()),
-        })
-        del lookup, place, names, count, log, left
+                logs.append(s - n * base)
+            out.append(pa.table({
+                "doc_id": part.column("doc_id"),
+                "held_out": part.column("held_out"),
+                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
+                "train_tokens": pa.array([int(n_train)] * len(texts), pa.int64()),
+                "base_score": pa.array(logs, pa.float64()),
+                "score": pa.array(score, pa.float64()),
+            }))
+        del then, count
         give_back()
-        return out
+        return pa.concat_tables(out)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return texts.groupBy("at").cogroup(facts.groupBy("chunk")).applyInArrow(both, schema)
@@ -357,4 +503,4 @@ def brute_log10(learn: list[bytes], text: bytes) -> float:
     return out
 
 
-__all__ = ["Codes", "brute_log10", "codes", "score", "survey", "trie"]
+__all__ = ["Codes", "Trie", "brute_log10", "codes", "score", "survey"]

@@ -102,6 +102,8 @@ def test_lm_against_dictionaries(spark, make_docs, prose):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in counts for w in words), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words), abs=1e-6)
         assert r.score == pytest.approx(lm.brute_log10(raw, t), rel=1e-9, abs=1e-6)
+    few = {(r.doc_id, r.held_out): r.score for r in lm.score(make_docs(rows).repartition(3), frequent=40).collect()}  # nearly all joined
+    assert few == pytest.approx({(r.doc_id, r.held_out): r.score for r in got}, rel=1e-12)
     none = lm.score(make_docs([(i, "x") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2])).first()
     assert (none.train_tokens, none.base_score) == (0, 0.0)
 
@@ -115,8 +117,10 @@ def test_codes_sum_to_one(spark, prose):
         for b in ctx:
             base = base << 9 | b
         keys = [base << 9 | s for s in range(lm.ALPHABET)]
-        top = spark.createDataFrame([(k, n) for k, n in seen.items()] + [(k, 0) for k in keys if k not in seen], "key bigint, n bigint")
-        got = {r.key: r.value for r in lm.codes(top).collect()}
+        rows = [(k, n, 1) for k, n in seen.items()] + [(k, 0, 1) for k in keys if k not in seen]
+        short = np.array([k & 0x3FFFF for k in seen]), np.array(list(seen.values()))
+        strings = spark.createDataFrame(rows, "key bigint, n bigint, m bigint")
+        got = {r.key: r.value for r in lm.codes(strings, lm._summed([short[0]], [short[1]])).collect()}
         assert sum(10 ** got[k] for k in keys) == pytest.approx(1.0, abs=1e-9)
 
 
@@ -132,9 +136,10 @@ def test_pieces_of_long_texts():
     text = b"Some words  of\tsome LENGTH and averylongword that is not cut\n"
     assert [w for part in lm.words_of(text, 4) for w in part] == text.lower().split()
     codes = lm.Codes(np.arange(0, 9000, 3), np.arange(3000) / 7)
-    assert codes(np.array([3, 0, 8997, 300])).tolist() == [1 / 7, 0.0, 2999 / 7, 100 / 7]
+    value, found = codes(np.array([3, 0, 1, 8997, 300]))
+    assert value.tolist() == [1 / 7, 0.0, 0.0, 2999 / 7, 100 / 7] and found.tolist() == [True, True, False, True, True]
     with pytest.raises(ValueError):
-        codes(np.array([1]))
+        lm.looked_up(np.array([3, 1]), codes, lm.Codes(np.zeros(0, np.int64), np.zeros(0)))
 
 
 def test_neighbours_against_brute_force(spark):
