@@ -48,17 +48,19 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [_hash(line[i:j], 42) for i, j in zip(begin.tolist(), end.tolist(), strict=False)]
 
 
-def fingerprint(text: bytes, size: int = 4) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes."""
-    h = shingle_hashes(text, size)
-    if not h:
-        return 0
+def majority(h: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    a = np.array(h, np.uint64)
-    for lo in range(0, len(a), 65_536):
-        part = a[lo : lo + 65_536].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(a), bitorder="little").view(np.uint64)[0])
+    for lo in range(0, len(h), 255 * 256):  # 255 rows add up within a byte
+        bits = np.unpackbits(h[lo : lo + 255 * 256].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for at in range(0, len(bits), 255):
+            ones += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, size: int = 4) -> int:
+    """The majority of the hashes of a text's shingles, repeats included; 0 for a text without words."""
+    return majority(np.array(shingle_hashes(text, size), np.uint64))
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -111,11 +113,11 @@ def allocate(cost: list[list[float]], total: int) -> list[int]:
     return best[total + len(cost)][1]
 
 
-def plan(sample: np.ndarray, n: int, radius: int, probe_cost: float = 20.0) -> list[tuple[list[int], int]]:
+def plan(sample: np.ndarray, n: int, radius: int, probe_cost: float = 20.0, share: float = 0.5) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each part in use, with the least estimated work over 1 to radius + 1 parts.
 
     The chance that a part of two fingerprints is within t is taken from pairs of the sample, but at least what it would
-    be for random bits.  A probed row costs ``probe_cost`` candidates.
+    be for random bits.  A probed row costs ``probe_cost`` candidates; of all n x n pairs a ``share`` is compared.
     """
     rng = np.random.default_rng(3)
     found = None
@@ -133,7 +135,7 @@ def plan(sample: np.ndarray, n: int, radius: int, probe_cost: float = 20.0) -> l
             for t in range(total + m):
                 ball = sum(comb(len(g), k) for k in range(min(t, len(g)) + 1))
                 p = max(ball / 2.0 ** len(g), float((d <= t).mean()) if len(d) else 0.0)
-                row.append(n * probe_cost * (ball + 1) + float(n) * n / 2 * p if ball < 20_000 else float("inf"))
+                row.append(n * probe_cost * (ball + 1) + float(n) * n * share * p if ball < 20_000 else float("inf"))
             cost.append(row)
         t = allocate(cost, total)
         w = sum(r[x + 1] for r, x in zip(cost, t, strict=True))
