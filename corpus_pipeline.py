@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, langid, mixing, overlap, substrings
+from framewright.llm import bpe, copies, langid, mixing, substrings
 from framewright.llm.common import stash
 from framewright.llm.queries import WEIGHTS
 
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group whose sets of five-word shingles have a similarity of 0.8 or more."""
-    return overlap.keep_one(docs)
+    """One document of every group of near copies: SimHash candidates whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return copies.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
