@@ -56,38 +56,58 @@ def pair_states(pairs: DataFrame, events: DataFrame, limits: DataFrame, p: Param
     return x.withColumn("state", F.coalesce("own", F.when(held, "STABLE").otherwise("CHANGING"))).drop("own", "latch", "special", "usual_delta", "enter_stable_threshold", "exit_stable_threshold")
 
 
-def _islands(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers runs of one state that touch in time."""
-    w = Window.partitionBy("job_id").orderBy(*order)
-    apart = (F.col("state") != F.lag("state").over(w)) | (F.col("start") > F.lag("end").over(w) + EPS)
-    return rows.withColumn(name, F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def _islands(rows: DataFrame, state: str, name: str) -> DataFrame:
+    """Numbers runs of pairs that have one state and touch in time."""
+    w = Window.partitionBy("job_id").orderBy("start", "end")
+    apart = (F.col(state) != F.lag(state).over(w)) | (F.col("start") > F.lag("end").over(w) + EPS)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(name, F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(so_far))
 
 
 def timeline_segments(states: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Segments: runs of one state with holes in time as INVALID, short stable runs dissolved, weak short changes bridged."""
-    rows = states.select("job_id", "state", F.col("previous_timestamp_seconds").alias("start"), F.col("current_timestamp_seconds").alias("end"), "previous_frame_index", "current_frame_index", F.when(F.col("valid"), F.col("difference_score")).alias("score"), "major_threshold")
+    """Segments: runs of one state with holes in time as INVALID, short stable runs dissolved, weak short changes bridged.
+
+    Each pass numbers the runs and writes a run's new state on its pairs, so the whole is windows and one aggregation on
+    one partitioning by job.
+    """
+    pair = ["previous_frame_index", "current_frame_index"]
+    rows = states.select(
+        "job_id", "state", F.col("previous_timestamp_seconds").alias("start"), F.col("current_timestamp_seconds").alias("end"),
+        *[F.col(c).cast("bigint").alias(c) for c in pair], F.when(F.col("valid"), F.col("difference_score")).alias("score"), "major_threshold",
+    )
     w = Window.partitionBy("job_id").orderBy("start", "end")
-    hole = rows.withColumn("_e", F.lag("end").over(w)).where(F.col("start") > F.col("_e") + EPS)
-    hole = hole.select("job_id", F.lit("INVALID").alias("state"), F.col("_e").alias("start"), F.col("start").alias("end"), F.lit(None).cast("bigint").alias("previous_frame_index"), F.lit(None).cast("bigint").alias("current_frame_index"), F.lit(None).cast("double").alias("score"), "major_threshold")
-    rows = rows.withColumns({c: F.col(c).cast("bigint") for c in ("previous_frame_index", "current_frame_index")}).unionByName(hole)
-    raw = _islands(rows, ["start", "end"], "s0")
-    segs = lambda d, k: d.groupBy("job_id", k).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("state").alias("state"), F.max("score").alias("top"), F.first("major_threshold").alias("major_threshold"))
-    one = segs(raw, "s0").withColumn("state", F.when((F.col("state") == "STABLE") & (F.col("end") - F.col("start") < p.min_stable_duration), "CHANGING").otherwise(F.col("state")))
-    one = _islands(one, ["s0"], "s1")
-    two = one.groupBy("job_id", "s1").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("state").alias("state"), F.max("top").alias("top"), F.first("major_threshold").alias("major_threshold"))
-    v = Window.partitionBy("job_id").orderBy("s1")
-    length = F.greatest(F.lit(0.0), F.col("end") - F.col("start"))
-    weak = F.coalesce("top", F.lit(0.0)) < F.col("major_threshold") * 0.80
-    bridge = (F.col("state") == "CHANGING") & (F.lag("state").over(v) == "STABLE") & (F.lead("state").over(v) == "STABLE") & weak & ((length <= p.max_stable_gap) | (length < p.min_changing_duration))
-    two = two.withColumn("_bridge", F.coalesce(bridge, F.lit(False))).withColumn("state", F.when(F.col("_bridge"), "STABLE").otherwise(F.col("state")))
-    two = _islands(two, ["s1"], "segment_id").select("job_id", "s1", "segment_id", "state")
-    where = one.select("job_id", "s0", "s1").join(two, ["job_id", "s1"])
-    full = raw.drop("state").join(where, ["job_id", "s0"])
-    out = full.groupBy("job_id", F.col("segment_id").cast("bigint").alias("segment_id")).agg(
-        F.first("state").alias("state"), F.min("start").alias("start_timestamp_seconds"), F.max("end").alias("end_timestamp_seconds"),
-        F.min_by("previous_frame_index", F.when(F.col("current_frame_index").isNotNull(), F.struct("start", "current_frame_index"))).alias("start_frame_index"),
-        F.max_by("current_frame_index", F.when(F.col("current_frame_index").isNotNull(), F.struct("start", "current_frame_index"))).alias("end_frame_index"),
-        F.avg("score").alias("mean_difference_score"), F.percentile("score", F.lit(0.5)).alias("median_difference_score"), F.min("score").alias("min_difference_score"), F.max("score").alias("max_difference_score"),
+    # a hole becomes a row of its own, next to the pair after it
+    before = F.lag("end").over(w)
+    hole = F.struct(
+        F.lit("INVALID").alias("state"), before.alias("start"), F.col("start").alias("end"), *[F.lit(None).cast("bigint").alias(c) for c in pair], F.lit(None).cast("double").alias("score")
+    )
+    own = F.struct("state", "start", "end", *pair, "score")
+    rows = rows.select("job_id", "major_threshold", F.when(F.col("start") > before + EPS, F.array(hole, own)).otherwise(F.array(own)).alias("parts"))
+    rows = _islands(rows.select("job_id", "major_threshold", F.inline("parts")), "state", "run0")
+
+    # short stable runs are changing ones
+    run = Window.partitionBy("job_id", "run0")
+    length = F.max("end").over(run) - F.min("start").over(run)
+    rows = rows.withColumn("state1", F.when((F.col("state") == "STABLE") & (length < p.min_stable_duration), "CHANGING").otherwise(F.col("state")))
+    rows = _islands(rows, "state1", "run1")
+
+    # a weak and short change between two stable runs is stable
+    rows = rows.withColumns({"_lag": F.lag("state1").over(w), "_lead": F.lead("state1").over(w)})
+    run = Window.partitionBy("job_id", "run1")
+    ordered = run.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    length = F.greatest(F.lit(0.0), F.max("end").over(run) - F.min("start").over(run))
+    weak = F.coalesce(F.max("score").over(run), F.lit(0.0)) < F.col("major_threshold") * 0.80
+    between = (F.first("_lag").over(ordered) == "STABLE") & (F.last("_lead").over(ordered) == "STABLE")
+    bridge = (F.col("state1") == "CHANGING") & between & weak & ((length <= p.max_stable_gap) | (length < p.min_changing_duration))
+    rows = rows.withColumn("state2", F.when(F.coalesce(bridge, F.lit(False)), "STABLE").otherwise(F.col("state1")))
+    rows = _islands(rows, "state2", "segment_id")
+
+    place = F.when(F.col("current_frame_index").isNotNull(), F.struct("start", "current_frame_index"))
+    out = rows.groupBy("job_id", F.col("segment_id").cast("bigint").alias("segment_id")).agg(
+        F.first("state2").alias("state"), F.min("start").alias("start_timestamp_seconds"), F.max("end").alias("end_timestamp_seconds"),
+        F.min_by("previous_frame_index", place).alias("start_frame_index"), F.max_by("current_frame_index", place).alias("end_frame_index"),
+        F.avg("score").alias("mean_difference_score"), F.percentile("score", F.lit(0.5)).alias("median_difference_score"),
+        F.min("score").alias("min_difference_score"), F.max("score").alias("max_difference_score"),
         F.count("current_frame_index").alias("comparison_count"), F.first("major_threshold").alias("_major"),
     )
     strength = F.when((F.col("state") == "CHANGING") & F.col("mean_difference_score").isNotNull(), F.least(F.lit(1.0), F.col("mean_difference_score") / F.greatest(F.lit(1e-6), F.col("_major"))))

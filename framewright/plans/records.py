@@ -83,7 +83,7 @@ register("duplicate_groups", lambda spark, sf: screenshots.duplicate_groups(keep
 
 def members(spark, sf):
     """Kept candidates of the visual chain, five in time to a group."""
-    d = keep(decide(judged(Visual(spark, sf)), P))
+    d = keep(decide(judged(Visual.over(spark, sf)), P))
     return d.select("job_id", "candidate_id", F.floor(F.col("candidate_id") / 5).cast("bigint").alias("group_id"), "semantic_decision_score", "ranking_score", "completion_state", "confidence", ((F.col("candidate_id") * 29 % 100) / 100.0).alias("quality_score"), ((F.col("candidate_id") * 17 % 100) / 100.0).alias("sharpness_score"), ((F.col("candidate_id") % 3) * 0.5).alias("timestamp_shift_seconds"), (F.col("candidate_id") * 2.0).alias("timestamp_seconds"), F.lit("GOOD").alias("quality_state"))
 
 

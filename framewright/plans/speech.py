@@ -127,8 +127,8 @@ step("wd", f"""select job_id, stable_window_id, p as primary_candidate_id, case
   case when n_ok = 0 then 'REJECT_WINDOW' when n_ok = 1 and n = 1 then 'SELECT_SINGLE' when w = p then 'SELECT_PRIMARY' else 'SELECT_ALTERNATE' end as decision,
   case when n_ok = 0 then [case when n > 1 then 'BOTH_CANDIDATES_REJECTED' else 'CANDIDATE_REJECTED' end] when n_ok = 1 then ['ONLY_ELIGIBLE_CANDIDATE'] else list_filter([case when stays then 'PRIMARY_REMAINS_STRONGER' else 'ALTERNATE_OUTSCORES_PRIMARY' end, case when tie and stays then 'PRIMARY_TIE_BONUS' end, case when score_gap <= {P.decision_ambiguity_gap}::double then 'SEMANTIC_TIE' end], lambda x: x is not null) end as reason_codes
 from (select *, case when n_ok = 0 then null when n_ok = 1 then o when stays then p else ba end as w from wd1)""")
-register("decision_scores", lambda spark, sf: show(semantic.decide(judged(Visual(spark, sf)), P), "job_id, candidate_id, decision, eligible, reason_codes", "semantic_decision_score"), rounded("job_id, candidate_id, decision, eligible, reason_codes", "de", "semantic_decision_score"))
-register("window_decisions", lambda spark, sf: show(semantic.window_decisions(semantic.decide(judged(Visual(spark, sf)), P), P), "job_id, stable_window_id, primary_candidate_id, alternate_candidate_id, selected_candidate_id, decision, is_semantically_ambiguous, reason_codes", "score_gap"), rounded("job_id, stable_window_id, primary_candidate_id, alternate_candidate_id, selected_candidate_id, decision, is_semantically_ambiguous, reason_codes", "wd", "score_gap"))
+register("decision_scores", lambda spark, sf: show(semantic.decide(judged(Visual.over(spark, sf)), P), "job_id, candidate_id, decision, eligible, reason_codes", "semantic_decision_score"), rounded("job_id, candidate_id, decision, eligible, reason_codes", "de", "semantic_decision_score"))
+register("window_decisions", lambda spark, sf: show(semantic.window_decisions(semantic.decide(judged(Visual.over(spark, sf)), P), P), "job_id, stable_window_id, primary_candidate_id, alternate_candidate_id, selected_candidate_id, decision, is_semantically_ambiguous, reason_codes", "score_gap"), rounded("job_id, stable_window_id, primary_candidate_id, alternate_candidate_id, selected_candidate_id, decision, is_semantically_ambiguous, reason_codes", "wd", "score_gap"))
 
 
 def neighbour_candidates(v: Visual):
@@ -139,7 +139,7 @@ def neighbour_candidates(v: Visual):
 
 
 def temporal_neighbours(spark, sf):
-    v = Visual(spark, sf)
+    v = Visual.over(spark, sf)
     return show(neighbours.choose(neighbour_candidates(v), v.frames, v.segments, EVENTS), "job_id, candidate_id, role, frame_index", "frame_seconds")
 
 

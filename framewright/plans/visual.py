@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from functools import cached_property
 
 from pyspark.sql import functions as F
@@ -12,39 +13,62 @@ from framewright.plans.adapters import EVENTS as P
 from framewright.plans.adapters import differences, frames
 from framewright.plans.oracle import chain, r6, rounded
 from framewright.queries import register, show
-from framewright.sources.tables import keep
+from framewright.sources.tables import exists, keep, remove, stamp
 
 
 class Visual:
     """The chain's tables over one folder, each made when it is first asked for.
 
     Later stages read earlier ones several times, so those are written as tables: else every stage would plan and run all
-    stages before it again for each use.
+    stages before it again for each use.  ``over`` gives all queries of an application that read the same events the
+    same tables; ``release`` removes them, at the latest when Python ends with the session still open.
     """
 
+    _known: dict[tuple, Visual] = {}
+
     def __init__(self, spark, sf_dir):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.paths = spark, sf_dir, []
+
+    @classmethod
+    def over(cls, spark, sf_dir) -> Visual:
+        key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, f"{sf_dir}/events.parquet"))
+        v = cls._known.get(key)
+        if v is None or not all(exists(spark, p) for p in v.paths):
+            v = cls._known[key] = cls(spark, sf_dir)
+        return v
+
+    @classmethod
+    def release(cls) -> None:
+        """Remove the stage tables of sessions that are still open, and forget all."""
+        for v in cls._known.values():
+            if v.spark.sparkContext._jsc is not None:
+                for p in v.paths:
+                    remove(v.spark, p)
+        cls._known.clear()
+
+    def keep(self, df):
+        return keep(df, self.paths)
 
     @cached_property
     def frames(self):
-        return keep(frames(self.spark, self.sf_dir))
+        return self.keep(frames(self.spark, self.sf_dir))
 
     @cached_property
     def pairs(self):
-        return keep(differences(self.frames))
+        return self.keep(differences(self.frames))
 
     @cached_property
     def thresholds(self):
-        return keep(change.change_thresholds(self.pairs, P))
+        return self.keep(change.change_thresholds(self.pairs, P))
 
     @cached_property
     def events(self):
-        return keep(change.change_events(self.pairs, self.thresholds, P))
+        return self.keep(change.change_events(self.pairs, self.thresholds, P))
 
     @cached_property
     def limits(self):
         scored = change.scored(self.pairs).groupBy("job_id").agg(F.count("*").alias("n"))
-        return keep(timeline.timeline_thresholds(self.thresholds, scored, P))
+        return self.keep(timeline.timeline_thresholds(self.thresholds, scored, P))
 
     @cached_property
     def states(self):
@@ -52,39 +76,42 @@ class Visual:
 
     @cached_property
     def segments(self):
-        return keep(timeline.timeline_segments(self.states, P))
+        return self.keep(timeline.timeline_segments(self.states, P))
 
     @cached_property
     def windows(self):
-        return keep(stability.stability_windows(self.segments, self.pairs, self.frames, self.events, self.limits, P))
+        return self.keep(stability.stability_windows(self.segments, self.pairs, self.frames, self.events, self.limits, P))
 
     @cached_property
     def bounds(self):
-        return keep(stability.boundaries(self.windows, self.pairs, self.limits, P))
+        return self.keep(stability.boundaries(self.windows, self.pairs, self.limits, P))
 
     @cached_property
     def candidates(self):
-        return keep(candidates.generate(self.windows, self.bounds, self.frames, P))
+        return self.keep(candidates.generate(self.windows, self.bounds, self.frames, P))
 
     @cached_property
     def scores(self):
-        return keep(candidates.score(self.candidates, self.pairs, self.limits, P))
+        return self.keep(candidates.score(self.candidates, self.pairs, self.limits, P))
 
     @cached_property
     def ranked(self):
-        return keep(candidates.rank(self.scores, P))
+        return self.keep(candidates.rank(self.scores, P))
 
     @cached_property
     def selected(self):
-        return keep(candidates.selections(self.windows, self.candidates, self.ranked, P))
+        return self.keep(candidates.selections(self.windows, self.candidates, self.ranked, P))
 
     @cached_property
     def handoff(self):
         return candidates.handoff(self.selected, self.ranked)
 
 
+atexit.register(Visual.release)
+
+
 def add(name, build, columns, numbers, step):
-    register(name, lambda spark, sf: show(build(Visual(spark, sf)), columns, numbers), rounded(columns, step, numbers))
+    register(name, lambda spark, sf: show(build(Visual.over(spark, sf)), columns, numbers), rounded(columns, step, numbers))
 
 
 add("frame_quality", lambda v: v.frames, "job_id, index, is_valid, is_black, is_very_dark, is_blurry, is_low_information", "timestamp_seconds, brightness, quality_score", "fr")
@@ -119,7 +146,7 @@ SUMMARY = "major_events, very_major_events, black_transitions, invalid_gaps, sta
 
 def job_summary(spark, sf):
     """Left joins of the stage statistics on job_id: jobs without rows of a stage have nulls there."""
-    v = Visual(spark, sf)
+    v = Visual.over(spark, sf)
     out = change.event_stats(v.pairs, v.events)
     for one in (timeline.timeline_stats(v.segments), stability.window_stats(v.windows), stability.boundary_stats(v.bounds), candidates.generation_stats(v.candidates), candidates.ranking_stats(v.selected, v.ranked)):
         out = out.join(one, "job_id", "left")
@@ -131,7 +158,7 @@ register("job_summary", job_summary, chain(f"select evst.job_id, {SUMMARY}, " +
 
 def timeline_quality(spark, sf):
     """Densities and warnings of each job's timeline."""
-    v = Visual(spark, sf)
+    v = Visual.over(spark, sf)
     x = change.event_stats(v.pairs, v.events).join(timeline.timeline_stats(v.segments), "job_id")
     major = F.col("major_events") + F.col("very_major_events")
     x = x.withColumn("major_per_minute", F.coalesce(F.try_divide(major * 60.0, F.col("total_duration_seconds")), F.lit(0.0)))

@@ -21,9 +21,35 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write the rows as a compressed table in the shared folder and go on from it."""
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of the files of a table; another stamp says that the table is another one."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at):
+        return ()
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
+def keep(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Write the rows as a compressed table in the shared folder and go on from it; its path is added to ``paths``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
