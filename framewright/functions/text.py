@@ -7,6 +7,7 @@ import json
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,8 +48,8 @@ def clock(seconds: Column) -> Column:
 
 
 def plain(c: Column) -> Column:
-    """Without control characters, white space collapsed.  Composition to NFC is ``nfc``, for text that needs it."""
-    return clean(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\p{C}&&[^\n\t]]", ""))
+    """Composed to NFC (which Spark has no function for), without control characters, white space collapsed."""
+    return clean(F.regexp_replace(nfc(F.coalesce(c, F.lit(""))), r"[\p{C}&&[^\n\t]]", ""))
 
 
 def truncate(c: Column, max_characters: int, max_words: int) -> Column:
@@ -127,26 +128,63 @@ def ids_fingerprint(ids: Column) -> Column:
     return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("]")), 256)
 
 
-def wrap(text: str | None, width: float, font: float, lines: int) -> tuple[str, bool]:
-    """Lines of about the width, long words cut, at most ``lines`` of them; whether something was left out."""
-    n = max(1, int(width / max(font * 0.58, 1.0)))
-    tokens = [w[i : i + n] for w in (text or "").split() for i in range(0, len(w), n)]
-    out: list[str] = []
-    for t in tokens:
-        if out and len(out[-1]) + 1 + len(t) <= n:
-            out[-1] += " " + t
-        else:
-            out.append(t)
-    if len(out) <= lines:
-        return "\n".join(out), False
-    out = out[:lines]
-    out[-1] = out[-1][: max(1, n - 1)].rstrip(" .,…") + "…"
-    return "\n".join(out), True
+def wrapped(c: Column, width: float, font: float, lines: int) -> Column:
+    """A struct (text, cut): lines of about the width, long words split, at most ``lines``; whether something was left out.
 
+    One fold over the words: the state is the lines so far, and a word that does not fit its line's room begins another.
+    """
+    room = max(1, int(width / max(font * 0.58, 1.0)))
+    text = F.coalesce(c, F.lit(""))
+    parts = F.transform(words(text), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / room).cast("int")), lambda k: F.substring(w, k * room + 1, F.lit(room))))
 
-SECRET = r"(?i)(api[_-]?key|token|secret|password|authorization|cookie)"
+    def add(held: Column, w: Column) -> Column:
+        last = F.element_at(held, -1)
+        fits = (F.size(held) > 0) & (F.length(last) + 1 + F.length(w) <= room)
+        return F.when(fits, F.concat(F.slice(held, 1, F.size(held) - 1), F.array(F.concat(last, F.lit(" "), w)))).otherwise(F.concat(held, F.array(w)))
+
+    every = F.aggregate(F.flatten(parts), F.array().cast("array<string>"), add)
+
+    def cut(held: Column) -> Column:
+        end = F.concat(F.regexp_replace(F.substring(F.element_at(held, lines), 1, max(1, room - 1)), r"[ .,…]+$", ""), F.lit("…"))
+        few = F.concat(F.slice(held, 1, lines - 1), F.array(end)) if lines > 1 else F.array(end)
+        over = F.size(held) > lines
+        return F.struct(F.array_join(F.when(over, few).otherwise(held), "\n").alias("text"), over.alias("cut"))
+
+    return F.element_at(F.transform(F.array(every), cut), 1)  # the fold stands once
+
+
+#: Parts of names whose values are not shown, and what stands for them (fixed values).
+SENSITIVE = ("password", "secret", "token", "authorization", "cookie", "api_key", "private_key")
+REDACTED = "***REDACTED***"
+
+
+def is_sensitive(name: Column) -> Column:
+    lower = F.lower(name)
+    return reduce(lambda a, b: a | b, [lower.contains(part) for part in SENSITIVE])
 
 
 def redact(props: Column) -> Column:
-    """Values of sensitive keys of a map are replaced."""
-    return F.transform_values(props, lambda k, v: F.when(k.rlike(SECRET), F.lit("[REDACTED]")).otherwise(v))
+    """Values of sensitive keys of a flat map are replaced."""
+    return F.transform_values(props, lambda k, v: F.when(is_sensitive(k), F.lit(REDACTED)).otherwise(v))
+
+
+def redacted(value, name: str = ""):
+    """The value without what sensitive names hold, at any depth; items of a list go by the list's name."""
+    if any(part in name.lower() for part in SENSITIVE):
+        return REDACTED
+    if isinstance(value, dict):
+        return {k: redacted(v, k) for k, v in value.items()}
+    return [redacted(v, name) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(StringType())
+def redact_json(s: pd.Series) -> pd.Series:
+    """JSON text with the values of sensitive names replaced at any depth; text that is not JSON becomes null."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(redacted(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return s.map(one)

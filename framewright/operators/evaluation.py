@@ -2,38 +2,78 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.scalar import ratio, reasons, round_even
+from framewright.operators.ranges import points_in
 
 STAGES = ("CANDIDATE", "SEMANTIC", "FINAL_SCREENSHOT", "DOCUMENT")
 
 
+class Free:
+    """Predictions of a sample in the order of time and id, those in use taken out; neighbours are found by path halving."""
+
+    def __init__(self, predictions: list[dict]):
+        self.rows = sorted(predictions, key=lambda q: (q["timestamp_seconds"], q["prediction_id"]))
+        self.times = [q["timestamp_seconds"] for q in self.rows]
+        self.right, self.left = list(range(len(self.rows) + 1)), list(range(len(self.rows) + 1))
+
+    def _walk(self, to: list[int], i: int) -> int:
+        while to[i] != i:
+            to[i] = to[to[i]]
+            i = to[i]
+        return i
+
+    def after(self, i: int) -> int:
+        """The first free one from place i on."""
+        return self._walk(self.right, i)
+
+    def before(self, i: int) -> int:
+        """The last free one before place i, or -1."""
+        return self._walk(self.left, i) - 1
+
+    def take(self, i: int) -> None:
+        self.right[i], self.left[i + 1] = i + 1, i
+
+    def nearest(self, target: float, lo: float, hi: float) -> int | None:
+        """The free one within [lo, hi] that is nearest to the target; of equally near ones the earlier, then the smaller id."""
+        first, end = bisect_left(self.times, lo), bisect_right(self.times, hi)
+        at = min(max(bisect_left(self.times, target), first), end)
+        found = []
+        if (i := self.before(at)) >= first:
+            found.append(self.after(max(first, bisect_left(self.times, self.times[i]))))  # the smallest id of that time
+        if (i := self.after(at)) < end:
+            found.append(i)
+        return min(found, key=lambda i: (abs(self.times[i] - target), self.times[i], i), default=None)
+
+
 def match_sample(states: list[dict], predictions: list[dict]) -> tuple[list[tuple], list, list]:
     """Matches (state, prediction, error), unmatched predictions, and missed required states.
 
     States go by target time; each takes the nearest unused prediction within its interval.  A group is satisfied once.
     """
-    free = sorted(predictions, key=lambda q: (q["timestamp_seconds"], q["prediction_id"]))
+    free = Free(predictions)
+    used: set[int] = set()
     matched, met, groups = [], set(), set()
     for s in sorted((s for s in states if s["importance"] in ("REQUIRED", "OPTIONAL")), key=lambda s: (s["target_timestamp_seconds"], s["state_id"])):
         group = s.get("acceptable_equivalence_group") or s.get("duplicate_group")
         if group and group in groups:
             met.add(s["state_id"])
             continue
-        near = [q for q in free if s["acceptable_start_seconds"] <= q["timestamp_seconds"] <= s["acceptable_end_seconds"]]
-        if not near:
+        best = free.nearest(s["target_timestamp_seconds"], s["acceptable_start_seconds"], s["acceptable_end_seconds"])
+        if best is None:
             continue
-        best = min(near, key=lambda q: (abs(q["timestamp_seconds"] - s["target_timestamp_seconds"]), q["timestamp_seconds"], q["prediction_id"]))
-        free.remove(best)
+        free.take(best)
+        used.add(best)
         met.add(s["state_id"])
-        if group:
-            groups.add(group)
-        matched.append((s["state_id"], best["prediction_id"], abs(best["timestamp_seconds"] - s["target_timestamp_seconds"])))
+        groups |= {group} if group else set()
+        matched.append((s["state_id"], free.rows[best]["prediction_id"], abs(free.times[best] - s["target_timestamp_seconds"])))
     missed = sorted(s["state_id"] for s in states if s["importance"] == "REQUIRED" and s["state_id"] not in met)
-    return matched, sorted(q["prediction_id"] for q in free), missed
+    return matched, sorted(q["prediction_id"] for i, q in enumerate(free.rows) if i not in used), missed
 
 
 def temporal_match(states: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -58,15 +98,18 @@ def f1(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * p * r, p + r), F.lit(0.0))
 
 
-def summarize(matches: DataFrame, states: DataFrame, predictions: DataFrame, negatives: DataFrame) -> DataFrame:
-    """Figures of each sample and level, to six decimals."""
+def summarize(matches: DataFrame, states: DataFrame, predictions: DataFrame, negatives: DataFrame, bucket_seconds: float = 600.0) -> DataFrame:
+    """Figures of each sample and level, to six decimals; ``bucket_seconds`` is best about as long as a negative interval."""
     n = lambda k: F.count_if(F.col("kind") == k)
     m = matches.groupBy("sample_id", "level").agg(n("MATCH").alias("tp"), n("FALSE_POSITIVE").alias("fp"), n("FALSE_NEGATIVE").alias("fn"), F.avg("error").alias("e_mean"), F.percentile("error", F.array(F.lit(0.5), F.lit(0.9))).alias("e"), F.max("error").alias("e_max"))
     need = states.where("importance = 'REQUIRED'").select("sample_id", "state_id")
     found = matches.where("kind = 'MATCH'").join(need, ["sample_id", "state_id"]).groupBy("sample_id", "level").agg(F.countDistinct("state_id").alias("met"))
     total = need.groupBy("sample_id").agg(F.countDistinct("state_id").alias("required"))
-    bad = predictions.join(negatives, (predictions.sample_id == negatives.sample_id) & predictions.timestamp_seconds.between(negatives.start_seconds, negatives.end_seconds), "left_semi")
-    hits = bad.groupBy("sample_id", "level").agg(F.count("*").alias("hits"))
+    spans = negatives.select("sample_id", F.col("start_seconds").alias("_lo"), F.col("end_seconds").alias("_hi"))
+    marked = predictions.withColumn("_row", F.monotonically_increasing_id())
+    inside = F.col("timestamp_seconds").between(F.col("_lo"), F.col("_hi"))
+    bad = points_in(marked, spans, "sample_id", "timestamp_seconds", F.col("_lo"), F.col("_hi"), bucket_seconds, inside)
+    hits = bad.groupBy("sample_id", "level").agg(F.countDistinct("_row").alias("hits"))
     count = predictions.groupBy("sample_id", "level").agg(F.count("*").alias("n"))
     key = ["sample_id", "level"]
     x = m.join(found, key, "left").join(hits, key, "left").join(count, key, "left").join(total, "sample_id", "left").na.fill(0, ["met", "hits", "n", "required"])
@@ -144,3 +187,32 @@ def release_readiness(gates: DataFrame) -> DataFrame:
     """READY, READY_WITH_WARNINGS or NOT_READY of each release from gates (release, gate_id, required, ok)."""
     g = gates.groupBy("release").agg(F.count_if(F.col("required") & ~F.col("ok")).alias("failed"), F.count_if(~F.col("required") & ~F.col("ok")).alias("warned"))
     return g.withColumn("readiness", F.when(F.col("failed") > 0, "NOT_READY").when(F.col("warned") > 0, "READY_WITH_WARNINGS").otherwise("READY"))
+
+
+def local_sweep(parameters: DataFrame, radius: int = 2) -> DataFrame:
+    """The values to try around each parameter (current_value, step, min_value, max_value, is_integer): steps to either side, within its range, each once."""
+    offsets = F.sequence(F.lit(-radius), F.lit(radius))
+    at = F.transform(offsets, lambda k: F.greatest(F.col("min_value"), F.least(F.col("max_value"), F.col("current_value") + F.col("step") * k)))
+    whole = F.transform(at, lambda v: F.when(F.col("is_integer"), F.bround(v, 0)).otherwise(F.bround(v, 8)))
+    return parameters.withColumn("values", F.array_distinct(whole))
+
+
+def reviewed(annotations: DataFrame, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Annotations whose review_status is among the allowed ones, and the sample ids of the others (an error where reviews are strict)."""
+    ok = F.coalesce(F.col("review_status").isin(*allowed), F.lit(False))
+    return annotations.where(ok), annotations.where(~ok).select("sample_id")
+
+
+def dataset_findings(samples: DataFrame, annotations: DataFrame, media: DataFrame, require_media: bool = False) -> DataFrame:
+    """(sample_id, severity, code): annotations that are missing or of another sample, media that are named but missing or empty."""
+    a = annotations.select("annotation_path", F.col("sample_id").alias("_annotated"))
+    m = media.select(F.col("path").alias("media_path"), F.col("length").alias("_length"))
+    x = samples.join(a, "annotation_path", "left").join(m, "media_path", "left")
+    named = F.col("media_path").isNotNull()
+    lost = named & (F.col("_length").isNull() | (F.col("_length") <= 0 if require_media else F.lit(False)))
+    found = F.array_compact(F.array(
+        F.when(F.col("_annotated").isNull(), F.struct(F.lit("ERROR").alias("severity"), F.lit("ANNOTATION_MISSING").alias("code"))),
+        F.when(F.col("_annotated") != F.col("sample_id"), F.struct(F.lit("ERROR").alias("severity"), F.lit("ANNOTATION_SAMPLE_MISMATCH").alias("code"))),
+        F.when(lost, F.struct(F.lit("ERROR" if require_media else "WARNING").alias("severity"), F.lit("MEDIA_MISSING").alias("code"))),
+    ))
+    return x.select("sample_id", F.inline(found))

@@ -62,16 +62,20 @@ add("pair_keys_lsh", lambda spark, sf: screenshots.pairs_by_slices(keep(prints(s
 
 def scored_pairs(spark, sf):
     p = keep(prints(spark, sf))
-    keys = screenshots.pairs_in_band(p, P).unionByName(screenshots.pairs_by_slices(p, P)).distinct()
+    keys = screenshots.pair_keys(p, P)
     images = keys.select("job_id", "a", "b", (1.0 - (F.col("a") * 7 + F.col("b")) % 40 / 100.0).alias("thumbnail_ssim"), (1.0 - (F.col("a") + F.col("b") * 3) % 50 / 100.0).alias("edge_similarity"), ((F.col("a") + F.col("b")) % 45 / 100.0).alias("addition_ab"), (F.col("b") % 30 / 100.0).alias("addition_ba"))
     return screenshots.score_pairs(keys, p, images, P)
 
 
+step("sm", f"select job_id from fp group by job_id having count(*) <= {P.duplicate_full_cutoff}")
+step("pk", """select a.job_id, a.candidate_id as a, b.candidate_id as b from fp a join fp b on a.job_id = b.job_id and a.candidate_id < b.candidate_id where a.job_id in (select job_id from sm)
+  union select * from bd where job_id not in (select job_id from sm) union select * from lsh where job_id not in (select job_id from sm)""")
+add("pair_keys", lambda spark, sf: screenshots.pair_keys(keep(prints(spark, sf)), P), "job_id, a, b", "", "pk")
 _ham = lambda c: f"bit_count(xor(('0x' || a.{c})::ubigint, ('0x' || b.{c})::ubigint)) / 64.0::double"
 _rel = " or ".join(f"(a.content_type in {g!r} and b.content_type in {g!r})" for g in screenshots.RELATED)
 step("ps0", f"""select k.job_id, k.a, k.b, abs(a.selected_timestamp_seconds - b.selected_timestamp_seconds) as timestamp_gap_seconds, {_ham('phash')} as phash_distance, {_ham('dhash')} as dhash_distance, 1.0::double - (k.a * 7 + k.b) % 40 / 100.0::double as ss, 1.0::double - (k.a + k.b * 3) % 50 / 100.0::double as es, greatest((k.a + k.b) % 45 / 100.0::double, k.b % 30 / 100.0::double) as ad,
   case when a.content_type = b.content_type then 1.0::double when 'UNKNOWN' in (a.content_type, b.content_type) then 0.65::double when 'MIXED' in (a.content_type, b.content_type) then 0.8::double when {_rel} then 0.75::double else 0.4::double end as content_compatibility_score
-from (select * from bd union select * from lsh) k join fp a on a.job_id = k.job_id and a.candidate_id = k.a join fp b on b.job_id = k.job_id and b.candidate_id = k.b""")
+from pk k join fp a on a.job_id = k.job_id and a.candidate_id = k.a join fp b on b.job_id = k.job_id and b.candidate_id = k.b""")
 _dw = P.duplicate_weights
 step("ps1", f"select *, greatest(0.0::double, least(1.0::double, 0.0::double + ss * {_dw[0]}::double + es * {_dw[1]}::double + (1.0::double - phash_distance) * {_dw[2]}::double + (1.0::double - dhash_distance) * {_dw[3]}::double + content_compatibility_score * {_dw[4]}::double + case when timestamp_gap_seconds <= {P.duplicate_window}::double then greatest(0.0::double, 1.0::double - timestamp_gap_seconds / {P.duplicate_window}::double) else 0.15::double end * {_dw[5]}::double)) as duplicate_score from ps0")
 step("ps", f"""select *, case when duplicate_score >= {P.duplicate_score}::double and ss >= {P.duplicate_min_structure}::double and es >= {P.duplicate_min_edge}::double and not ad > {P.duplicate_max_addition}::double then 'DUPLICATE' when duplicate_score >= {P.possible_duplicate_score}::double or (phash_distance <= {P.duplicate_long_range_phash}::double and ss >= 0.80::double) then 'POSSIBLE_DUPLICATE' else 'DISTINCT' end as decision,
@@ -121,12 +125,12 @@ register("result_page", lambda spark, sf: documents.page(table(spark, sf, "order
 register("timestamp_display", lambda spark, sf: table(spark, sf, "documents").select("doc_id", T.clock(F.col("n_chars") * 1.5).alias("display")), "select doc_id, case when s >= 3600 then (case when s // 3600 < 100 then lpad((s // 3600)::varchar, 2, '0') else (s // 3600)::varchar end) || ':' else '' end || lpad((s % 3600 // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') as display from (select doc_id, trunc(n_chars * 1.5)::bigint as s from documents)")
 register("word_count", lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", T.word_count(F.col("text")).cast("bigint").alias("words")), "select conv_id, turn, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::bigint as words from conversations")
 register("caption_truncate", lambda spark, sf: table(spark, sf, "conversations").select("conv_id", "turn", T.truncate(F.col("text"), P.caption_max_characters, P.caption_max_words).alias("caption")), rf"""
-with w as (select conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as l from conversations), f as (select *, array_to_string(l[1:{P.caption_max_words}], ' ') as few from w),
+with w as (select conv_id, turn, list_filter(string_split_regex(nfc_normalize(text), '\s+'), lambda x: x <> '') as l from conversations), f as (select *, array_to_string(l[1:{P.caption_max_words}], ' ') as few from w),
 o as (select *, length(few) > {P.caption_max_characters} as over, rtrim(substr(few, 1, {P.caption_max_characters})) as cut from f), r as (select *, case when over then (case when instr(cut, ' ') > 0 then regexp_replace(cut, ' [^ ]*$', '') else cut end) else few end as res from o)
 select conv_id, turn, case when (len(l) > {P.caption_max_words} or over) and length(res) > 0 then regexp_replace(res, '[ .,…]+$', '') || '…' else res end as caption from r""")
 register("safe_filename", lambda spark, sf: table(spark, sf, "pages").select("page_id", T.filename(F.col("url"), P.filename_max_length).alias("name")), rf"""
 select page_id, regexp_replace(substr(regexp_replace(case when t = '' then 'lecture-notes' else t end, '(?i)\.pdf$', ''), 1, {P.filename_max_length}), '[-._ ]+$', '') || '.pdf' as name from (
-select page_id, regexp_replace(regexp_replace(regexp_replace(translate(trim(regexp_replace(url, '\s+', ' ', 'g')), '/\', '  '), '[^\w\- .()]+', '', 'g'), '\s+', '-', 'g'), '^[-._ ]+|[-._ ]+$', '', 'g') as t from pages)""")
+select page_id, regexp_replace(regexp_replace(regexp_replace(translate(trim(regexp_replace(nfc_normalize(url), '\s+', ' ', 'g')), '/\', '  '), '[^\w\- .()]+', '', 'g'), '\s+', '-', 'g'), '^[-._ ]+|[-._ ]+$', '', 'g') as t from pages)""")
 register("exact_texts", lambda spark, sf: table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "select sha256(text) as sha256, count(*) as n, min(doc_id) as first from documents group by 1")
 
 
@@ -195,7 +199,22 @@ def cache_of(spark, sf):
 register("missing_rows_incremental", lambda spark, sf: (lambda i, c: lineage.rows_to_make(i, c, ["id"]))(*cache_of(spark, sf)), "select o_orderkey as id, o_custkey as fingerprint from orders where o_orderkey % 4 = 0 or o_orderkey % 6 = 1")
 register("orphans", lambda spark, sf: (lambda i, c: lineage.orphans(c, i, ["id"]))(*cache_of(spark, sf)), "select -o_orderkey as id, o_custkey as fingerprint from orders where o_orderkey % 100 = 0 and o_orderkey > 0")
 register("duplicate_ids", lambda spark, sf: lineage.repeated_ids(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey"]), "select l_orderkey, l_partkey, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
-register("redaction", lambda spark, sf: table(spark, sf, "events").select("event_id", F.map_entries(T.redact(F.create_map(F.lit("api_key"), F.lit("k"), F.col("event_type"), F.col("props")))).alias("props")))
+def flat_secrets(spark, sf):
+    m = T.redact(F.create_map(F.lit("api_key"), F.lit("k"), F.col("event_type"), F.col("props")))
+    return table(spark, sf, "events").select("event_id", m["api_key"].alias("hidden"), F.element_at(m, F.col("event_type")).alias("shown"))
+
+
+register("redaction", flat_secrets, "select event_id, '***REDACTED***' as hidden, props as shown from events")
+
+
+def secrets(spark, sf):
+    """JSON with sensitive names at three depths, and in a list."""
+    e = table(spark, sf, "events")
+    inner = F.concat(F.lit('{"n":'), F.col("event_id").cast("string"), F.lit(',"Private_Key_Path":"/k","steps":[{"session_token":7,"kind":"'), F.col("event_type"), F.lit('"},[1,2]]}'))
+    return e.select("event_id", T.redact_json(F.concat(F.lit('{"MY_PASSWORD":["a","b"],"inner":'), inner, F.lit("}"))).alias("props"))
+
+
+register("redaction_nested", secrets, """select event_id, '{"MY_PASSWORD":"***REDACTED***","inner":{"n":' || event_id || ',"Private_Key_Path":"***REDACTED***","steps":[{"session_token":"***REDACTED***","kind":"' || event_type || '"},[1,2]]}}' as props from events""")
 
 
 # -- sources: links and files as the documents table would give them ------------------------------------------------------

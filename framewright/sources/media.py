@@ -208,3 +208,57 @@ def read_events(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 def safe_path(path: Column) -> Column:
     """True for relative paths that do not climb."""
     return path.isNotNull() & ~path.startswith("/") & ~F.array_contains(F.split(path, r"[/\\]"), "..")
+
+
+def audio_slices(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """(job_id, chunk_id, wav, error): the part of each job's 16 kHz mono 16-bit WAV that a chunk decodes, as a WAV of its own.
+
+    ``files`` has (job_id, content), ``plan`` the chunks with decode_start_seconds and decode_end_seconds.  A file of
+    another form gives rows with an error.  The chunks of a job come with its file, so each file is read once.
+    """
+    spans = plan.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "decode_start_seconds", "decode_end_seconds"))).alias("spans"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            for job, data, todo in zip(d["job_id"], d["content"], d["spans"], strict=True):
+                for s in todo:
+                    wav, error = None, None
+                    try:
+                        with wave.open(io.BytesIO(data or b"")) as src:
+                            if (src.getsampwidth(), src.getnchannels(), src.getframerate()) != (2, 1, 16000):
+                                raise wave.Error("not 16 kHz mono 16-bit")
+                            first, last = (min(src.getnframes(), round(s[k] * 16000)) for k in ("decode_start_seconds", "decode_end_seconds"))
+                            src.setpos(first)
+                            raw = src.readframes(max(0, last - first))
+                        out = io.BytesIO()
+                        with wave.open(out, "wb") as dst:
+                            dst.setparams((1, 2, 16000, 0, "NONE", ""))
+                            dst.writeframes(raw)
+                        wav = out.getvalue()
+                    except (wave.Error, EOFError) as e:
+                        error = str(e) or "broken file"
+                    yield pd.DataFrame({"job_id": [job], "chunk_id": [s["chunk_id"]], "wav": [wav], "error": [error]})
+
+    return files.join(spans, "job_id").select("job_id", "content", "spans").mapInPandas(run, "job_id string, chunk_id bigint, wav binary, error string")
+
+
+def judged_by_model(inputs: DataFrame, ask, parse, retries: int = 1) -> DataFrame:
+    """(job_id, candidate_id, raw_text, result, attempt_count): a model asked until its reply parses, ``retries`` times more at most.
+
+    ``ask(prompt, repair)`` gives a text; ``parse(text)`` gives canonical JSON text, or None if the reply is no good.
+    After the first attempt the prompt asks for a repair; a reply that never parses leaves ``result`` null.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            rows = []
+            for job, candidate, prompt in zip(d["job_id"], d["candidate_id"], d["prompt"], strict=True):
+                text, result, attempt = None, None, 0
+                while result is None and attempt <= retries:
+                    text = ask(prompt, attempt > 0)
+                    result = parse(text)
+                    attempt += 1
+                rows.append((job, candidate, text, result, attempt))
+            yield pd.DataFrame(rows, columns=["job_id", "candidate_id", "raw_text", "result", "attempt_count"])
+
+    return inputs.select("job_id", "candidate_id", "prompt").mapInPandas(run, "job_id string, candidate_id bigint, raw_text string, result string, attempt_count int")

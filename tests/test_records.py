@@ -1,6 +1,7 @@
 """Transcripts, judgments, screenshots, evaluation, sources, texts."""
 
 import json
+import random
 import wave
 
 import numpy as np
@@ -142,6 +143,34 @@ def test_golden_counts():
     assert (len(m), extra, missed) == (4, ["x"], [])
 
 
+def test_matching_against_a_search_of_all(spark):
+    """The nearest free prediction, found by looking at every one."""
+    r = random.Random(4)
+    for _ in range(200):
+        q = [{"prediction_id": f"p{r.randint(0, 99)}-{i}", "timestamp_seconds": float(r.randint(0, 12))} for i in range(r.randint(0, 9))]
+        s = [{"state_id": str(i), "target_timestamp_seconds": (t := float(r.randint(0, 12))), "acceptable_start_seconds": t - r.randint(-1, 3), "acceptable_end_seconds": t + r.randint(-1, 3), "importance": r.choice(["REQUIRED", "OPTIONAL", "IGNORED"]), "duplicate_group": r.choice([None, None, "g"])} for i in range(r.randint(0, 6))]
+        free, want, groups = list(q), [], set()
+        for x in sorted((x for x in s if x["importance"] != "IGNORED"), key=lambda x: (x["target_timestamp_seconds"], x["state_id"])):
+            near = [p for p in free if x["acceptable_start_seconds"] <= p["timestamp_seconds"] <= x["acceptable_end_seconds"]]
+            if x["duplicate_group"] in groups or not near:
+                continue
+            best = min(near, key=lambda p: (abs(p["timestamp_seconds"] - x["target_timestamp_seconds"]), p["timestamp_seconds"], p["prediction_id"]))
+            free.remove(best)
+            groups |= {x["duplicate_group"]} - {None}
+            want.append((x["state_id"], best["prediction_id"]))
+        got, extra, _ = evaluation.match_sample(s, q)
+        assert [m[:2] for m in got] == want and extra == sorted(p["prediction_id"] for p in free)
+
+
+def test_redaction(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    hidden = "***REDACTED***"
+    assert one(T.redact(F.create_map(F.lit("My_Private_Key"), F.lit("a"), F.lit("name"), F.lit("b")))) == {"My_Private_Key": hidden, "name": "b"}
+    text = '{"token":{"a":1},"list":[{"COOKIE_jar":"x","n":[1,2]}],"cookies":[1],"ok":null}'
+    assert one(T.redact_json(F.lit(text))) == f'{{"token":"{hidden}","list":[{{"COOKIE_jar":"{hidden}","n":[1,2]}}],"cookies":"{hidden}","ok":null}}'
+    assert one(T.redact_json(F.lit("not json"))) is None and one(T.redact_json(F.lit(None).cast("string"))) is None
+
+
 def test_gates(spark):
     r = evaluation.performance_gate(spark.createDataFrame([(10.0, 9.0, 1000, 1100, 1000, 1100)], "base_runtime double, cand_runtime double, base_peak bigint, cand_peak bigint, base_disk bigint, cand_disk bigint")).first()
     assert r.accepted and r.runtime_improvement_ratio == 0.1
@@ -166,7 +195,9 @@ def test_texts(spark):
     assert one(T.comparison(F.lit("  Héllo,  WORLD! "))) == "héllo world"
     assert T.similarity("the broker", "The broker sends!") == 1.0 and T.similarity("", "x") == 0.0
     assert T.canonical({"b": 1e-05, "a": None}) == '{"a":null,"b":1e-05}' and T.canonical({"b": 1, "a": None}, True) == '{"b":1}'
-    assert T.wrap("aaaa bbbb cccc", 5 * 5.8, 10, 2) == ("aaaa\nbbbb…", True) and T.wrap("", 10, 10, 1) == ("", False)
+    assert tuple(one(T.wrapped(F.lit("aaaa bbbb cccc"), 5 * 5.8, 10, 2))) == ("aaaa\nbbbb…", True) and tuple(one(T.wrapped(F.lit(""), 10, 10, 1))) == ("", False)
+    assert tuple(one(T.wrapped(F.lit("ab cd efghijk"), 5 * 5.8, 10, 9))) == ("ab cd\nefghi\njk", False) and one(T.wrapped(F.lit(None).cast("string"), 9, 9, 3)).text == ""
+    assert one(T.plain(F.lit("Cafe\u0301  \u0007x"))) == "Caf\u00e9 x"
 
 
 def test_pages(spark):
