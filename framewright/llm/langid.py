@@ -11,7 +11,7 @@ runs of words of its longer ones, one of each, from a place given by the hash.
 
 A document's language is the one with the largest mean posterior over its words; that mean is its score.
 
-Defined cases: null text, or text without a letter, is ``und`` with score 0; so is every text if no language was learned;
+Chains are whole texts, in bounded memory.  Defined cases: null text, or text without a letter, is ``und`` with score 0; so is every text if no language was learned;
 rows with null language teach nothing; ties go to the language that sorts first; repeated rows are labelled each.
 """
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +32,19 @@ from framewright.llm.common import crc_mod, ragged, segment_sum, subword_buckets
 BITS = 18
 SIZES = (2, 3)
 AFFIXES = (1, 2, 3, 4)
-CHAIN = 64
+#: Words that are worked through at once; chains are whole texts, however long.
+STEP = 64
 LEXICON = 300
 _words = re.compile(r"[^\W\d_]+").findall
+_letters = regex.compile(r"\p{L}+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    return _words((text or "").lower())
+    """Runs of letters (Unicode's categories L), lower-cased; numerals of all kinds are no letters."""
+    found = _words((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in ([w] if w.isalpha() else _letters(w))]
 
 
 def forward_backward(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +91,73 @@ def pair_posteriors(emit, trans, start, lens, post_alpha):  # noqa: D103  expect
     return out
 
 
+def posteriors(emit: np.ndarray, flat: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start: np.ndarray, slab: int = 4096) -> np.ndarray:
+    """Posterior of every word of chains laid end to end: word i has the scores ``emit[flat[i]]``, chain k has ``sizes[k]`` words.
+
+    Chains are whole.  They are worked through in blocks of STEP words: each block's product of transitions and emissions
+    is found for many blocks at once, passed on from block to block of a chain in both directions, and then each block
+    is run forward and backward between what comes in on either side.
+    """
+    labels = len(start)
+    post = np.zeros((len(flat), labels))
+    n_blocks = -(-sizes // STEP)
+    owner = np.repeat(np.arange(len(sizes)), n_blocks)
+    k = ragged(np.zeros(len(sizes), np.int64), n_blocks)
+    begin = (np.cumsum(sizes) - sizes)[owner] + k * STEP
+    lens = np.minimum(STEP, sizes[owner] - k * STEP)
+    tr, st = np.exp(trans), np.exp(start)
+    total = len(owner)
+
+    def scores(at: slice) -> np.ndarray:
+        """Emissions of blocks, step by step, the best label's being 1; steps past a block's end repeat its last word."""
+        n, b = lens[at], begin[at]
+        e = emit[flat[np.minimum(b[None, :] + np.arange(int(n.max()))[:, None], (b + n - 1)[None, :])]]
+        return np.exp(e - e.max(axis=2, keepdims=True))
+
+    # a chain's first block begins with the start weights whatever comes in, so its product has equal rows
+    whole = np.zeros((total, labels, labels))
+    for lo in range(0, total, slab):
+        at = slice(lo, min(total, lo + slab))
+        e, n = scores(at), lens[at]
+        first = (k[at] == 0)[:, None, None]
+        m = np.where(first, st[None, None, :], tr[None]) * e[0][:, None, :]
+        for t in range(1, len(e)):
+            go = np.flatnonzero(n > t)
+            nxt = (m[go] @ tr) * e[t, go][:, None, :]
+            m[go] = nxt / nxt.sum(axis=(1, 2), keepdims=True)
+        whole[at] = m
+    come, back = np.full((total, labels), 1.0 / labels), np.full((total, labels), 1.0 / labels)
+    first_of = np.cumsum(n_blocks) - n_blocks
+    for step in range(1, int(n_blocks.max()) if len(sizes) else 0):
+        on = first_of[n_blocks > step] + step  # from the block before
+        v = np.einsum("bi,bij->bj", come[on - 1], whole[on - 1])
+        come[on] = v / v.sum(axis=1, keepdims=True)
+        off = first_of[n_blocks > step] + n_blocks[n_blocks > step] - 1 - step  # from the block after
+        v = np.einsum("bij,bj->bi", whole[off + 1], back[off + 1])
+        back[off] = v / v.sum(axis=1, keepdims=True)
+    for lo in range(0, total, slab):
+        at = slice(lo, min(total, lo + slab))
+        e, n = scores(at), lens[at]
+        alpha, beta = np.zeros_like(e), np.zeros_like(e)
+        a = np.where((k[at] == 0)[:, None], st[None, :], come[at] @ tr) * e[0]
+        alpha[0] = a / a.sum(axis=1, keepdims=True)
+        for t in range(1, len(e)):
+            go = np.flatnonzero(n > t)
+            a = (alpha[t - 1, go] @ tr) * e[t, go]
+            alpha[t, go] = a / a.sum(axis=1, keepdims=True)
+        for t in range(len(e) - 1, -1, -1):
+            end = np.flatnonzero(n == t + 1)
+            beta[t, end] = back[at][end]
+            if len(go := np.flatnonzero(n > t + 1)):
+                b = (beta[t + 1, go] * e[t + 1, go]) @ tr.T
+                beta[t, go] = b / b.sum(axis=1, keepdims=True)
+        p = alpha * beta
+        ok = np.arange(len(e))[:, None] < n[None, :]
+        where = (begin[at][None, :] + np.arange(len(e))[:, None])[ok]
+        post[where] = p[ok] / p[ok].sum(axis=1, keepdims=True)
+    return post
+
+
 class Model:
     def __init__(self, labels: list[str], lexicon: list[frozenset[str]]):
         self.labels, self.lexicon = labels, lexicon
@@ -110,22 +184,7 @@ class Model:
         emit = self.emissions(list(index))
         flat = np.concatenate([np.zeros(0, np.int64), *at])
         sizes = np.array([len(a) for a in at], np.int64)
-        # chains of at most CHAIN words, longest first
-        n_chain = -(-sizes // CHAIN)
-        owner = np.repeat(np.arange(len(at)), n_chain)
-        k = ragged(np.zeros(len(at), np.int64), n_chain)
-        begin = (np.cumsum(sizes) - sizes)[owner] + k * CHAIN
-        lens = np.minimum(CHAIN, sizes[owner] - k * CHAIN)
-        post = np.zeros((len(flat), len(self.labels)))
-        order = np.argsort(-lens, kind="stable")
-        for lo in range(0, len(order), 4096):
-            c = order[lo : lo + 4096]
-            n, b = lens[c], begin[c]
-            steps = int(n[0])
-            pos = np.minimum(b[None, :] + np.arange(steps)[:, None], b[None, :] + n[None, :] - 1)
-            p, _ = forward_backward(emit[flat[pos]], self.trans, self.start, n)
-            ok = np.arange(steps)[:, None] < n[None, :]
-            post[pos[ok]] = p[ok]
+        post = posteriors(emit, flat, sizes, self.trans, self.start)
         return np.split(post, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

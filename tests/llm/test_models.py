@@ -69,6 +69,27 @@ def toxic_rows(prose, n=120):
     return rows, labels
 
 
+def test_posteriors_of_whole_chains():
+    """Blocks passed on from one to the next give what one pass over the whole chain gives."""
+    r = np.random.default_rng(12)
+    sizes = np.array([1, 63, 64, 65, 500, 0, 129])
+    emit, flat = r.normal(0, 3, (40, 3)), r.integers(0, 40, sizes.sum())
+    trans, start = r.normal(0, 2, (3, 3)), r.normal(0, 1, 3)
+    for slab in (2, 4096):
+        got = langid.posteriors(emit, flat, sizes, trans, start, slab)
+        at = 0
+        for n in sizes.tolist():
+            if n:
+                want, _ = langid.forward_backward(emit[flat[at : at + n]][:, None, :], trans, start, np.array([n]))
+                assert np.allclose(got[at : at + n], want[:, 0], atol=1e-9)
+            at += n
+    assert langid.posteriors(emit, flat[:0], sizes[:0], trans, start).shape == (0, 3)
+
+
+def test_numerals_are_no_letters():
+    assert langid.words_of("\u00b2 \u00bd \u2167 \u0663 12 _") == [] and langid.words_of("A\u00b2b \u00c9t\u00e9") == ["a", "b", "\u00e9t\u00e9"]
+
+
 def test_toxic_documents_and_misspellings(spark, make_docs, prose):
     rows, labels = toxic_rows(prose)
     docs = make_docs([*rows, (500, "the idiiot was there"), (501, prose(501)), (502, None), (503, ""), (504, "of moronn and")])
