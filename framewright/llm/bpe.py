@@ -4,8 +4,8 @@ Every text is split by the tokenizer's pattern.  The distinct pieces of a batch
 one matrix for each length bucket.  In each round every row merges its leftmost pair of least rank; pairs are looked up
 in an open-addressing hash table held in numpy arrays, and rows that have no pair left are compacted away.
 
-Pieces of ``LONG`` bytes or more (a matrix of a few such rows would be rebuilt thousands of times) follow the same rule,
-least rank first and leftmost among equals, with a heap over a linked list.
+A piece of ``LONG`` bytes or more is a matrix of one row.  There a round merges all places of the least rank at once
+wherever this comes to the same as merging the leftmost of them round by round, so rounds are as many as different ranks.
 
 Defined cases: null text counts as the empty text, which has no ids; repeated rows are encoded each; columns other than
 the id and the text are ignored, whatever their names.
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -147,29 +146,34 @@ class ByteBPE:
             out[i] = row[row >= 0].tolist()
 
     def _encode_long(self, piece: bytes) -> list[int]:
+        """One long row: a round merges all places of the least rank from the left, where that is what rounds of one merge each come to.
+
+        It is, unless a merge makes a pair of a lesser rank than its own (with the token before it as it is by then, or with
+        the token after it as it is before its own merge): then the round merges the leftmost place only.
+        """
         ids = self.byte_id[np.frombuffer(piece, np.uint8)]
-        n = len(ids)
-        first = self.pairs.get(ids[:-1], ids[1:])
-        heap = [(int(r), i) for i, r in enumerate(first.tolist()) if r != NONE]
-        heapq.heapify(heap)
-        ids = ids.tolist()
-        nxt, prev, rank = list(range(1, n + 1)), list(range(-1, n - 1)), first.tolist() + [int(NONE)]
-        look = lambda a, b: self.ranks.get(self.bytes_of[a] + self.bytes_of[b], int(NONE))
-        while heap:
-            r, i = heapq.heappop(heap)
-            if rank[i] != r:
-                continue
-            j = nxt[i]
-            ids[i], nxt[i], rank[j] = r, nxt[j], -1
-            ids[j] = -1
-            if nxt[j] < n:
-                prev[nxt[j]] = i
-            for k in (prev[i], i):
-                if k >= 0:
-                    rank[k] = look(ids[k], ids[nxt[k]]) if nxt[k] < n else int(NONE)
-                    if rank[k] != NONE:
-                        heapq.heappush(heap, (rank[k], k))
-        return [x for x in ids if x >= 0]
+        rank = self.pairs.get(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            if len(at) > 1:  # of places that overlap every other one, from the left of each run
+                run = np.flatnonzero(np.append(True, np.diff(at) > 1))
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+                token = np.full(len(at), best, np.int32)
+                before = np.where(at > 0, ids[np.maximum(at - 1, 0)], -1)
+                before[1:][at[1:] == at[:-1] + 2] = best
+                after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+                if min(self.pairs.get(before, token).min(), self.pairs.get(token, after).min()) < best:
+                    at = at[:1]
+            ids[at] = best
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            new = at - np.arange(len(at))  # where the merged tokens come to stand
+            rank = rank[stay[1:]]  # a pair goes with its right token
+            ids = ids[stay]
+            touched = np.unique(np.concatenate([new - 1, new]))
+            touched = touched[(touched >= 0) & (touched < len(rank))]
+            rank[touched] = self.pairs.get(ids[touched], ids[touched + 1])
+        return ids.tolist()
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode the pieces that aren't remembered; remember each with its ids as text, their decoded bytes, and the ids packed."""

@@ -29,6 +29,15 @@ def test_ids_are_those_of_the_library_and_decode_back(both, prose):
         assert b.encode(t) == want
 
 
+def test_long_pieces_in_rounds_of_many_merges(both):
+    b, lib = both
+    r = random.Random(2)
+    for alphabet in ("ab", "abc", "aeiou", "etaoinshr", "theTHEing", "éa", "日本a"):
+        for n in (2100, 3500, 9000):
+            t = "".join(r.choice(alphabet) for _ in range(n))
+            assert b._encode_long(t.encode()) == lib.encode_ordinary(t)
+
+
 def test_query_columns_nulls_and_repeats(spark, make_docs):
     docs = make_docs([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x")])
     rows = bpe.encode(docs, PATH, P.PATTERN).collect()
