@@ -2,15 +2,16 @@
 
 Every row has a string of hash bits: 32 of its key, then 32 of its key and text.  The directory is indexed by a prefix of
 them.  A bucket whose rows exceed the byte limit is split on the next bit, and only such a bucket; so a row's shard is the
-shortest prefix of its bits whose bucket, and no bucket above it, is over the limit.  Bytes are summed once for each
-string of bits and rolled up to all shorter prefixes, both with combining aggregations: no key is gathered.
+shortest prefix of its bits whose bucket is within the limit.  Bytes are summed once for each string of bits and then by
+prefix, a few bits at a time from the top, for the strings that are still in buckets over the limit: no key is gathered.
 
 Rows that share all bits are equal in key and text (or collide), so bits cannot part them.  If together they are over the
 limit they are dealt in turn: ``piece`` numbers the parts, each within the limit where one row is.  A single row over the
 limit is a shard of its own.
 
 Defined cases: null keys and null texts hash as the empty string, and a null text has no bytes; an empty table has no
-shards; repeated rows are all kept; columns named like the added ones are replaced.
+shards; repeated rows are all kept; columns named like the
+added ones (shard, depth, n_bytes) are replaced, no others; very long texts are rows like others.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import cut
+from framewright.llm.common import cut, unused
 
-HALF = 32
+BITS = 64
+#: Bits by which the directory grows before it is looked at again.
+ROUND = 4
 
 
 def bits_of(text: Column) -> Column:
@@ -28,46 +31,50 @@ def bits_of(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def directory(rows: DataFrame, limit: int) -> DataFrame:
-    """(high, low, depth): how many bits name the shard of each string of bits that occurs."""
-    cells = rows.groupBy("high", "low").agg(F.sum("_bytes").alias("bytes"))
-    # half of the bits settle nearly all; only cells whose 32-bit bucket is still too large go on to the other half
-    def settle(cells: DataFrame, col: str, base: list[str]) -> DataFrame:
-        at = cells.groupBy(*base, col).agg(F.sum("bytes").alias("bytes"))
-        level = F.explode(F.sequence(F.lit(0), F.lit(HALF))).alias("depth")
-        prefix = F.expr(f"shiftright({col}, {HALF} - depth)").alias("prefix")
-        up = at.select(*base, col, "bytes", level).select(*base, col, "depth", prefix, "bytes")
-        fits = up.groupBy(*base, "depth", "prefix").agg(F.sum("bytes").alias("sum")).where(F.col("sum") <= limit).select(*base, "depth", "prefix")
-        keys = up.select(*base, col, "depth", "prefix").join(fits, [*base, "depth", "prefix"])
-        found = keys.groupBy(*base, col).agg(F.min("depth").alias("depth"))
-        return at.select(*base, col).join(found, [*base, col], "left")
-
-    first = cut(settle(cells, "high", []))
-    easy = cells.join(first.where("depth is not null"), "high").select("high", "low", "depth")
-    hard = cells.join(first.where("depth is null").select("high"), "high")
-    second = settle(hard, "low", ["high"]).select("high", "low", (F.coalesce(F.col("depth"), F.lit(HALF)) + HALF).alias("depth"))
-    return easy.unionByName(second)
+def directory(cells: DataFrame, limit: int) -> DataFrame:
+    """(bits, depth): how many bits name the shard of each string of 64 bits, from (bits, bytes), a row a string.
+
+    From the top down: a bucket within the limit is a shard, and only the strings of buckets over it go on to the next
+    bits, ROUND of them at a time.
+    """
+    settled, live, depth = None, cells, 0
+    while True:
+        lo, hi = depth, min(BITS, depth + ROUND)
+        level = F.explode(F.sequence(F.lit(lo if depth == 0 else lo + 1), F.lit(hi))).alias("depth")
+        prefix = F.when(F.col("depth") == 0, F.lit(0)).otherwise(F.expr(f"shiftrightunsigned(bits, cast({BITS} - depth as int))")).alias("prefix")
+        up = live.select("bits", "bytes", level).select("bits", "bytes", "depth", prefix)
+        fits = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("sum")).where(F.col("sum") <= limit).select("depth", "prefix")
+        found = up.select("bits", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("bits").agg(F.min("depth").alias("depth"))
+        seen = cut(live.join(found, "bits", "left"))
+        done = seen.where("depth is not null").select("bits", "depth")
+        live, depth = seen.where("depth is null").select("bits", "bytes"), hi
+        if hi == BITS:
+            done = done.unionByName(live.select("bits", F.lit(BITS).alias("depth")))
+        settled = done if settled is None else settled.unionByName(done)
+        if hi == BITS or not live.take(1):
+            return settled
 
 
 def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with ``shard`` (the bits of its name, then '.piece' where bits did not suffice), ``depth`` and ``n_bytes``."""
+    own = {c: unused(docs, f"shard_{c}") for c in ("bits", "bytes", "depth", "pieces", "place")}  # no column of the rows is touched
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    rows = docs.withColumns({
-        "high": bits_of(k),
-        "low": bits_of(F.concat(k, F.lit("|"), F.coalesce(F.col(text), F.lit("")))),
-        "_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"),
-    })
-    names = directory(rows.select("high", "low", "_bytes"), limit)
-    full = F.lpad(F.conv(F.col("high").cast("string"), 10, 2), HALF, "0"), F.lpad(F.conv(F.col("low").cast("string"), 10, 2), HALF, "0")
-    placed = rows.join(names, ["high", "low"]).withColumn("name", F.substring(F.concat(*full), F.lit(1), F.col("depth")))
-    # rows alike in all bits and over the limit: as many pieces as the limit asks for, rows dealt by a hash of their place
-    alike = rows.groupBy("high", "low").agg(F.sum("_bytes").alias("sum"), F.count("*").alias("n"), F.max("_bytes").alias("most")).where((F.col("sum") > limit) & (F.col("n") > 1))
-    alike = alike.select("high", "low", F.ceil(F.col("n") / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("most"), F.lit(1))))).alias("pieces"))
-    dealt = placed.join(alike, ["high", "low"], "left")
-    piece = F.when(F.col("pieces") > 1, F.concat(F.lit("."), F.pmod(F.col("_at"), F.col("pieces")).cast("string"))).otherwise(F.lit(""))
-    out = dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("shard", F.concat("name", piece))
+    bits = F.shiftleft(bits_of(k), 32).bitwiseOR(bits_of(F.concat(k, F.lit("|"), F.coalesce(F.col(text), F.lit("")))))
+    rows = docs.withColumns({own["bits"]: bits, own["bytes"]: F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")})
+    size = F.col(own["bytes"])
+    cells = rows.groupBy(F.col(own["bits"]).alias("bits")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"), F.max(size).alias("most"))
+    cells = cut(cells)
+    names = directory(cells.select("bits", "bytes"), limit)
+    # rows alike in all bits and over the limit: as many pieces as the limit asks for, rows dealt by their place
+    fair = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("most"), F.lit(1))))
+    alike = cells.where((F.col("bytes") > limit) & (F.col("n") > 1)).select("bits", F.ceil(F.col("n") / fair).alias("pieces"))
+    names = names.join(alike, "bits", "left").withColumnsRenamed({"bits": own["bits"], "depth": own["depth"], "pieces": own["pieces"]})
+    placed = rows.join(names, own["bits"]).withColumn(own["place"], F.monotonically_increasing_id())
+    full = F.lpad(F.bin(own["bits"]), BITS, "0")
+    piece = F.when(F.col(own["pieces"]) > 1, F.concat(F.lit("."), F.pmod(F.col(own["place"]), F.col(own["pieces"])).cast("string"))).otherwise(F.lit(""))
+    name = F.concat(F.substring(full, F.lit(1), F.col(own["depth"])), piece)
     keep = [c for c in docs.columns if c not in ("shard", "depth", "n_bytes")]
-    return out.select(*keep, "shard", F.col("depth").cast("int").alias("depth"), F.col("_bytes").alias("n_bytes"))
+    return placed.select(*keep, name.alias("shard"), F.col(own["depth"]).cast("int").alias("depth"), F.col(own["bytes"]).alias("n_bytes"))
 
 
 def oracle(limit: int) -> str:
