@@ -7,15 +7,22 @@ often (perhaps never), and all copies are shuffled globally by a hash.  The same
 Shares count rows.  Groups without a stated weight share what the stated ones leave in proportion to their rows; with
 ``others`` they keep the share they have, and the stated ones present divide the rest by their weights.
 
-Defined cases: a null group is a group of its own (without a stated weight); documents with the same id and text are
-repeated alike; an empty table gives an empty mixture; columns named like the added ones are replaced.
+Defined cases: a null group is a group of its own (without a stated weight); documents with the same id are repeated
+alike, those without an id by all their columns; any rate is drawn exactly, at a cost of its logarithm a document and of
+the copies made; an empty table gives an empty mixture; columns named like the added ones (copy, copies, shuffle_key) are
+replaced, no others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.common import unused
+
+#: Groups whose distributions are broadcast at most.
+SMALL = 10_000
+
 
 def uniform(text: Column) -> Column:
     """A number in (0, 1) from the first 48 bits of an MD5 digest."""
@@ -41,32 +48,52 @@ def rates(docs: DataFrame, weights: dict[str, float], group: str, others: bool =
 
 
 def thresholds(rate: DataFrame) -> DataFrame:
-    """(_g, _steps): the distribution function of each group at 0, 1, 2, ... as far as a double can tell it from 1."""
+    """(_g, _steps): the distribution function of each group at 0, 1, 2, ... as far as a double can tell it from 1.
+
+    The terms are rows, so logarithms of factorials and probabilities are running sums: the work grows with the rate.
+    """
     top = F.ceil(F.col("_rate") + 12 * F.sqrt("_rate") + 24).cast("int")
-    log_p = lambda k: k * F.log("_rate") - F.col("_rate") - F.col("_lf")[k.cast("int")]
-    # logarithms of factorials, summed once a group
-    facts = F.aggregate(F.sequence(F.lit(1), "_top"), F.array(F.lit(0.0)), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + F.log(k.cast("double")))))
-    steps = F.aggregate(
-        F.sequence(F.lit(0), "_top"), F.array(F.lit(0.0)), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + F.exp(log_p(k.cast("double")))))
-    )
-    out = rate.withColumn("_top", top).withColumn("_lf", facts).withColumn("_steps", F.slice(steps, 2, 2_000_000_000))
-    return out.select("_g", F.when(F.col("_rate") > 0, F.col("_steps")).otherwise(F.array(F.lit(1.0))).alias("_steps"))
+    term = rate.where("_rate > 0").select("_g", "_rate", F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    w = Window.partitionBy("_g").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    term = term.withColumn("_lf", F.sum(F.log(F.greatest(F.lit(1), F.col("k")).cast("double"))).over(w))
+    term = term.withColumn("f", F.sum(F.exp(F.col("k") * F.log("_rate") - F.col("_rate") - F.col("_lf"))).over(w))
+    some = term.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "f"))), lambda s: s["f"]).alias("_steps"))
+    return some.unionByName(rate.where(~F.coalesce(F.col("_rate") > 0, F.lit(False))).select("_g", F.array(F.lit(1.0)).alias("_steps")))
+
+
+def below(steps: Column, u: Column) -> Column:
+    """How many of the rising steps are less than u, by halving: as many looks as the number of steps has bits."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(steps).alias("hi"))
+    bits = F.sequence(F.lit(1), F.ceil(F.log2(F.size(steps) + 1)).cast("int") + 1)
+
+    def look(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        less = (s["lo"] < s["hi"]) & (F.element_at(steps, F.least(mid + 1, F.size(steps))) < u)
+        return F.struct(F.when(less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(less | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(bits, start, look, lambda s: s["lo"])
 
 
-def mix(docs: DataFrame, weights: dict[str, float], group: str, seed: str = "mix", key: str = "doc_id", text: str = "text", shuffle: bool = True, others: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], group: str, seed: str = "mix", key: str = "doc_id", shuffle: bool = True, others: bool = False) -> DataFrame:
     """The rows of ``docs``, each as often as its draw says, with ``copy`` (from 0), ``copies`` and ``shuffle_key``.
 
-    The distribution is one short array for each group, as many as there are groups; it is joined, and broadcast only if
-    Spark measures it to be small.
+    The distribution is one array for each group.  Up to SMALL groups it is broadcast, so no row moves before the draw;
+    more groups are joined.  The shuffle deals copies by a hash of ``shuffle_key`` and sorts each part by it.
     """
     steps = thresholds(rates(docs, weights, group, others))
-    salt = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    drawn = docs.join(steps, docs[group].eqNullSafe(steps["_g"])).withColumn("_u", uniform(salt))
-    n = F.size(F.filter("_steps", lambda s: s < F.col("_u")))
+    if docs.select(group).distinct().limit(SMALL + 1).count() <= SMALL:
+        steps = F.broadcast(steps)
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    who = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("|"), F.xxhash64(*hashed).cast("string")))
+    added = {k: unused(docs, k) for k in ("steps", "who", "u")}
+    steps = steps.withColumnsRenamed({"_g": (g := unused(docs, "group_of_steps")), "_steps": added["steps"]})
+    drawn = docs.withColumn(added["who"], who).join(steps, F.col(group).eqNullSafe(F.col(g)))
+    drawn = drawn.withColumn(added["u"], uniform(F.concat(F.lit(f"{seed}|"), F.col(added["who"]))))
     keep = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key")]
-    out = drawn.withColumn("copies", n).where("copies > 0").select(*keep, "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    out = out.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}|order|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.col("copy").cast("string"))))
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
+    out = drawn.withColumn("copies", below(F.col(added["steps"]), F.col(added["u"]))).where("copies > 0")
+    out = out.select(*keep, "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col(added["who"]))
+    out = out.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}|order|"), F.col(added["who"]), F.lit("|"), F.col("copy").cast("string")))).drop(added["who"])
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
 
 
 def oracle(weights: dict[str, float], group: str, seed: str = "mix") -> str:

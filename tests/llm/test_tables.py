@@ -33,6 +33,13 @@ def test_rows_alike_in_all_bits_are_dealt(spark, make_docs):
     assert len(got) == 40 and len(size) >= 8
 
 
+def test_own_columns_stay_as_they_are(spark, make_docs):
+    docs = make_docs([(i, "x" * 100) for i in range(30)]).withColumnsRenamed({"component": "name", "source": "high", "lang": "bits", "score": "shard_bits"})
+    got = sharding.shard(docs.selectExpr("*", "7 as depth", "'l' as low"), 500)
+    assert got.columns == [*docs.columns, "low", "shard", "depth", "n_bytes"]
+    assert {(r.name, r.high, r.bits, r.shard_bits, r.low) for r in got.collect()} == {("x", None, "en", 2.0, "l")}
+
+
 def brute_copies(u, rate):
     k, p = 0, math.exp(-rate)
     f = p
@@ -52,12 +59,31 @@ def test_copies_invert_the_poisson_distribution(spark, make_docs):
     for r in got.collect():
         assert r.copy < r.copies
         have[(r.doc_id, r.lang)] = have.get((r.doc_id, r.lang), 0) + 1
-    for i, lang in [(i, "en" if i < 200 else "fr") for i in range(300)] + [(None, None)]:
-        u = (int(hashlib.md5(f"mix|{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+    for i, lang in [(i, "en" if i < 200 else "fr") for i in range(300)]:
+        u = (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
         assert have.get((i, lang), 0) == brute_copies(u, rate[lang])
     assert mixing.mix(docs.limit(0), {"en": 1.0}, "lang").count() == 0
 
 
+def test_rows_without_an_id_draw_by_their_columns(spark, make_docs):
+    docs = make_docs([(None, f"text {i % 40}") for i in range(80)])
+    n = {}
+    for r in mixing.mix(docs, {"en": 1.0}, "lang").collect():
+        n[r.text] = n.get(r.text, 0) + 1
+    assert len(set(n.values())) > 1 and all(v % 2 == 0 for v in n.values())  # the two of a text alike, texts apart
+    own = docs.withColumnsRenamed({"component": "_steps", "score": "steps"}).selectExpr("*", "map(1, 2) as who")
+    assert mixing.mix(own, {"en": 1.0}, "lang").columns == [*own.columns, "copies", "copy", "shuffle_key"]
+
+
+def test_high_rates_are_drawn_by_halving(spark, make_docs):
+    docs = make_docs([(0, "x")], "fr").union(make_docs([(i, "x") for i in range(1, 4000)], "en"))
+    got = mixing.mix(docs, {"fr": 0.75}, "lang", shuffle=False).where("lang = 'fr'").count()  # a mean of 3,000
+    assert abs(got - 3000) < 6 * 3000**0.5
+    steps = [0.1, 0.2, 0.2, 0.7, 0.95]
+    d = spark.createDataFrame([(float(u), steps) for u in (0.05, 0.1, 0.15, 0.2, 0.3, 0.94, 0.95, 0.99)], "u double, s array<double>")
+    assert [r.n for r in d.select(mixing.below(d.s, d.u).alias("n")).collect()] == [sum(x < u for x in steps) for u in (0.05, 0.1, 0.15, 0.2, 0.3, 0.94, 0.95, 0.99)]
+
+
 def tune(seed, n=70):
     r = np.random.default_rng(seed)
     return r.normal(size=n).tolist()
