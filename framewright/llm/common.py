@@ -116,14 +116,30 @@ def subword_buckets(words: list[str], sizes: tuple[int, ...], bits: int, affixes
     return (f[order] >> np.uint64(64 - bits)).astype(np.int64), np.bincount(o, minlength=len(raw)).astype(np.int64)
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write the rows as a compressed table in the shared checkpoint folder and read them from there."""
+def stash(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Write the rows as a compressed table in the shared checkpoint folder and read them from there; ``paths`` gets its place."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove stashed tables that nothing reads any more."""
+    sc = spark.sparkContext
+    for path in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """The rows, marked for broadcast if they are ``most`` at most; a larger table is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores before it until no column has it (names differ by more than case)."""
     taken = {c.lower() for c in df.columns}

@@ -29,18 +29,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import MIX, mix64, ragged, stash, tidied, unused
+from framewright.llm.common import MIX, drop_tables, few, mix64, ragged, stash, tidied, unused
 from framewright.llm.graph import components
 from framewright.llm.simhash import majority, plan, shingle_hashes
 
 RADIUS = 14
 WORDS = 4  # of 64 bits, in the wide fingerprint
-#: Bits of the wide fingerprint that may differ: at a similarity of 0.8 they are 39, with a standard deviation of 6.
-WIDE_RADIUS = 64
+#: Bits of the wide fingerprint that may differ: at a similarity of 0.8 they are 39, with a standard deviation of 5.7.
+WIDE_RADIUS = 56
 SAMPLE = 20_000
+#: Rows (an id and a hash) that are broadcast at most.
+SMALL = 200_000
 PARTNERS = 8
 ROUNDS = 4
 #: Nodes of one task's block, about.
@@ -147,7 +149,7 @@ def chosen(x: np.ndarray, y: np.ndarray, salt: int, most: int) -> tuple[np.ndarr
     return order[rank < most], np.unique(x[order[rank >= most]])
 
 
-def _search(asking: DataFrame, nodes: DataFrame, parts: list[tuple[list[int], int]], n_nodes: int, radius: int, least: float, salt: int, most: int) -> DataFrame:
+def _search(asking: DataFrame, nodes: DataFrame, parts: list[tuple[list[int], int]], n_nodes: int, radius: int, least: float, salt: int, most: int, paths: list[str]) -> DataFrame:
     """(a, b) candidates of different components, and (a, null) for nodes that have more than ``most``."""
     cols = ["s", "n", "c", *[f"w{k}" for k in range(WORDS)]]
     lead = max(0, int(np.ceil(np.log2(max(1.0, n_nodes / (8 * BLOCK))))))  # leading bits of the key that deal a part's nodes
@@ -163,7 +165,7 @@ def _search(asking: DataFrame, nodes: DataFrame, parts: list[tuple[list[int], in
     index, probe = (reduce(DataFrame.unionByName, x) for x in (right, left))
     on = ["part", "band", "cell"]
     # crowded cells are compared in blocks
-    crowd = stash(index.groupBy(*on).agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select(*on, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    crowd = stash(index.groupBy(*on).agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select(*on, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), paths)
     if crowd.take(1):
         index = index.join(crowd, on, "left").withColumn("j", F.pmod(F.xxhash64("s"), F.coalesce("blocks", F.lit(1))).cast("int"))
         index = index.withColumn("i", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
@@ -184,7 +186,11 @@ def _search(asking: DataFrame, nodes: DataFrame, parts: list[tuple[list[int], in
         more = np.arange(len(a)) >= len(a) - len(extra)
         return pa.table({"a": pa.array(a), "b": pa.array(b, mask=more)})
 
-    return probe.groupBy(*on).cogroup(index.groupBy(*on)).applyInArrow(compare, "a bigint, b bigint")
+    found = probe.groupBy(*on).cogroup(index.groupBy(*on)).applyInArrow(compare, "a bigint, b bigint").distinct()
+    # of what several blocks name for a node again ``most``: as many rows a node as blocks that it is in times that
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("b").isNull().desc(), F.xxhash64("b", F.lit(salt))))
+    ranked = found.withColumn("rank", rank)
+    return ranked.where((F.col("rank") <= most) | F.col("b").isNull()).select("a", "b").unionByName(ranked.where(F.col("rank") == most + 1).select("a", F.lit(None).cast("bigint").alias("b")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -216,10 +222,12 @@ def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = R
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), size).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], names=["s", "found"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    named = stash(rows.mapInArrow(tidied(name), f"doc_id {kind}, text_hash bigint, s bigint, n bigint, " + ", ".join(f"{w} bigint" for w in wide)))
+    paths: list[str] = []  # tables that go before this function ends
+    named = stash(rows.mapInArrow(tidied(name), f"doc_id {kind}, text_hash bigint, s bigint, n bigint, " + ", ".join(f"{w} bigint" for w in wide)), paths)
     step = -np.log(least) * 1.000001  # sets that are similar are in the same band of sizes or in neighbouring ones
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(float(step))).cast("int")
-    nodes = stash(named.groupBy("s").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), *[F.first(c).alias(c) for c in ("n", *wide)]).withColumn("band", band))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    nodes = stash(named.groupBy("s").agg(first, *[F.first(c).alias(c) for c in ("n", *wide)]).withColumn("band", band), paths)
     worded = nodes.where("n > 0").drop("first")
     sizes = {r.band: r.k for r in worded.groupBy("band").agg(F.count("*").alias("k")).collect()}  # some dozens of rows
     n_nodes = sum(sizes.values())
@@ -229,9 +237,9 @@ def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = R
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-        wanted = nodes.join(ids, "s").select("s", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_h"))
+        wanted = few(nodes.join(ids, "s").select("s", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_h")), SMALL)
         texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted._d) & (rows.text_hash == wanted._h)).select("s", "text")
-        return stash(texts.mapInArrow(tidied(whole), "s bigint, found array<bigint>").dropDuplicates(["s"]))
+        return stash(texts.mapInArrow(tidied(whole), "s bigint, found array<bigint>").dropDuplicates(["s"]), paths)
 
     links, label, left = None, None, None
     for k in range(ROUNDS + 1):
@@ -244,22 +252,33 @@ def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = R
             new = dealt.join(centre, ["part", "key", "band"]).where((F.col("s") != F.col("b")) & (far <= WIDE_RADIUS)).select(F.col("s").alias("a"), "b")
         else:
             asking = here if left is None else here.join(left, "s", "left_semi")
-            new = stash(_search(asking, here, parts, n_nodes, radius, least, k, PARTNERS if k < ROUNDS else 2**62))
+            new = stash(_search(asking, here, parts, n_nodes, radius, least, k, PARTNERS if k < ROUNDS else 2**31 - 2, paths), paths)
             left = new.where("b is null").select(F.col("a").alias("s")).distinct()
             new = new.where("b is not null")
-        pairs = stash(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = stash(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), paths)
         if pairs.take(1):
             good = _verified(pairs, sets_of(pairs), least)
-            links = stash(good if links is None else links.unionByName(good).distinct())
+            links = stash(good if links is None else links.unionByName(good).distinct(), paths)
             label = components(links).select(F.col("node").alias("s"), F.col("component").alias("c"))
         if left is not None and not left.take(1):
             break
     group = nodes if label is None else nodes.join(label, "s", "left")
     group = group.withColumn("g", F.col("s") if label is None else F.coalesce("c", "s"))
-    stay = group.groupBy("g").agg(F.min("first").alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_h")).distinct()
+    key = ["doc_id", "text_hash"]
+    stay = group.groupBy("g").agg(F.min("first").alias("k")).select("k.doc_id", "k.text_hash", F.lit(1).alias("stays")).distinct()
+    seen = named.groupBy(*key).agg(F.count("*").alias("times"))
+    same = seen.doc_id.eqNullSafe(stay.doc_id) & (seen.text_hash == stay.text_hash)
+    out = seen.join(stay, same, "left").select(seen.doc_id.alias("_d"), seen.text_hash.alias("_h"), "times", "stays")
+    repeated = out.where("stays = 1 and times > 1").limit(1).count() > 0
+    gone = stash(out.where("stays is null").select("_d", "_h"))
+    drop_tables(docs.sparkSession, paths)
+    gone = few(gone, SMALL)
     mark = unused(docs, "text_hash")
-    kept = docs.join(stay, docs.doc_id.eqNullSafe(stay._d) & (F.xxhash64(docs.text) == stay._h)).select(docs["*"], stay._h.alias(mark))
-    return kept.dropDuplicates(["doc_id", mark]).drop(mark)
+    kept = docs.withColumn(mark, F.xxhash64("text"))
+    kept = kept.join(gone, kept["doc_id"].eqNullSafe(gone["_d"]) & (kept[mark] == gone["_h"]), "left_anti")
+    if repeated:  # of rows alike in id and text one stays
+        kept = kept.dropDuplicates(["doc_id", mark])
+    return kept.drop(mark)
 
 
 def brute_groups(texts: list[str | None], size: int = 5, least: float = 0.8) -> list[int]:
