@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import MIX, mix64, stash, tidied
+from framewright.llm.common import MIX, drop_tables, mix64, stash, tidied
 from framewright.llm.esais import Suffixes
 
 LENGTH = 400
@@ -256,18 +256,20 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 2 <
                     names=["doc_id", "text_hash", "name", "digest", "start", "windows", "twice", *["bytes"] * words],
                 )
 
-    found = stash(rows.mapInArrow(tidied(cut_up), f"doc_id {kind}, text_hash bigint, name bigint, digest bigint, start bigint, windows int, twice boolean{sized}"))
+    paths: list[str] = []  # tables that go before this function ends
+    found = stash(rows.mapInArrow(tidied(cut_up), f"doc_id {kind}, text_hash bigint, name bigint, digest bigint, start bigint, windows int, twice boolean{sized}"), paths)
     # one row for each different region of a name, with one of the places where it stands
     content = found.groupBy("name", "digest").agg(F.count("*").alias("times"), F.min(F.struct("start", "text_hash", "doc_id")).alias("at"), F.first("windows").alias("windows"), F.bool_or("twice").alias("twice"), *[F.first("bytes").alias("bytes")] * words)
     size_of = F.col("bytes").cast("bigint") if words else F.col("windows") + length - 1
     names = content.groupBy("name").agg(F.count("*").alias("different"), F.sum("times").alias("total"), F.sum(size_of).alias("size"), F.bool_or("twice").alias("any_twice")).where("total > 1 or any_twice")
-    kept = stash(content.join(names, "name").select("name", "digest", "times", "at", "windows", *["bytes"] * words, "size", (F.col("any_twice") | (F.col("different") > 1)).alias("open")))
+    kept = stash(content.join(names, "name").select("name", "digest", "times", "at", "windows", *["bytes"] * words, "size", (F.col("any_twice") | (F.col("different") > 1)).alias("open")), paths)
     whole = found.join(kept.where("times > 1").select("name", "digest"), ["name", "digest"]).select("doc_id", "text_hash", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
     # what the suffix order has to decide
     open_ = kept.where("open").select("name", "times", "windows", (F.col("size") > hot_bytes).alias("hot"), "at.*")
     wanted = open_.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_list(F.struct("start", "windows", "name", "times", "hot")).alias("parts"))
-    # of repeated rows one is enough
     texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted._d) & (rows.text_hash == wanted._h)).select("doc_id", "text_hash", "text", "parts")
+    if found.groupBy("doc_id", "text_hash", "start").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        texts = texts.dropDuplicates(["doc_id", "text_hash"])  # of rows alike in id and text one is enough
 
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -337,7 +339,9 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 2 <
 
     single = bodies.repartition(shards, "name").mapInArrow(tidied(sort_shard), f"doc_id {kind}, text_hash bigint, lo bigint, hi bigint")
     ranges = whole.unionByName(single).groupBy("doc_id", "text_hash", "lo").agg(F.max("hi").alias("hi"))  # repeated rows give the same ranges
-    return rows, ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = stash(ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
+    drop_tables(spark, paths)
+    return rows, ranges
 
 
 def _keep(text: bytes, ranges: list[dict] | None, words: bool = False) -> tuple[bytes, int, int]:
@@ -354,7 +358,10 @@ def _keep(text: bytes, ranges: list[dict] | None, words: bool = False) -> tuple[
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left of it) for every row of ``docs``.
+
+    A cut may fall within a UTF-8 character; the digest is of the bytes that are left, ``text`` leaves the pieces out.
+    """
     rows, ranges = removed_ranges(docs, length, **how)
     kind = docs.schema["doc_id"].dataType.simpleString()
     r = ranges.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "ranges")
@@ -362,16 +369,20 @@ def dedup(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, spans, sha = [], [], [], []
+            n, gone, spans, sha, kept = [], [], [], [], []
             for i, text in enumerate(_bytes(b, 1)):
                 left, g, s = _keep(text, b.column(2)[i].as_py())
                 n.append(len(text))
                 gone.append(g)
                 spans.append(s)
                 sha.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept.append(left.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
+            )
 
-    return both.mapInArrow(tidied(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return both.mapInArrow(tidied(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH, words: bool = False, **how) -> DataFrame:
