@@ -4,10 +4,13 @@ A spectrogram is folded into twelve pitch classes a frame, smoothed and normalis
 picture, summed by its integral image; each answers with two bits (a Gray code of its quarter), and sixteen of them make
 one packed 32-bit integer for each place in time.
 
-Recordings are aligned by landmarks (two successive integers, each counted at its first place): the differences of their
-places vote for an offset, and the bit errors of the overlap at the best offset decide.  Recordings with the same
-fingerprint are one class, and only classes are compared: a class is linked to another if they overlap by ``min_overlap``
-integers or more with a bit error rate of ``max_error`` or less.
+Recordings are aligned by landmarks, which are the integers at all their places: the differences of the places of equal
+ones vote for offsets, and the bit errors of the overlaps at the ``offsets`` with most votes decide.  Recordings with the
+same fingerprint are one class, and only classes are compared: a class is linked to another if at such an offset they
+overlap by ``min_overlap`` integers or more with a bit error rate of ``max_error`` or less.
+
+Two recordings that have no integer in common, all 32 bits equal, do not meet.  With bits wrong at random, of 47 integers
+(the tunes of the test tables) at least one is whole in 99.99 % of cases at 5 % of wrong bits, 80 % at 10 %, 23 % at 15 %.
 
 Audio is 16-bit little-endian mono PCM, in a binary column.  The test tables hold no audio, so ``render`` plays a vector
 as a tune (a note for each component); it is a source for the operator and not a part of it.
@@ -154,7 +157,7 @@ def _errors(a: str, b: str, offset: str, n: str) -> F.Column:
     return F.aggregate(xor, F.lit(0), lambda s, x: s + x)
 
 
-def align(prints: DataFrame, is_query, min_overlap: int = 16, max_error: float = 0.15) -> DataFrame:
+def align(prints: DataFrame, is_query, min_overlap: int = 16, max_error: float = 0.15, offsets: int = 3) -> DataFrame:
     """id, n_ints, fp_sha256, class_id, n_links, best_class, best_offset, best_error for every row of ``prints``.
 
     The last four are null for rows that are not queries; n_links counts linked classes other than the row's own.
@@ -162,16 +165,19 @@ def align(prints: DataFrame, is_query, min_overlap: int = 16, max_error: float =
     rows = stash(prints.select("id", "fp", F.sha2(F.array_join("fp", " "), 256).alias("fp_sha256")))
     classes = rows.groupBy("fp_sha256").agg(F.min("id").alias("class_id"), F.max(F.coalesce(is_query(F.col("id")), F.lit(False))).alias("asked"), F.first("fp").alias("fp"))
     classes = stash(classes)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("fp") - 1), lambda i: F.shiftleft(F.element_at("fp", i).cast("bigint"), 32).bitwiseOR(F.element_at("fp", i + 1).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))
-    marks = classes.where(F.size("fp") >= max(2, min_overlap)).select("class_id", "asked", F.posexplode(pairs).alias("pos", "mark")).groupBy("class_id", "asked", "mark").agg(F.min("pos").alias("pos"))
+    # every integer at every place is a landmark
+    marks = classes.where(F.size("fp") >= min_overlap).select("class_id", "asked", F.posexplode("fp").alias("pos", "mark"))
     q = marks.where("asked").select("mark", F.col("class_id").alias("q"), F.col("pos").alias("q_pos"))
     c = marks.select("mark", F.col("class_id").alias("c"), F.col("pos").alias("c_pos"))
     votes = q.join(c, "mark").where(F.col("q") != F.col("c")).groupBy("q", "c", (F.col("q_pos") - F.col("c_pos")).alias("offset")).count()
-    best = votes.groupBy("q", "c").agg(F.max(F.struct("count", (-F.abs("offset")).alias("near"), "offset")).alias("v")).select("q", "c", "v.offset")
+    # the offsets with most votes, the nearest to none first among equals; the least error of them decides
+    ballot = F.sort_array(F.collect_list(F.struct("count", (-F.abs("offset")).alias("near"), "offset")), asc=False)
+    best = votes.groupBy("q", "c").agg(F.slice(ballot, 1, offsets).alias("top")).select("q", "c", F.explode("top.offset").alias("offset"))
     fp = classes.select("class_id", "fp")
     both = best.join(fp.withColumnsRenamed({"class_id": "q", "fp": "a"}), "q").join(fp.withColumnsRenamed({"class_id": "c", "fp": "b"}), "c")
     n = F.least(F.size("a") - F.greatest(F.lit(0), F.col("offset")), F.size("b") - F.greatest(F.lit(0), -F.col("offset")))
-    checked = both.withColumn("n", n).where(F.col("n") >= min_overlap).withColumn("error", _errors("a", "b", "offset", "n") / (F.col("n") * 32.0)).where(F.col("error") <= max_error)
+    both = both.withColumn("n", n).where(F.col("n") >= min_overlap).withColumn("error", _errors("a", "b", "offset", "n") / (F.col("n") * 32.0))
+    checked = both.where(F.col("error") <= max_error).groupBy("q", "c").agg(F.min(F.struct("error", F.abs("offset").alias("far"), "offset")).alias("x")).select("q", "c", "x.error", "x.offset")
     links = checked.groupBy(F.col("q").alias("class_id")).agg(F.count("*").alias("n_links"), F.min(F.struct("error", "c", "offset")).alias("m"))
     told = classes.select("fp_sha256", "class_id").join(links, "class_id", "left")
     asked = F.coalesce(is_query(F.col("id")), F.lit(False))
@@ -181,25 +187,11 @@ def align(prints: DataFrame, is_query, min_overlap: int = 16, max_error: float =
     )
 
 
-def brute_align(prints: dict[int, np.ndarray], a: int, b: int, min_overlap: int = 16) -> tuple[int, float] | None:
-    """Offset and error rate of two recordings by trying what their landmarks vote for; for tests."""
-    from collections import Counter
-
-    def marks(f: np.ndarray) -> dict[tuple, int]:
-        out: dict[tuple, int] = {}
-        for i in range(len(f) - 1):
-            out.setdefault((int(f[i]), int(f[i + 1])), i)
-        return out
-
-    x, y = prints[a], prints[b]
-    if min(len(x), len(y)) < max(2, min_overlap):
-        return None
-    m, k = marks(x), marks(y)
-    votes = Counter(m[v] - k[v] for v in m if v in k)
-    if not votes:
-        return None
-    off = max(votes, key=lambda o: (votes[o], -abs(o), o))
-    pairs = [(int(x[i + off]), int(y[i])) for i in range(len(y)) if 0 <= i + off < len(x)]
-    if len(pairs) < min_overlap:
-        return None
-    return off, sum(((p ^ q) & 0xFFFFFFFF).bit_count() for p, q in pairs) / (32 * len(pairs))
+def brute_align(x: np.ndarray, y: np.ndarray, min_overlap: int = 16) -> tuple[int, float] | None:
+    """Offset and least error rate of two fingerprints over every offset; for tests."""
+    found = []
+    for off in range(min_overlap - len(y), len(x) - min_overlap + 1):
+        pairs = [(int(x[i + off]), int(y[i])) for i in range(len(y)) if 0 <= i + off < len(x)]
+        if len(pairs) >= min_overlap:
+            found.append((sum(((p ^ q) & 0xFFFFFFFF).bit_count() for p, q in pairs) / (32 * len(pairs)), abs(off), off))
+    return (min(found)[2], min(found)[0]) if found else None
