@@ -40,12 +40,13 @@ def directory(cells: DataFrame, limit: int) -> DataFrame:
     settled, live, depth = None, cells, 0
     while True:
         lo, hi = depth, min(BITS, depth + ROUND)
+        # bytes of the finest buckets of this round, and of those above them: as many rows as buckets, not as strings
+        fine = live.groupBy(F.expr(f"shiftrightunsigned(bits, {BITS - hi})").alias("fine")).agg(F.sum("bytes").alias("bytes"))
         level = F.explode(F.sequence(F.lit(lo if depth == 0 else lo + 1), F.lit(hi))).alias("depth")
-        prefix = F.when(F.col("depth") == 0, F.lit(0)).otherwise(F.expr(f"shiftrightunsigned(bits, cast({BITS} - depth as int))")).alias("prefix")
-        up = live.select("bits", "bytes", level).select("bits", "bytes", "depth", prefix)
-        fits = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("sum")).where(F.col("sum") <= limit).select("depth", "prefix")
-        found = up.select("bits", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("bits").agg(F.min("depth").alias("depth"))
-        seen = cut(live.join(found, "bits", "left"))
+        up = fine.select("fine", "bytes", level).withColumn("above", F.expr(f"shiftrightunsigned(fine, cast({hi} - depth as int))"))
+        fits = up.groupBy("depth", "above").agg(F.sum("bytes").alias("sum")).where(F.col("sum") <= limit).select("depth", "above")
+        found = up.select("fine", "depth", "above").join(fits, ["depth", "above"]).groupBy("fine").agg(F.min("depth").alias("depth"))
+        seen = cut(live.withColumn("fine", F.expr(f"shiftrightunsigned(bits, {BITS - hi})")).join(found, "fine", "left"))
         done = seen.where("depth is not null").select("bits", "depth")
         live, depth = seen.where("depth is null").select("bits", "bytes"), hi
         if hi == BITS:
