@@ -88,12 +88,13 @@ def subword_buckets(words: list[str], sizes: tuple[int, ...], bits: int, affixes
     feats, owners = [], []
     with np.errstate(over="ignore"):
         # prefix[i] = hash of text[:i] in a wrapping polynomial; a word's hash is a difference of two
-        h, width = text + np.uint64(1), 1
+        h = text + np.uint64(1)
         grams = {1: h}
         base = np.uint64(1_000_003)
         for n in range(2, max((*sizes, *affixes, 1)) + 1):
             nxt = np.zeros_like(text)
-            nxt[: len(text) - n + 1] = grams[n - 1][: len(text) - n + 1] * base + text[n - 1 :] + np.uint64(1)
+            room = max(0, len(text) - n + 1)  # a few short words may hold no string of n bytes
+            nxt[:room] = grams[n - 1][:room] * base + text[n - 1 :] + np.uint64(1)
             grams[n] = nxt
         at = np.arange(len(text))
         for n in sizes:

@@ -104,6 +104,25 @@ def test_toxic_documents_and_misspellings(spark, make_docs, prose):
     assert toxicity.score(docs.limit(0), table).count() == 0
 
 
+def test_toxicity_scores_by_plain_loops():
+    """A bag's n-gram vectors averaged, put through the softmax; a document scores as its most toxic bag of two words."""
+    r = np.random.default_rng(13)
+    embed, out, bias = r.normal(0, 1, (1 << toxicity.BITS, toxicity.DIM)), r.normal(0, 1, (toxicity.DIM, 2)), r.normal(0, 1, 2)
+    model = toxicity.Model(embed, out, bias, 0.25)
+    texts = ["some words to look at", "one", "", None, "UPPER lower mixed|parted", "a " * 50]
+    want = []
+    for t in texts:
+        words = toxicity.words_of(t)
+        rows = [embed[toxicity.subword_buckets([w], toxicity.SIZES, toxicity.BITS)[0]] for w in words]
+        scores = []
+        for i in range(max(1, len(words) - toxicity.WINDOW + 1)):
+            if words:
+                z = np.concatenate(rows[i : i + toxicity.WINDOW]).mean(axis=0) @ out + bias
+                scores.append(np.exp(z[1]) / np.exp(z).sum())
+        want.append(max(scores, default=0.25))
+    assert model.score(texts) == pytest.approx(want, abs=1e-5)
+
+
 def test_lm_against_dictionaries(spark, make_docs, prose):
     rows = [(i, prose(i, 60)) for i in range(24)] + [(50, None), (51, ""), (52, "Zzz É qq"), (None, prose(3, 10))]
     learn = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
