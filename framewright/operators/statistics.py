@@ -245,3 +245,22 @@ def example_times(events: DataFrame, n: int = 8) -> DataFrame:
     """The times of the first events of each job, which are numbered from 1 in time order: so many rows of a job at most."""
     first = events.where(F.col("event_id") <= n).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "timestamp_seconds"))).alias("e"))
     return first.select("job_id", F.col("e.timestamp_seconds").alias("example_event_timestamps"))
+
+
+def report(parts: list[DataFrame]) -> DataFrame:
+    """One wide row a job: the first table's jobs, with the statistics of the others joined to them; ``warnings`` are put together, each once."""
+    names: list[str] = []
+    out = None
+    for k, p in enumerate(parts):
+        if "warnings" in p.columns:
+            names.append(f"_w{k}")
+            p = p.withColumnRenamed("warnings", f"_w{k}")
+        out = p if out is None else out.join(p, "job_id", "left")
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(*[F.coalesce(F.col(n), none) for n in names])) if names else none
+    return out.withColumn("warnings", every).drop(*names)
+
+
+def with_warnings(rows: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
+    """The rows with further warnings after those they have, each once."""
+    return rows.withColumn("warnings", F.array_distinct(F.concat("warnings", reasons(*rules))))

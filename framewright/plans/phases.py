@@ -308,3 +308,59 @@ def findings(spark, sf):
 
 register("dataset_findings", findings, """select cast(doc_id as varchar) as sample_id, 'ERROR' as severity, 'ANNOTATION_MISSING' as code from documents where doc_id % 10 = 0
 union all select cast(doc_id as varchar), 'ERROR', 'ANNOTATION_SAMPLE_MISMATCH' from documents where doc_id % 10 <> 0 and doc_id % 7 = 0 union all select cast(doc_id as varchar), 'WARNING', 'MEDIA_MISSING' from documents where doc_id % 4 <> 0 and doc_id % 3 = 0""")
+
+
+# -- reports of whole phases: statistics of all their stages, with the warnings that only show together --------------------------
+def phase4(spark, sf):
+    v = Visual.over(spark, sf)
+    d = v.frames.groupBy("job_id").agg(F.max("timestamp_seconds").alias("duration_seconds"))
+    w = v.windows.where("is_valid").groupBy("job_id").agg(F.count("*").alias("n_windows"), F.count_if(F.col("duration_seconds") < 3.0).alias("short_windows"))
+    g = v.candidates.groupBy("job_id").agg(F.count_if("is_valid").alias("valid_candidates"))
+    r = v.ranked.groupBy("job_id").agg(F.count_if(F.col("selection_role") == "PRIMARY").alias("primary_candidates"), F.count_if(F.col("selection_role") == "ALTERNATE").alias("alternate_candidates"))
+    s = v.selected.groupBy("job_id").agg(F.count("*").alias("n_selected"), F.count_if("is_ambiguous").alias("ambiguous_windows"), F.count_if("clear_winner").alias("clear_winners"))
+    b = v.bounds.where("is_valid").groupBy("job_id").agg(F.avg("boundary_score").alias("mean_boundary_score"), F.avg("activity_drop_score").alias("mean_activity_drop"))
+    x = statistics.report([d, w, g, r, s, b]).na.fill(0)
+    minute = lambda c: statistics.ratio(F.col(c) * 60.0, "duration_seconds")
+    x = x.withColumns({"primary_density_per_minute": minute("primary_candidates"), "generated_density_per_minute": minute("valid_candidates"), "ambiguity_ratio": statistics.ratio("ambiguous_windows", "n_selected")})
+    return statistics.with_warnings(
+        x, (statistics.ratio("short_windows", "n_windows") > 0.7, "MOSTLY_SHORT_WINDOWS"), (F.col("primary_density_per_minute") > 6.0, "HIGH_PRIMARY_DENSITY"),
+        (F.col("ambiguity_ratio") > 0.5, "HIGH_AMBIGUITY"), ((F.col("mean_boundary_score") > 0) & (F.col("mean_activity_drop") < 0.10), "WEAK_ACTIVITY_DROP"),
+    )
+
+
+step("zq4", f"""select d.job_id, d.duration_seconds, coalesce(n_windows, 0) as n_windows, coalesce(short_windows, 0) as short_windows, coalesce(valid_candidates, 0) as valid_candidates, coalesce(primary_candidates, 0) as primary_candidates, coalesce(alternate_candidates, 0) as alternate_candidates, coalesce(n_selected, 0) as n_selected, coalesce(ambiguous_windows, 0) as ambiguous_windows, coalesce(clear_winners, 0) as clear_winners, coalesce(mean_boundary_score, 0) as mean_boundary_score, coalesce(mean_activity_drop, 0) as mean_activity_drop
+  from (select job_id, max(timestamp_seconds) as duration_seconds from fr group by 1) d left join (select job_id, count(*) as n_windows, {n_('duration_seconds < 3.0::double')} as short_windows from sw where is_valid group by 1) w using (job_id) left join (select job_id, {n_('is_valid')} as valid_candidates from ge group by 1) g using (job_id)
+  left join (select job_id, {n_("selection_role = 'PRIMARY'")} as primary_candidates, {n_("selection_role = 'ALTERNATE'")} as alternate_candidates from ra group by 1) r using (job_id) left join (select job_id, count(*) as n_selected, {n_('is_ambiguous')} as ambiguous_windows, {n_('clear_winner')} as clear_winners from se group by 1) s using (job_id)
+  left join (select job_id, avg(boundary_score) as mean_boundary_score, avg(activity_drop_score) as mean_activity_drop from bo where is_valid group by 1) b using (job_id)""")
+step("zq4r", f"select *, {sql_ratio('primary_candidates * 60.0::double', 'duration_seconds')} as primary_density_per_minute, {sql_ratio('valid_candidates * 60.0::double', 'duration_seconds')} as generated_density_per_minute, {sql_ratio('ambiguous_windows', 'n_selected')} as ambiguity_ratio, {sql_ratio('short_windows', 'n_windows')} as short_ratio from zq4")
+step("zq4w", f"select *, {list_(('short_ratio > 0.7::double', 'MOSTLY_SHORT_WINDOWS'), ('primary_density_per_minute > 6.0::double', 'HIGH_PRIMARY_DENSITY'), ('ambiguity_ratio > 0.5::double', 'HIGH_AMBIGUITY'), ('mean_boundary_score > 0 and mean_activity_drop < 0.10::double', 'WEAK_ACTIVITY_DROP'))} as warnings from zq4r")
+add("phase4_quality", phase4, "job_id, valid_candidates, primary_candidates, alternate_candidates, ambiguous_windows, clear_winners, warnings", "primary_density_per_minute, generated_density_per_minute, ambiguity_ratio, mean_boundary_score, mean_activity_drop", "zq4w")
+
+
+def phase5(spark, sf):
+    s = segments(spark, sf).withColumnsRenamed({"start_seconds": "absolute_start_seconds", "end_seconds": "absolute_end_seconds"})
+    a = statistics.alignment_stats(aligned(spark, sf)).select("job_id", "candidate_count", "overlapping_speech_count")
+    x = statistics.report([statistics.raw_transcript_stats(chunk_results(spark, sf), s), a, statistics.context_stats(contexts(spark, sf))])
+    share = lambda c: statistics.ratio(c, "context_count")
+    low = (statistics.ratio("transcribed_speech_duration_seconds", "audio_duration_seconds") < 0.05) & (F.col("audio_duration_seconds") > 60)
+    return statistics.with_warnings(x, (low, "LOW_SPEECH_COVERAGE"), (share("contexts_without_speech") >= 0.5, "HIGH_EMPTY_CONTEXT_RATIO"), (share("truncated_context_count") > 0.5, "HIGH_CONTEXT_TRUNCATION"))
+
+
+step("zq5", f"""select zrs.job_id, chunk_count, raw_segment_count, a.candidate_count, a.overlapping_speech_count, c.contexts_with_speech, c.sparse_context_count, c.mean_context_characters, real_time_factor, list_concat(warnings, {list_(('transcribed_speech_duration_seconds / 600.0::double < 0.05::double', 'LOW_SPEECH_COVERAGE'), ('contexts_without_speech >= 0.5::double * context_count', 'HIGH_EMPTY_CONTEXT_RATIO'), ('truncated_context_count > 0.5::double * context_count', 'HIGH_CONTEXT_TRUNCATION'))}) as warnings
+  from zrs left join zas a on a.job_id = zrs.job_id left join zcs c on c.job_id = zrs.job_id""")
+add("phase5_quality", phase5, "job_id, chunk_count, raw_segment_count, candidate_count, overlapping_speech_count, contexts_with_speech, sparse_context_count, warnings", "mean_context_characters, real_time_factor", "zq5")
+
+
+def phase6(spark, sf):
+    i = statistics.input_stats(inputs(spark, sf)[0].drop("semantic_input_fingerprint"))
+    t = temporal(spark, sf).select("job_id", "context_count", "triplet_count", "current_only_count", "warnings")
+    a = statistics.analysis_stats(analyses(spark, sf)).select("job_id", "candidate_count", "mean_confidence", "fallback_candidate_count", "warnings")
+    d, w = decided(spark, sf)
+    x = statistics.report([i, t, a, statistics.decision_stats(w, d)])
+    return statistics.with_warnings(x, (statistics.ratio("fallback_candidate_count", "candidate_count") >= 0.25, "HIGH_VLM_FALLBACK_RATE"), (statistics.ratio("current_only_count", "context_count") >= 0.5, "HIGH_CURRENT_ONLY_CONTEXT_RATIO"))
+
+
+step("zq6", f"""select i.job_id, i.input_count, t.triplet_count, t.current_only_count, d.selected_window_count, d.rejected_window_count, d.alternate_switch_rate, a.mean_confidence, a.fallback_candidate_count,
+  list_concat(i.warnings, list_concat(t.warnings, list_concat(a.warnings, list_concat(d.warnings, {list_(('fallback_candidate_count >= 0.25::double * a.candidate_count', 'HIGH_VLM_FALLBACK_RATE'), ('current_only_count >= 0.5::double * context_count', 'HIGH_CURRENT_ONLY_CONTEXT_RATIO'))})))) as warnings
+  from zis i join ztc t on t.job_id = i.job_id join zan a on a.job_id = i.job_id join zdd d on d.job_id = i.job_id""")
+add("phase6_quality", phase6, "job_id, input_count, triplet_count, current_only_count, selected_window_count, rejected_window_count, fallback_candidate_count, warnings", "alternate_switch_rate, mean_confidence", "zq6")

@@ -97,3 +97,42 @@ def test_first_fault_and_ties_of_languages(spark):
     got = {r.job_id: r for r in statistics.raw_transcript_stats(c, s).collect()}
     assert (got["j"].language, got["j"].language_probability, got["j"].warnings) == ("en", 0.7, ["LOW_TRANSCRIPT_COVERAGE"])
     assert (got["k"].language, got["k"].warnings) == (None, ["NO_SPEECH_DETECTED"])
+
+
+def test_phase_tools(tmp_path):
+    from framewright import tools
+    from framewright.params import DEFAULT
+
+    m = tools.Measured()
+    with m.stage("a"):
+        sum(range(1000))
+    with pytest.raises(ValueError), m.stage("b"):
+        raise ValueError
+    assert [(s["stage"], s["failed"]) for s in m.stages] == [("a", False), ("b", True)] and m.total() > 0
+    assert tools.capabilities()["recommended_profile"] in ("LOW", "BALANCED", "QUALITY")
+    r = tools.readiness(str(tmp_path), tools=("no-such-tool",), min_free_bytes=0)
+    assert not r["ready"] and r["failures"] == ["no-such-tool"] and tools.readiness(str(tmp_path), min_free_bytes=0)["ready"]
+    a, b = tools.config_snapshot(DEFAULT, "1", api_key="x"), tools.config_snapshot(DEFAULT, "1", api_key="y")
+    assert a == b and a["parameters"]["api_key"] == "***REDACTED***"
+
+
+def test_pdf_files(spark):
+    from framewright.functions import pdf
+    from framewright.operators import documents
+
+    d = spark.createDataFrame([("j", 1, 1, 64, 48, 61.0, "SLIDE", "Some words " * 40, "T" * 200), ("j", 2, 2, 300, 900, 5.0, "CODE", None, "T"), ("k", 1, 9, 64, 48, 1.0, "CODE", "x", "T")], "job_id string, page_number int, candidate_id bigint, width int, height int, timestamp_seconds double, content_type string, snippet string, title string")
+    plan = documents.render_plan(documents.page_layout(d)).withColumn("file_sha256", F.lit("same"))
+    rows = {(r.job_id, r.page_number): r for r in plan.collect()}
+    assert rows[("j", 1)].caption_text.startswith("01:01 · Slide — Some words") and rows[("j", 1)].caption_cut and rows[("j", 1)].footer_text == "1 / 2"
+    assert rows[("j", 2)].caption_text == "00:05 · Code" and not rows[("j", 2)].caption_cut and "\n" not in rows[("j", 1)].header_text
+    i = spark.createDataFrame([("j", 1, bytes(64 * 48 * 3), 64, 48, "same"), ("j", 2, bytes(300 * 900 * 3), 300, 900, "same"), ("k", 9, bytes(64 * 48 * 3), 64, 48, "other")], "job_id string, candidate_id bigint, pixels binary, columns int, rows int, sha256 string")
+    got = {r.job_id: r for r in documents.pdf_files(plan, i).collect()}
+    data = bytes(got["j"].content)
+    assert got["j"].pages == 2 == pdf.page_count(data) and data.startswith(b"%PDF-1.4") and data.endswith(b"%%EOF\n") and got["j"].bytes == len(data)
+    at = int(data.split(b"startxref\n")[1].split(b"\n")[0])
+    assert data[at : at + 4] == b"xref"
+    for k, place in enumerate(data[at:].split(b" 65535 f \n")[1].split(b"trailer")[0].split(b" 00000 n \n")[:-1], 1):
+        assert data[int(place) :].startswith(b"%d 0 obj" % k)
+    assert got["k"].content is None and "not the planned one" in got["k"].error
+    with pytest.raises(ValueError):
+        pdf.write([])
