@@ -33,5 +33,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["event_stats"](spark, sf_dir)
 
 
-from framewright.plans import phases, records, speech, visual  # noqa: E402, F401  they register their queries
+from framewright.plans import phases, records, sequential, speech, visual  # noqa: E402, F401  they register their queries
 __all__ = ["F", "ORACLE_SQL", "QUERIES", "flagship", "names", "register", "show"]
