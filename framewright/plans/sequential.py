@@ -1,8 +1,9 @@
-"""SQL of the greedy rules: a recursive query takes one step after the other, with what is used so far in a list."""
+"""SQL of the greedy rules: a recursive query or a fold takes one step after the other, with what is used so far in a list."""
 
 from __future__ import annotations
 
 from framewright.operators.evaluation import STAGES
+from framewright.params import DEFAULT as P
 from framewright.plans.oracle import STEPS, chain, step
 from framewright.queries import ORACLE_SQL
 
@@ -58,4 +59,23 @@ step("glk", LINK)
 ORACLE_SQL["duplicate_groups"] = recursive("""select job_id, unnest(g) as candidate_id, 'dup_' || substr(sha256('[' || array_to_string(g, ',') || ']'), 1, 12) as group_id, g[1] as representative_candidate_id, len(g)::int as group_size
 from (select job_id, unnest(groups) as g from (select job_id, arg_max(groups, k) as groups from glk group by 1))""", "glk")
 
+# -- what is said around a moment, within a budget -------------------------------------------------------------------------
+step("xmet", f"""select *, case when end_seconds <= t then 'before' when start_seconds >= t then 'after' else 'current' end as part from (select tm.job_id, tm.candidate_id, timestamp_seconds as t, greatest(0.0::double, timestamp_seconds - {P.context_before}::double) as lo, timestamp_seconds + {P.context_after}::double as hi, segment_id, start_seconds, end_seconds, trim(text) as said
+  from tm join ts on ts.job_id = tm.job_id and end_seconds >= greatest(0.0::double, timestamp_seconds - {P.context_before}::double) and start_seconds <= timestamp_seconds + {P.context_after}::double)""")
+step("xcut", f"select *, case part when 'before' then start_seconds < lo - {P.context_extension}::double when 'after' then end_seconds > hi + {P.context_extension}::double else false end as far, length(said) as c, len(list_filter(string_split_regex(said, '\\s+'), lambda x: x <> '')) as w from xmet")
+step("xitm", """select *, case when part = 'before' then 0 else 1 end as side, row_number() over (partition by job_id, candidate_id, part, far order by case when part = 'before' then -start_seconds else start_seconds end, case when part = 'before' then -segment_id else segment_id end) as k from xcut""")
+step("xgrp", """select job_id, candidate_id, list({'c': c::bigint, 'w': w::bigint, 'ids': [segment_id]} order by k) filter (where part = 'current') as cur, list({'c': c::bigint, 'w': w::bigint, 'ids': [segment_id]} order by k, side, segment_id) filter (where part <> 'current' and not far) as rest,
+  coalesce(list(segment_id) filter (where part = 'before' and not far), []::bigint[]) as b, coalesce(list(segment_id) filter (where part = 'after' and not far), []::bigint[]) as f, bool_or(far and part = 'before') as tb, bool_or(far and part = 'after') as ta from xitm group by 1, 2""")
+_empty = "{'c': 0::bigint, 'w': 0::bigint, 'ids': []::bigint[]}"
+_more = "{'c': a.c + x.c + case when a.c > 0 then 1 else 0 end, 'w': a.w + x.w, 'ids': list_concat(a.ids, x.ids)}"
+step("xone", f"select *, list_reduce(coalesce(cur, []), lambda a, x: {_more}, {_empty}) as head from xgrp")
+_fits = f"a.c + x.c + case when a.c > 0 then 1 else 0 end <= {P.context_max_characters} and a.w + x.w <= {P.context_max_words}"
+step("xend", f"select *, head.c > {P.context_max_characters} or head.w > {P.context_max_words} as crowded, case when head.c > {P.context_max_characters} or head.w > {P.context_max_words} then head else list_reduce(coalesce(rest, []), lambda a, x: case when {_fits} then {_more} else a end, head) end as held from xone")
+_ids = lambda c: f"list_sort(list_filter({c}, lambda x: list_contains(held.ids, x)))"
+_none = "[]::bigint[]"
+step("xctx", f"""select tm.job_id, tm.candidate_id, coalesce(head.ids, {_none}) as current_segment_ids, coalesce({_ids('b')}, {_none}) as before_segment_ids, coalesce({_ids('f')}, {_none}) as after_segment_ids, coalesce(crowded, false) as context_over_budget_due_to_current,
+  coalesce(tb or len({_ids('b')}) < len(b), false) as truncated_before, coalesce(ta or len({_ids('f')}) < len(f), false) as truncated_after, coalesce(held.c, 0) as characters, coalesce(held.w, 0) as words, coalesce(held.w, 0) < {P.context_sparse_words} as is_sparse_context
+  from tm left join xend x on x.job_id = tm.job_id and x.candidate_id = tm.candidate_id""")
+ORACLE_SQL["context_budget"] = chain("select * from xctx")
+
 __all__ = ["ORACLE_SQL", "STEPS"]

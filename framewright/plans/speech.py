@@ -88,7 +88,7 @@ step("nw", "select job_id, candidate_id, word as nearest_word, g as nearest_word
 add("nearest_word", lambda s: transcript.nearest_words(transcript.align(moments(s), s, P), spoken_words(s)), "job_id, candidate_id, nearest_word, candidate_overlaps_word", "nearest_word_gap_seconds", "nw")
 step("hw", "select job_id, window_id, exists(select 1 from ts where ts.job_id = w.job_id and ts.end_seconds >= w.a and ts.start_seconds <= w.b) as has_speech from (select job_id, candidate_id as window_id, timestamp_seconds as a, timestamp_seconds + 0.2::double as b from tm) w")
 add("window_has_speech", lambda s: transcript.windows_with_speech(moments(s).select("job_id", F.col("candidate_id").alias("window_id"), F.col("timestamp_seconds").alias("start_seconds"), (F.col("timestamp_seconds") + 0.2).alias("end_seconds")), s), "job_id, window_id, has_speech", "", "hw")
-register("context_budget", lambda spark, sf: (lambda s: transcript.context(moments(s), s, P))(keep(segments(spark, sf))))
+register("context_budget", lambda spark, sf: (lambda s: transcript.context(moments(s), s, P))(keep(segments(spark, sf))))  # its SQL is a fold, in sequential.py
 
 
 def _raw(s):
