@@ -12,6 +12,8 @@ from framewright.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = "change_events activity_timeline stability_windows candidate_handoff transcript_alignment window_decisions pair_scores final_selection page_layout caption_truncate recovery_plan limit_status".split()
+CHECKED += "pair_keys redaction redaction_nested absolute_segments absolute_segment_faults raw_transcript_stats alignment_stats context_budget model_inputs model_input_faults analysis_stats decision_stats selected_handoff extraction_stats".split()
+CHECKED += "quality_stats group_stats final_stats extraction_plan page_plan_mismatches calibration_sweep dataset_findings temporal_match metric_summary metrics_micro_macro loss_funnel duplicate_groups phase4_quality phase5_quality phase6_quality".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
