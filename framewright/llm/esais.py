@@ -150,22 +150,33 @@ class Suffixes:
     def __init__(self, text: np.ndarray, cap: int, folder: str, budget: int = 64 << 20, base: int = BASE):
         self.text, self.cap, self.folder, self.budget, self.base = text, cap, folder, budget, base
         self.n = len(text)
-        self.edges = np.flatnonzero(text[1:] != text[:-1]) if self.n else np.zeros(0, np.int64)
 
     def run_length(self, p: int) -> int:
-        k = int(np.searchsorted(self.edges, p))
-        return int(self.edges[k]) - p + 1 if k < len(self.edges) else self.n - p
-
-    def s_types(self) -> np.ndarray:
-        """True where a suffix is less than the next one; the last suffix is of L type (nothing is less than all)."""
-        t = self.text
-        up = t[:-1] < t[1:]
+        """How often the symbol at p stands there in a row."""
+        at, c = p, self.text[p]
+        while at < self.n:
+            other = np.flatnonzero(self.text[at : at + 4096] != c)
+            if len(other):
+                return at + int(other[0]) - p
+            at += 4096
+        return self.n - p
+
+    def s_types(self, block: int = 1 << 20) -> np.ndarray:
+        """True where a suffix is less than the next one; the last suffix is of L type (nothing is less than all).
+
+        From the right, a block at a time: a byte a symbol is all that stays in memory.
+        """
         out = np.zeros(self.n, bool)
-        if len(self.edges):
-            # a position takes the type of the end of its run of equal symbols
-            k = np.searchsorted(self.edges, np.arange(self.n))
-            inside = k < len(self.edges)
-            out[inside] = up[self.edges[np.minimum(k, len(self.edges) - 1)]][inside]
+        carry = False  # the type of the symbol after the block
+        for hi in range(self.n - 1, 0, -block):
+            lo = max(0, hi - block)
+            t = np.asarray(self.text[lo : hi + 1])
+            up, same = t[:-1] < t[1:], t[:-1] == t[1:]
+            # a symbol takes the type of the end of its run of equal ones
+            k = np.where(same, hi - lo, np.arange(hi - lo))
+            k = np.minimum.accumulate(k[::-1])[::-1]
+            out[lo:hi] = np.append(up, carry)[k]
+            carry = bool(out[lo])
         return out
 
     # -- S* suffixes ----------------------------------------------------------------------------------------------

@@ -85,6 +85,19 @@ def brute_words(texts, length):
     return out
 
 
+def test_types_and_runs_a_block_at_a_time():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 3, 40):
+        for k in (1, 2, 3, 9):
+            t = r.integers(0, k, n)
+            s = esais.Suffixes(t, 5, "")
+            want = [False] * n
+            for i in range(n - 2, -1, -1):
+                want[i] = bool(t[i] < t[i + 1] or (t[i] == t[i + 1] and want[i + 1]))
+            assert all(s.s_types(block).tolist() == want for block in (1, 2, 7, 1 << 20))
+            assert [s.run_length(p) for p in range(n)] == [next((q - p for q in range(p, n) if t[q] != t[p]), n - p) for p in range(n)]
+
+
 @pytest.mark.parametrize("how", [{}, {"hot_bytes": 500, "shard_bytes": 4096}])
 def test_passages_of_more_than_fifty_words_go_and_shorter_ones_stay(spark, make_docs, prose, how):
     w = [prose(50 + i, 200).split() for i in range(8)]
