@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from framewright.llm.common import tidied
 
 
+#: Rows of the table for each part, and least and most parts.
+PART_ROWS, PARTS = 2_000, (64, 256)
+
+
 def knn_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of every row."""
     sq = (x * x).sum(axis=1)
@@ -162,8 +166,12 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, sample_size: int = 10_000, parts: int = 64, block: int = 20_000, query_block: int = 50_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for every query row (``is_query`` is a condition on the id)."""
+def search(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, sample_size: int | None = None, parts: int | None = None, block: int = 20_000, query_block: int = 50_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for every query row (``is_query`` is a condition on the id).
+
+    Parts follow the table: one for each PART_ROWS rows, PARTS[0] at least and PARTS[1] at most; the sample has 100 rows a
+    part, 10,000 at least.  Beyond that size parts grow and are dealt to blocks.
+    """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     ok = F.col("vec_id").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("vec", lambda a: a != 0)
@@ -173,6 +181,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, recall: float = 0.97, samp
     if not dims:
         return spark.createDataFrame([], schema)
     dim = dims[0].d
+    parts = parts or min(PARTS[1], max(PARTS[0], -(-dims[0]["count"] // PART_ROWS)))
+    sample_size = sample_size or max(10_000, 100 * parts)
     v = v.where(F.size("vec") == dim)
     some = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_size).select("vec").toArrow()
     sample = np.array(some.column(0).to_pylist(), np.float64)
