@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import MIX, drop_tables, few, mix64, ragged, stash, tidied, unused
+from framewright.llm.common import MIX, drop_tables, few, give_back, mix64, ragged, stash, tidied, unused
 from framewright.llm.graph import components
 from framewright.llm.simhash import majority, plan, shingle_hashes
 
@@ -42,7 +42,7 @@ WORDS = 4  # of 64 bits, in the wide fingerprint
 WIDE_RADIUS = 56
 SAMPLE = 20_000
 #: Rows (an id and a hash) that are broadcast at most.
-SMALL = 200_000
+SMALL = 50_000
 PARTNERS = 8
 ROUNDS = 4
 #: Nodes of one task's block, about.
@@ -184,6 +184,8 @@ def _search(asking: DataFrame, nodes: DataFrame, parts: list[tuple[list[int], in
             a, b = [x["s"][i][take]], [y["s"][j][take]]
         a, b = np.concatenate([*a, extra]), np.concatenate([*b, extra])
         more = np.arange(len(a)) >= len(a) - len(extra)
+        if left.num_rows > 5_000:
+            give_back()
         return pa.table({"a": pa.array(a), "b": pa.array(b, mask=more)})
 
     found = probe.groupBy(*on).cogroup(index.groupBy(*on)).applyInArrow(compare, "a bigint, b bigint").distinct()
@@ -243,7 +245,7 @@ def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = R
 
     links, label, left = None, None, None
     for k in range(ROUNDS + 1):
-        here = worded.withColumn("c", F.col("s")) if label is None else worded.join(label, "s", "left").withColumn("c", F.coalesce("c", "s"))
+        here = worded.withColumn("c", F.col("s")) if label is None else stash(worded.join(label, "s", "left").withColumn("c", F.coalesce("c", "s")), paths)
         if k == 0:  # one node of each bucket, under each part
             keys = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), _column_bits(F.col("w0"), b).alias("key")) for p, (b, _) in enumerate(parts)]))
             dealt = here.select(keys.alias("x"), "band", "s", "n", *wide).select("x.part", "x.key", "band", "s", "n", *wide)
@@ -259,7 +261,7 @@ def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = R
         if pairs.take(1):
             good = _verified(pairs, sets_of(pairs), least)
             links = stash(good if links is None else links.unionByName(good).distinct(), paths)
-            label = components(links).select(F.col("node").alias("s"), F.col("component").alias("c"))
+            label = stash(components(links).select(F.col("node").alias("s"), F.col("component").alias("c")), paths)
         if left is not None and not left.take(1):
             break
     group = nodes if label is None else nodes.join(label, "s", "left")

@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Every step is one aggregation and one join on a node, both of which combine before the shuffle; no component is gathered
-anywhere.  Each round is cut at the shared checkpoint folder.
+anywhere.  Each round is written to the shared checkpoint folder, and the round before it removed.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import cut
+from framewright.llm.common import drop_tables, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,11 +30,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     An empty link table gives an empty result.
     """
     links = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    spark = links.sparkSession
+    paths: list[str] = []
+    edges = stash(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), paths)
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = state(edges)
     while before[0]:
-        edges = cut(_star(_star(edges, True), False))
+        old = [paths.pop()]
+        edges = stash(_star(_star(edges, True), False), paths)
+        drop_tables(spark, old)
         after = state(edges)
         if after == before:
             break
