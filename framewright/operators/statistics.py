@@ -233,11 +233,11 @@ def raw_transcript_stats(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     return x.withColumn("warnings", reasons((silent, "NO_SPEECH_DETECTED"), (low, "LOW_TRANSCRIPT_COVERAGE")))
 
 
-def repetition_stats(runs: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean, median, least and most of repeated measurements, to six decimals."""
-    six = lambda c: F.bround(c, 6)
+def repetition_stats(runs: DataFrame, key: str, value: str, digits: int | None = 6) -> DataFrame:
+    """Mean, median, least and most of repeated measurements, to ``digits`` decimals (None: as they are)."""
+    to = (lambda c: c) if digits is None else (lambda c: F.bround(c, digits))
     return runs.groupBy(key).agg(
-        F.count("*").alias("repetitions"), six(F.avg(value)).alias("mean"), six(F.percentile(value, F.lit(0.5))).alias("median"), six(F.min(value)).alias("least"), six(F.max(value)).alias("most")
+        F.count("*").alias("repetitions"), to(F.avg(value)).alias("mean"), to(F.percentile(value, F.lit(0.5))).alias("median"), to(F.min(value)).alias("least"), to(F.max(value)).alias("most")
     )
 
 

@@ -50,3 +50,18 @@ def test_same_rows(spark, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_repetition_stats_floors_the_unrounded_mean(spark, tmp_path):
+    """Means next to a step of the floor (25.79396985 and 25.63937008) go to either side of it if they are rounded first."""
+    total = {1: (597, 15399), 2: (635, 16281), 3: (4, 100)}
+    rows = []
+    for k, (n, t) in total.items():
+        q = [t // n + (i < t % n) for i in range(n)]
+        rows += [(k, float(x)) for x in q]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["repetition_stats"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLE_SQL["repetition_stats"]).fetchall())
+    assert [r[2] for r in got] == [257939, 256394, 250000]
