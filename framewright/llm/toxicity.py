@@ -28,6 +28,8 @@ SIZES = (3, 4, 5)
 BITS = 18
 DIM = 8
 WINDOW = 2
+#: Words whose n-grams are hashed or summed at once, in training: the hashes take many times the bytes of the words.
+SLICE = 8_192
 _words = re.compile(r"[^\s|]+").findall
 
 
@@ -65,6 +67,16 @@ class Model:
         return out
 
 
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of all words, and how many each has, a slice at a time."""
+    buckets, sizes = [], []
+    for lo in range(0, len(words), SLICE):
+        b, n = subword_buckets(words[lo : lo + SLICE], SIZES, BITS)
+        buckets.append(b.astype(np.int32))
+        sizes.append(n)
+    return np.concatenate(buckets), np.concatenate(sizes)
+
+
 def train(rows: list[tuple[str | None, int]], epochs: int = 24, seed: int = 7) -> Model:
     index: dict[str, int] = {}
     at, y, seen = [], [], []
@@ -86,8 +98,14 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 24, seed: int = 7) -
     telling = np.log((df[1] + 0.1) / (n[1] + 0.2)) - np.log((df[0] + 0.1) / (n[0] + 0.2))
     tell = telling * np.log1p(df.sum(axis=0))
     vocab = list(index)
-    bags, size = subword_buckets(vocab, SIZES, BITS)
+    bags, size = _features(vocab)
     first = np.cumsum(size) - size
+
+    def word_sums(bucket: np.ndarray) -> np.ndarray:
+        """What each word adds to the logit, a slice at a time."""
+        cuts = range(0, len(size), SLICE)
+        return np.concatenate([segment_sum(bucket[bags[first[lo] : first[lo] + size[lo : lo + SLICE].sum()]], size[lo : lo + SLICE]) for lo in cuts])
+
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float64)
     out, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
@@ -99,7 +117,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 24, seed: int = 7) -
         """The most telling bag of each document, and of a clean one also a random bag."""
         picked = []
         if model is not None:
-            s = segment_sum(model.bucket[bags], size)
+            s = word_sums(model.bucket)
             m = size.astype(np.float64)
         for a in at:
             w = min(WINDOW, len(a))
@@ -149,7 +167,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 24, seed: int = 7) -
             bias = bias - rate * d_bias / np.sqrt(g_bias)
         model = Model(embed, out, bias, base)
     # the most toxic of many bags is above the average bag: move the bias so that documents, not bags, part at 0.5
-    s, m = segment_sum(model.bucket[bags], size), size.astype(np.float64)
+    s, m = word_sums(model.bucket), size.astype(np.float64)
     top = np.array([model.window_logits(s[a], m[a]).max() for a in at])
     order = np.argsort(top)
     wrong = np.concatenate([[0], np.cumsum(y[order] == 1)]) + np.concatenate([np.cumsum((y[order] == 0)[::-1])[::-1], [0]])

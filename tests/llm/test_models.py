@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -104,6 +105,23 @@ def test_toxic_documents_and_misspellings(spark, make_docs, prose):
     assert toxicity.score(docs.limit(0), table).count() == 0
 
 
+def test_toxicity_training_hashes_its_words_in_slices():
+    """Of many different words only the bucket numbers are held, not the hashes of all their n-grams at once."""
+    r = random.Random(3)
+    rows = [(" ".join(f"{r.getrandbits(48):x}" for _ in range(250)) + (" idiot" if i % 2 else ""), i % 2) for i in range(400)]
+    tracemalloc.start()
+    try:
+        model = toxicity.train(rows, epochs=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 160e6 and model.only is None
+    words = [w for t, _ in rows[:80] for w in t.split()]
+    b, n = toxicity._features(words)
+    want, sizes = toxicity.subword_buckets(words, toxicity.SIZES, toxicity.BITS)
+    assert len(words) > 2 * toxicity.SLICE and (b == want).all() and (n == sizes).all()
+
+
 def test_toxicity_scores_by_plain_loops():
     """A bag's n-gram vectors averaged, put through the softmax; a document scores as its most toxic bag of two words."""
     r = np.random.default_rng(13)
