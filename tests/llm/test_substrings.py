@@ -1,7 +1,9 @@
 import hashlib
 import tempfile
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framewright.llm import esais, substrings
@@ -108,3 +110,24 @@ def test_passages_of_more_than_fifty_words_go_and_shorter_ones_stay(spark, make_
     got = {r.doc_id: r.text for r in substrings.strip(make_docs(list(enumerate(texts))), 51, words=True, **how).collect()}
     assert [(got[i] or "").split() for i in range(len(texts))] == brute_words(texts, 51)
     assert got[2] == texts[2] and got[13] is None
+
+
+def test_memory_follows_the_slice_and_not_the_batch(tmp_path):
+    """An Arrow batch is read some bytes of text at a time, and places are compared a block at a time."""
+    texts = ["x" * 1_500_000, None, "y" * 9_000_000, "", "z" * 3_000_000, "w"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
+    got = list(substrings._slices([batch, batch.slice(0, 0), batch.slice(2)], 1))
+    assert [b.column(0).to_pylist() for b in got] == [[0, 1], [2], [3, 4, 5], [2], [3, 4, 5]]
+    assert all(b.column(1).to_pylist() == [texts[i] for i in b.column(0).to_pylist()] for b in got)
+    r = np.random.default_rng(4)
+    text, a, b = r.integers(0, 2, 300_000).astype(np.int16), r.integers(0, 300_000, 200_000), r.integers(0, 300_000, 200_000)
+    tracemalloc.start()
+    try:
+        common = esais.Suffixes(text, 20, str(tmp_path))._compare(a, b, 20)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+    for i in range(0, 200_000, 997):
+        x, y = text[a[i] : a[i] + 20].tolist(), text[b[i] : b[i] + 20].tolist()
+        assert common[i] == next((k for k, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
