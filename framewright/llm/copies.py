@@ -12,8 +12,11 @@ are missed.  The cost of a radius this wide grows faster than the table: at 14 m
 node meets about one in a hundred of the nodes of its size.
 
 No group is gathered.  A part's nodes are dealt by size band and leading bits, and blocks split what is crowded.  First each
-node is compared with one of its bucket, which joins large groups; then with all nodes of other components.  A node names
-``PARTNERS`` partners a round at most; one that has more comes back in the next round, and the last round names all.
+node is compared with one of its bucket, which joins large groups; then with all nodes of other components.  A node names its
+nearest ``PARTNERS`` partners.  Where it has more, it and they are the crowd, whose pairs a prefix filter finds without naming
+all: the shingles of every crowded set are ordered by how many of these sets hold them, the rarest first, and sets of sizes n
+and m that share o or more have one in common among their first n - o + 1 and m - o + 1.  Of many edits of one text that lie
+just short of ``least`` nearly none have.  The filter loses nothing: what it leaves out is not similar enough.
 
 Defined cases: null text is text without words, and texts without words are copies of each other; fewer words than a shingle make
 one shingle; ids may be null or repeated: rows are told apart by (doc_id, text), and of equal ones one stays; an empty
@@ -44,7 +47,8 @@ SAMPLE = 20_000
 #: Rows (an id and a hash) that are broadcast at most.
 SMALL = 50_000
 PARTNERS = 8
-ROUNDS = 4
+#: Classes of sizes that a similar set of the crowd may be away, at most.
+CLASSES = 5
 #: Nodes of one task's block, about.
 BLOCK = 30_000
 #: What looking up a key costs, in comparisons.
@@ -138,19 +142,19 @@ class Block:
             found.append((u[ok], v[ok]))
 
 
-def chosen(x: np.ndarray, y: np.ndarray, salt: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs are named now, ``most`` of each x at most, by a hash of y; and the x that have more."""
+def chosen(x: np.ndarray, y: np.ndarray, salt: int, most: int, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are named, ``most`` of each x at most, the least far first and then by a hash of y; and the x that have more."""
     with np.errstate(over="ignore"):
         h = mix64(y.view(np.uint64) + MIX * np.uint64(salt + 1))
-    order = np.lexsort((h, x))
+    order = np.lexsort((h, x) if far is None else (h, far, x))
     new = np.append(True, x[order][1:] != x[order][:-1]) if len(x) else np.zeros(0, bool)
     at = np.arange(len(x))
     rank = at - np.maximum.accumulate(np.where(new, at, 0)) if len(x) else at
     return order[rank < most], np.unique(x[order[rank >= most]])
 
 
-def _search(asking: DataFrame, nodes: DataFrame, parts: list[tuple[list[int], int]], n_nodes: int, radius: int, least: float, salt: int, most: int, paths: list[str]) -> DataFrame:
-    """(a, b) candidates of different components, and (a, null) for nodes that have more than ``most``."""
+def _search(nodes: DataFrame, parts: list[tuple[list[int], int]], n_nodes: int, radius: int, least: float, most: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(a, b) candidates of different components; and the crowd (s): nodes that have more than ``most``, and those that they have."""
     cols = ["s", "n", "c", *[f"w{k}" for k in range(WORDS)]]
     lead = max(0, int(np.ceil(np.log2(max(1.0, n_nodes / (8 * BLOCK))))))  # leading bits of the key that deal a part's nodes
     left, right = [], []
@@ -159,7 +163,7 @@ def _search(asking: DataFrame, nodes: DataFrame, parts: list[tuple[list[int], in
         cell = _column_bits(F.col("w0"), first)
         flips = ball(len(first), t)
         right.append(nodes.select(F.lit(k).alias("part"), "band", cell.alias("cell"), *cols))
-        both = asking.select("band", cell.alias("cell"), *cols)
+        both = nodes.select("band", cell.alias("cell"), *cols)
         both = both.withColumn("flip", F.explode(F.lit(flips))).withColumn("up", F.explode(F.lit([0, 1])))
         left.append(both.select(F.lit(k).alias("part"), (F.col("band") + F.col("up")).alias("band"), F.col("cell").bitwiseXOR(F.col("flip")).alias("cell"), *[F.col(c).alias(f"x_{c}") for c in cols]))
     index, probe = (reduce(DataFrame.unionByName, x) for x in (right, left))
@@ -175,24 +179,53 @@ def _search(asking: DataFrame, nodes: DataFrame, parts: list[tuple[list[int], in
     shared = [Block(b, t, radius, least) for b, t in parts]
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        extra = np.zeros(0, np.int64)
+        a, b, far, extra = (np.zeros(0, np.int64) for _ in range(4))
         if left.num_rows and right.num_rows:
             x, y = {c: left.column(f"x_{c}").to_numpy() for c in cols}, {c: right.column(c).to_numpy() for c in cols}
             i, j = shared[left.column("part")[0].as_py()].near(x, y)
-            take, extra = chosen(x["s"][i], y["s"][j], salt, most)
-            a, b = [x["s"][i][take]], [y["s"][j][take]]
-        a, b = np.concatenate([*a, extra]), np.concatenate([*b, extra])
-        more = np.arange(len(a)) >= len(a) - len(extra)
+            a, b = x["s"][i], y["s"][j]
+            far = sum(np.bitwise_count((x[w][i] ^ y[w][j]).view(np.uint64)).astype(np.int64) for w in (f"w{k}" for k in range(WORDS)))
+            take, more = chosen(a, b, 0, most, far)
+            extra = np.union1d(more, b[np.isin(a, more)])
+            a, b, far = a[take], b[take], far[take]
         if left.num_rows > 5_000:
             give_back()
-        return pa.table({"a": pa.array(a), "b": pa.array(b, mask=more)})
+        none = np.arange(len(a) + len(extra)) >= len(a)
+        return pa.table({"a": pa.array(np.concatenate([a, extra])), "b": pa.array(np.concatenate([b, extra]), mask=none), "far": pa.array(np.concatenate([far, extra]), mask=none)})
 
-    found = probe.groupBy(*on).cogroup(index.groupBy(*on)).applyInArrow(compare, "a bigint, b bigint").distinct()
+    found = stash(probe.groupBy(*on).cogroup(index.groupBy(*on)).applyInArrow(compare, "a bigint, b bigint, far bigint").distinct(), paths)
     # of what several blocks name for a node again ``most``: as many rows a node as blocks that it is in times that
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("b").isNull().desc(), F.xxhash64("b", F.lit(salt))))
-    ranked = found.withColumn("rank", rank)
-    return ranked.where((F.col("rank") <= most) | F.col("b").isNull()).select("a", "b").unionByName(ranked.where(F.col("rank") == most + 1).select("a", F.lit(None).cast("bigint").alias("b")))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("far", F.xxhash64("b")))
+    ranked = stash(found.where("b is not null").withColumn("rank", rank), paths)
+    over = ranked.where(F.col("rank") > most)
+    crowd = found.where("b is null").select(F.col("a").alias("s")).unionByName(over.select(F.col("a").alias("s"))).unionByName(over.select(F.col("b").alias("s"))).distinct()
+    return ranked.where(F.col("rank") <= most).select("a", "b"), stash(crowd, paths)
+
+
+def _crowded(nodes: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
+    """Pairs (a, b) of different components among the crowd's nodes that are near and pass the prefix filter."""
+    share, step = least / (1 + least), float(-np.log(least) / CLASSES * 1.000001)
+    tokens = sets.select("s", F.explode("found").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("s")  # a node's shingles that no other has stand first, and need no rows
+    place = F.row_number().over(own.orderBy("often", "token")) - F.count("*").over(own)
+    placed = tokens.join(often, "token").select("s", "token", place.alias("at")).join(nodes, "s")
+    placed = placed.withColumn("at", F.col("at") + F.col("n")).withColumn("class", F.floor(F.log("n") / F.lit(step)).cast("int"))
+
+    def side(mark: str, up: int) -> DataFrame:
+        """A node's first shingles for every class of sizes that it may meet, under the lower and the upper class."""
+        rows = placed.withColumn("away", F.explode(F.lit(list(range(CLASSES + 1))))).withColumn("other", F.col("class") + F.col("away") * F.lit(up))
+        low = F.greatest(F.exp(F.col("other") * F.lit(step)) * F.lit(1 - 1e-9), F.col("n") * F.lit(least))
+        rows = rows.where(F.col("at") <= F.col("n") - F.ceil(F.lit(share) * (F.col("n") + low) - F.lit(1e-6)) + 1)
+        return rows.select("token", F.least("class", "other").alias("lower"), "away", *[F.col(c).alias(f"{mark}_{c}") for c in ("s", "n", "c", "at", *(f"w{k}" for k in range(WORDS)))])
+
+    x, y = side("x", 1), side("y", -1)
+    both = F.ceil(F.lit(share) * (F.col("x_n") + F.col("y_n")) - F.lit(1e-6))
+    apart = [F.bit_count(F.col(f"x_w{k}").bitwiseXOR(F.col(f"y_w{k}"))) for k in range(WORDS)]
+    ok = (F.col("x_c") != F.col("y_c")) & ((F.col("away") > 0) | (F.col("x_s") < F.col("y_s")))
+    ok &= (F.col("x_at") <= F.col("x_n") - both + 1) & (F.col("y_at") <= F.col("y_n") - both + 1)
+    ok &= (apart[0] <= radius) & (reduce(lambda a, b: a + b, apart) <= WIDE_RADIUS)
+    return x.join(y, ["token", "lower", "away"]).where(ok).select(F.col("x_s").alias("a"), F.col("y_s").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -237,33 +270,34 @@ def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = R
     share = sum(k * (k + sizes.get(b + 1, 0)) for b, k in sizes.items()) / max(1, n_nodes) ** 2
     parts = plan(some, n_nodes, radius, PROBE_COST, share)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
         wanted = few(nodes.join(ids, "s").select("s", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_h")), SMALL)
         texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted._d) & (rows.text_hash == wanted._h)).select("s", "text")
         return stash(texts.mapInArrow(tidied(whole), "s bigint, found array<bigint>").dropDuplicates(["s"]), paths)
 
-    links, label, left = None, None, None
-    for k in range(ROUNDS + 1):
+    links, label, crowd = None, None, None
+    for k in range(3):
         here = worded.withColumn("c", F.col("s")) if label is None else stash(worded.join(label, "s", "left").withColumn("c", F.coalesce("c", "s")), paths)
+        sets = None
         if k == 0:  # one node of each bucket, under each part
             keys = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), _column_bits(F.col("w0"), b).alias("key")) for p, (b, _) in enumerate(parts)]))
             dealt = here.select(keys.alias("x"), "band", "s", "n", *wide).select("x.part", "x.key", "band", "s", "n", *wide)
             centre = dealt.groupBy("part", "key", "band").agg(F.min(F.struct(F.xxhash64("s").alias("h"), F.col("s").alias("b"), *[F.col(w).alias(f"v{w}") for w in wide])).alias("y")).select("part", "key", "band", "y.*")
             far = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"v{w}"))) for w in wide])
             new = dealt.join(centre, ["part", "key", "band"]).where((F.col("s") != F.col("b")) & (far <= WIDE_RADIUS)).select(F.col("s").alias("a"), "b")
+        elif k == 1:
+            new, crowd = _search(here, parts, n_nodes, radius, least, PARTNERS, paths)
+        elif crowd.take(1):
+            sets = sets_of(crowd)
+            new = _crowded(here.join(crowd, "s", "left_semi"), sets, radius, least)
         else:
-            asking = here if left is None else here.join(left, "s", "left_semi")
-            new = stash(_search(asking, here, parts, n_nodes, radius, least, k, PARTNERS if k < ROUNDS else 2**31 - 2, paths), paths)
-            left = new.where("b is null").select(F.col("a").alias("s")).distinct()
-            new = new.where("b is not null")
+            break
         pairs = stash(new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), paths)
         if pairs.take(1):
-            good = _verified(pairs, sets_of(pairs), least)
+            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()) if sets is None else sets
+            good = _verified(pairs, sets, least)
             links = stash(good if links is None else links.unionByName(good).distinct(), paths)
             label = stash(components(links).select(F.col("node").alias("s"), F.col("component").alias("c")), paths)
-        if left is not None and not left.take(1):
-            break
     group = nodes if label is None else nodes.join(label, "s", "left")
     group = group.withColumn("g", F.col("s") if label is None else F.coalesce("c", "s"))
     key = ["doc_id", "text_hash"]

@@ -44,6 +44,36 @@ def test_rounds_blocks_and_repeated_rows(spark, make_docs, prose, monkeypatch):
     assert sorted((x.doc_id or -1, x.text) for x in copies.keep_one(nulls).collect()) == [(-1, "x y"), (3, "Z")]
 
 
+def test_a_crowd_of_edits_that_are_not_similar_enough_names_few_pairs(spark, make_docs, prose, monkeypatch):
+    r = np.random.default_rng(7)
+    rows = [(i, edited(prose(1, 150), r, int(r.integers(3, 6)))) for i in range(160)] + [(200 + i, edited(prose(1, 150), r, 1)) for i in range(20)]
+    named, verified = [], copies._verified
+    monkeypatch.setattr(copies, "_verified", lambda pairs, *rest: (named.append(pairs.count()), verified(pairs, *rest))[1])
+    got = sorted(x.doc_id for x in copies.keep_one(make_docs(rows), radius=20).collect())
+    want = kept_by_brute_force(rows)
+    assert got == want and len(want) > 40
+    assert sum(named) <= 12 * len(rows)  # and not in proportion to all pairs of those that stay
+
+
+def test_the_prefix_filter_leaves_out_no_similar_pair(spark):
+    r = np.random.default_rng(10)
+    base = r.integers(-(2**62), 2**62, 120)
+    sets = []
+    for n in range(90):  # of different sizes, a part of their own and a part of one base
+        own = r.integers(-(2**62), 2**62, int(r.integers(0, 25)))
+        sets.append(sorted({*r.choice(base, int(r.integers(3, 12)) if n % 9 == 0 else int(r.integers(85, 121)), replace=False).tolist(), *own.tolist()}))
+    wide = ", ".join(f"w{k} bigint" for k in range(copies.WORDS))
+    nodes = spark.createDataFrame([(i, len(x), i // 2, *[0] * copies.WORDS) for i, x in enumerate(sets)], f"s bigint, n bigint, c bigint, {wide}")
+    found = spark.createDataFrame(list(enumerate(sets)), "s bigint, found array<bigint>")
+    for least in (0.6, 0.8, 0.95):
+        got = {(min(x.a, x.b), max(x.a, x.b)) for x in copies._crowded(nodes, found, 14, least).collect()}
+        alike = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
+        want = {(a, b) for b in range(len(sets)) for a in range(b) if a // 2 != b // 2 and alike(a, b) >= least}
+        assert want <= got
+        assert want or least > 0.8
+        assert all(a // 2 != b // 2 for a, b in got)
+
+
 def test_blocks_compare_all_pairs_within_the_radius():
     r = np.random.default_rng(8)
     base = r.integers(0, 2**63, 20)
